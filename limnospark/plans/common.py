@@ -44,10 +44,15 @@ EVENTS_OBS_SQL = f"(SELECT event_id, user_id, ts, value AS rain, {PET_SQL} AS pe
 
 
 def r(col: Column | str, d: int = 6) -> Column:
-    """Round (same digits in the oracle SQL); a named column keeps its name."""
-    if isinstance(col, str):
-        return F.round(F.col(col), d).alias(col)
-    return F.round(col, d)
+    """Round to ``d`` decimals exactly as the oracle engine does it
+    (``round(x * 10^d) / 10^d``, half away from zero on the scaled double,
+    sign of zero kept), so equal doubles give equal results on both sides.
+    A named column keeps its name."""
+    x = F.col(col) if isinstance(col, str) else col
+    m = float(10 ** d)
+    scaled = F.round(x * m, 0)
+    out = F.when(scaled == 0, x * 0.0).otherwise(scaled) / m
+    return out.alias(col) if isinstance(col, str) else out
 
 
 # --------------------------------------------------------------------------
