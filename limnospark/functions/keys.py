@@ -30,14 +30,15 @@ def parse_date(x) -> Column:
 
 
 def lenient_double(x) -> Column:
-    return F.try_cast(c(x).cast("string"), "double") if not isinstance(x, Column) else F.try_cast(x, "double")
+    """Text or number -> double; unparsable -> NULL."""
+    return c(x).cast("string").try_cast("double")
 
 
 def normalize_keys(df: DataFrame, lat: str, lon: str, date: str | None = None, digits: int = 8) -> DataFrame:
     """Lenient numeric casts rounded to ``digits`` and a parsed date."""
     cols = {
-        lat: F.round(F.try_cast(F.col(lat).cast("string"), "double"), digits),
-        lon: F.round(F.try_cast(F.col(lon).cast("string"), "double"), digits),
+        lat: F.round(lenient_double(lat), digits),
+        lon: F.round(lenient_double(lon), digits),
     }
     if date is not None:
         cols[date] = parse_date(date)
