@@ -163,7 +163,7 @@ def missing_rates(df: DataFrame, cols: list[str] | None = None, top: int | None
     return long.limit(top) if top else long
 
 
-def coverage(df: DataFrame, col: str) -> Column:
+def coverage(col: str) -> Column:
     """Share of non-NULL values (an aggregate expression)."""
     return F.avg(F.col(col).isNotNull().cast("double"))
 
