@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import clip_lower, ratio
+from .common import c, clip_lower, ratio
 
 # Fixed values used by the formulas.
 EPS = 1e-6
@@ -416,9 +416,9 @@ DIST_MAIN_HIGH = 498.1
 def regime_flags(month="month", pet="pet", dist="dist_main_km", m=REGIME_MONTH, pet_t=PET_HIGH, dist_t=DIST_MAIN_HIGH):
     """regime flags and pair interactions; a NULL comparison is false
     (S16), and ``pet_low`` is the negation of ``pet_high``."""
-    is_m12 = F.coalesce(col(month) == m, F.lit(False)).cast("int")
-    pet_high = F.coalesce(col(pet) > pet_t, F.lit(False))
-    is_dist = F.coalesce(col(dist) > dist_t, F.lit(False)).cast("int")
+    is_m12 = F.coalesce(c(month) == m, F.lit(False)).cast("int")
+    pet_high = F.coalesce(c(pet) > pet_t, F.lit(False))
+    is_dist = F.coalesce(c(dist) > dist_t, F.lit(False)).cast("int")
     return {
         "is_m12": is_m12,
         "is_pet_high": pet_high.cast("int"),
