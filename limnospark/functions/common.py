@@ -50,3 +50,9 @@ def row_mean(cols, digits: int | None = None) -> Column:
     s = F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v)
     m = F.when(F.size(arr) > 0, s / F.size(arr))
     return F.round(m, digits) if digits is not None else m
+
+
+def seq_asc(lo, hi) -> Column:
+    """[lo, lo+1, ..., hi], empty when lo > hi (``sequence`` alone would count
+    down)."""
+    return F.when(c(lo) <= c(hi), F.sequence(c(lo), c(hi))).otherwise(F.array().cast("array<bigint>"))

@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import c
+from ..functions.common import c, seq_asc
 
 _POS = "_ls_pos"
 _CHUNK = "_ls_chunk"
@@ -164,7 +164,7 @@ def series(
         starts.unionByName(probes)
         .withColumn("_first", F.last("_src", ignorenulls=True).over(wa))
         .filter(F.col("_k") == 1)
-        .select(*keys, "_q", "_lo", F.explode(F.sequence(F.col("_first"), F.col("_qpidx") - 1)).alias("_pidx"))
+        .select(*keys, "_q", "_lo", F.explode(seq_asc(F.col("_first").cast("long"), (F.col("_qpidx") - 1).cast("long"))).alias("_pidx"))
     )
     halo = (
         h.join(pairs, [*keys, "_pidx"])
