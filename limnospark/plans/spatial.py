@@ -249,3 +249,57 @@ def a6_dated_raster(spark, sf_dir):
         F.floor((F.lit(Y0) - F.col("lat")) / RES).cast("long").alias("row"), "d").agg(F.avg("value").alias("chirps_ppt"))
     out = SP.raster_sample(ev, img, "lon", "lat", X0, Y0, RES, ["chirps_ppt"], date="d")
     return out.select("event_id", r("chirps_ppt", 6))
+
+
+# ---------------------------------------------------------------------------
+# Embedding-space neighbours
+# ---------------------------------------------------------------------------
+
+EMB_DBL = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
+
+
+@query(
+    "J15",
+    f"""
+SELECT vec_id, nn_vec_id, rank FROM (
+  SELECT q.vec_id, p.vec_id AS nn_vec_id,
+    CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance({EMB_DBL.replace('embedding', 'q.embedding')},
+      {EMB_DBL.replace('embedding', 'p.embedding')}), p.vec_id) AS INTEGER) AS rank
+  FROM embeddings q, embeddings p WHERE q.label = 0 AND p.label <> 0) WHERE rank <= 20
+""",
+)
+def j15_embedding_knn(spark, sf_dir):
+    """20 nearest embeddings (64-D Euclidean) of the label-0 rows among
+    the other labels (blocked exact search)."""
+    from ..operators.neighbors import block_knn
+
+    e = t(spark, sf_dir, "embeddings")
+    nn = block_knn(e.where(F.col("label") == 0), e.where(F.col("label") != 0), "vec_id", "vec_id", "embedding", 20)
+    return nn.select("vec_id", "nn_vec_id", "rank")
+
+
+def _k9_sql() -> str:
+    parts = []
+    for f in range(5):
+        for role, qcond, skip in (("train", f"q.vec_id % 5 <> {f}", 1), ("valid", f"q.vec_id % 5 = {f}", 0)):
+            parts.append(f"""SELECT {f} AS fold, '{role}' AS role, vec_id, round(avg(label), 9) AS nbr_label_mean,
+  round(avg(e0), 6) AS nbr_e0_mean FROM (
+  SELECT q.vec_id, p.label, CAST(p.embedding[1] AS DOUBLE) AS e0, row_number() OVER (PARTITION BY q.vec_id ORDER BY
+    list_distance({EMB_DBL.replace('embedding', 'q.embedding')}, {EMB_DBL.replace('embedding', 'p.embedding')}), p.vec_id) AS rn
+  FROM embeddings q, embeddings p WHERE {qcond} AND p.vec_id % 5 <> {f})
+WHERE rn > {skip} AND rn <= {skip} + 10 GROUP BY vec_id""")
+    return " UNION ALL ".join(parts)
+
+
+@query("K9", _k9_sql())
+def k9_neighbour_means(spark, sf_dir):
+    """K9: fold-safe neighbour attribute means (k = 10, 64-D embeddings):
+    neighbours from the training folds only, first neighbour dropped on the
+    training side."""
+    from ..operators.neighbors import fold_safe_neighbour_means
+
+    e = t(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label",
+                                              F.col("embedding")[0].cast("double").alias("e0"))
+    e = e.withColumn("fold", (F.col("vec_id") % 5).cast("int"))
+    out = fold_safe_neighbour_means(e, "vec_id", "embedding", "fold", list(range(5)), ["label", "e0"], 10)
+    return out.select(F.col("fold").cast("int").alias("fold"), "role", "vec_id", r("nbr_label_mean", 9), r("nbr_e0_mean", 6))
