@@ -83,12 +83,12 @@ def a2_json_scan(spark, sf_dir):
 def a3_manifest_count(spark, sf_dir):
     """A3: feature manifest count (JSON list, or object with columns /
     features)."""
-    rep = reports(spark, sf_dir).where(F.col("_corrupt_record").isNull())
+    rep = reports(spark, sf_dir).where(F.col("cv").isNotNull())
     return rep.select("run_id", AR.manifest_count("features").cast("int").alias("n_features"))
 
 
 def index_table(spark, sf_dir):
-    rep = reports(spark, sf_dir).where(F.col("_corrupt_record").isNull())
+    rep = reports(spark, sf_dir).where(F.col("cv").isNotNull())
     means = F.transform(F.map_values("cv"), lambda m: m["mean"])
     return rep.select(
         F.col("run_id").alias("experiment_id"),
@@ -110,7 +110,7 @@ def r1_rebuild_index(spark, sf_dir):
 @query("R2")
 def r2_audit(spark, sf_dir):
     """R2: full-history audit, per-target means, sorted by the mean."""
-    rep = reports(spark, sf_dir).where(F.col("_corrupt_record").isNull())
+    rep = reports(spark, sf_dir).where(F.col("cv").isNotNull())
     cols = [F.round(F.col("cv")[tg]["mean"], 6).alias(f"{tg}_mean") for tg in TARGETS]
     idx = index_table(spark, sf_dir).select(F.col("experiment_id").alias("run_id"), "cv_mean")
     return rep.select("run_id", "model_family", *cols).join(idx, "run_id").orderBy(F.desc_nulls_last("cv_mean"), "run_id")
