@@ -114,8 +114,10 @@ def knn(queries: DataFrame, points: DataFrame, qid: str, pid: str, x: str, y: st
     if not st["n"]:
         return queries.sparkSession.createDataFrame([], f"{qid} bigint, nn_{pid} bigint, dist double, rank int")
     if cell is None:
+        # cell side so that a cell holds about k points of one group
+        n_groups = points.select(group).distinct().count() if group else 1
         area = max(st["x1"] - st["x0"], 1e-9) * max(st["y1"] - st["y0"], 1e-9)
-        cell = max(math.sqrt(area * max(k, 1) / st["n"]), 1e-6)
+        cell = max(math.sqrt(area * max(k, 1) * n_groups / st["n"]), 1e-6)
     g = float(cell)
     # ring at which the searched square surely covers every point
     span = max(st["x1"], qb["x1"]) - min(st["x0"], qb["x0"]), max(st["y1"], qb["y1"]) - min(st["y0"], qb["y0"])
@@ -151,7 +153,9 @@ def knn(queries: DataFrame, points: DataFrame, qid: str, pid: str, x: str, y: st
             j = j.where(F.col("_pid") != F.col("_qid"))
         j = j.withColumn("_d", F.sqrt(F.pow(F.col("_qx") - F.col("_px"), 2) + F.pow(F.col("_qy") - F.col("_py"), 2)))
         w = Window.partitionBy("_qid").orderBy("_d", "_pid")
-        top = j.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= F.col("_keff"))
+        # Persisted per round: the next round and the final union read it
+        # (recomputed from lineage if an executor is lost).
+        top = j.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= F.col("_keff")).persist()
         # safe distance: from the query to the edge of the searched square
         safe = F.least(
             F.col("_qx") - (F.col("_qcx") - ring) * g, (F.col("_qcx") + ring + 1) * g - F.col("_qx"),
@@ -165,7 +169,7 @@ def knn(queries: DataFrame, points: DataFrame, qid: str, pid: str, x: str, y: st
         done = res if done is None else done.unionByName(res)
         if ring >= full_ring:
             break
-        pending = pending.join(ok, "_qid", "left_anti")
+        pending = pending.join(ok, "_qid", "left_anti").persist()
         if pending.count() == 0:
             break
         ring = min(ring * 2, full_ring)
@@ -282,7 +286,8 @@ def nearest_line(points: DataFrame, lines: DataFrame, pid: str, lat: str, lon: s
         j = ex.join(sg, ["_cx", "_cy"]).withColumn(
             "_d", point_segment_distance(F.col("_px"), F.col("_py"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
         )
-        best = j.groupBy(pid, "_px", "_py", "_qcx", "_qcy").agg(F.min_by(F.struct("_d", lid), F.struct("_d", lid)).alias("_b"))
+        best = j.groupBy(pid, "_px", "_py", "_qcx", "_qcy").agg(
+            F.min_by(F.struct("_d", lid), F.struct("_d", lid)).alias("_b")).persist()
         safe = F.least(
             F.col("_px") - (F.col("_qcx") - ring) * g, (F.col("_qcx") + ring + 1) * g - F.col("_px"),
             F.col("_py") - (F.col("_qcy") - ring) * g, (F.col("_qcy") + ring + 1) * g - F.col("_py"),
@@ -292,7 +297,7 @@ def nearest_line(points: DataFrame, lines: DataFrame, pid: str, lat: str, lon: s
         done = ok if done is None else done.unionByName(ok)
         if ring >= full_ring:
             break
-        pending = pending.join(ok.select(pid), pid, "left_anti")
+        pending = pending.join(ok.select(pid), pid, "left_anti").persist()
         if pending.count() == 0:
             break
         ring = min(ring * 2, full_ring)
