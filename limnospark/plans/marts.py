@@ -386,3 +386,20 @@ def p14_metric_lines(spark, sf_dir):
     from ..sources.artifacts import parse_metric_lines
 
     return parse_metric_lines(lines, "line")
+
+
+@query(
+    "J6",
+    """
+SELECT c.c_custkey, coalesce(s.n_suppliers, 0) AS n_suppliers_in_nation
+FROM customer c LEFT JOIN (SELECT s_nationkey, count(*) AS n_suppliers FROM supplier WHERE s_acctbal > 0 GROUP BY s_nationkey) s
+ON c.c_nationkey = s.s_nationkey
+""",
+)
+def j6_lookup_default(spark, sf_dir):
+    """Lookup map with a default (left join to a small grouped table +
+    coalesce)."""
+    c = t(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("k"))
+    s = t(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 0).groupBy(F.col("s_nationkey").alias("k")).agg(
+        F.count(F.lit(1)).alias("n_suppliers"))
+    return J.lookup(c, s, ["k"], {"n_suppliers": "n_suppliers_in_nation"}, default=0).select("c_custkey", "n_suppliers_in_nation")

@@ -374,3 +374,41 @@ def m26_region_choice(spark, sf_dir):
     allr = reduce(lambda a, b: a.unionByName(b), rows)
     best = allr.agg(F.max_by("k", "inner_r2").alias("_k"))
     return allr.crossJoin(best).select("k", "inner_r2", (F.col("k") == F.col("_k")).alias("chosen"))
+
+
+@query("M15")
+def m15_residual_kriging(spark, sf_dir):
+    """Blocked residual kriging on customer places: basin-mean base
+    (train folds), residuals kriged per grid cell + halo from all training
+    points; fold R2 of the base alone and with the kriged residual."""
+    from ..operators import kriging as KR
+    from .common import places
+
+    p = places(spark, sf_dir).join(t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("station_id"), "c_acctbal"),
+                                    "station_id")
+    p = FO.group_folds(p, "station_id", K)
+    rows = []
+    for i in range(K):
+        tr, te = p.where(F.col("fold") != i), p.where(F.col("fold") == i)
+        base = tr.groupBy("basin_id").agg(F.avg("c_acctbal").alias("base"))
+        gm = tr.agg(F.avg("c_acctbal").alias("_gm"))
+        trb = tr.join(base, "basin_id").withColumn("res", F.col("c_acctbal") - F.col("base"))
+        teb = te.join(base, "basin_id", "left").crossJoin(F.broadcast(gm)).withColumn("base", F.coalesce("base", "_gm"))
+        kr = KR.blocked_kriging(trb, teb, "station_id", "lon", "lat", "res")
+        mu = kr.agg(F.avg("c_acctbal").alias("_mu"))
+        s = kr.crossJoin(mu).agg(
+            F.count(F.lit(1)).alias("n"),
+            (1 - F.sum(F.pow(F.col("c_acctbal") - F.col("base"), 2)) / F.sum(F.pow(F.col("c_acctbal") - F.col("_mu"), 2))).alias("r2_base"),
+            (1 - F.sum(F.pow(F.col("c_acctbal") - F.col("base") - F.col("kriged"), 2))
+             / F.sum(F.pow(F.col("c_acctbal") - F.col("_mu"), 2))).alias("r2_kriged"))
+        rows.append(s.select(F.lit(i).alias("fold"), "n", r("r2_base"), r("r2_kriged")))
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+@query("G21")
+def g21_mean_importance(spark, sf_dir):
+    """Mean feature importance over targets, top list."""
+    from ..operators import aggregates as AG
+
+    imp = m18_importances(spark, sf_dir)
+    return AG.mean_importance(imp, "feature", "importance", 3).select("feature", r("mean_importance", 6), "n_targets")

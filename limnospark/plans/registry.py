@@ -290,3 +290,14 @@ def a12_mart_cache(spark, sf_dir):
         mart = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n_lines"))
         FS.write_parquet(mart, path)
     return spark.read.parquet(path)
+
+
+@query("A10")
+def a10_insert_audit(spark, sf_dir):
+    """A10: rows inserted into a registry table get the audit timestamp by
+    default; checks every inserted row has one."""
+    path = FS.scratch_path(spark, "registry_a10")
+    idx = index_table(spark, sf_dir).select("experiment_id", "cv_mean")
+    FS.with_audit_time(idx).write.mode("append").parquet(path)
+    back = spark.read.parquet(path)
+    return back.select("experiment_id", F.col("created_at").isNotNull().alias("has_audit_time"))

@@ -303,3 +303,22 @@ def k9_neighbour_means(spark, sf_dir):
     e = e.withColumn("fold", (F.col("vec_id") % 5).cast("int"))
     out = fold_safe_neighbour_means(e, "vec_id", "embedding", "fold", list(range(5)), ["label", "e0"], 10)
     return out.select(F.col("fold").cast("int").alias("fold"), "role", "vec_id", r("nbr_label_mean", 9), r("nbr_e0_mean", 6))
+
+
+GEOM = "struct<type:string, coordinates:array<array<double>>>"
+
+
+@query(
+    "A4",
+    f"SELECT poly_id, 4 AS n_vertices, round(cx + {HALF}, 6) AS first_x FROM {POLY_SQL}",
+)
+def a4_vector_source(spark, sf_dir):
+    """A4: vector source: polygon records as GeoJSON-like text parsed with a
+    declared schema into rings of struct(x, y) with their attributes."""
+    poly = polygons(spark, sf_dir)
+    text = poly.select("poly_id", F.to_json(F.struct(F.lit("Polygon").alias("type"),
+                                                      F.transform("ring", lambda p: F.array(p["x"], p["y"])).alias("coordinates"))).alias("geojson"))
+    parsed = text.select("poly_id", F.from_json("geojson", GEOM).alias("g"))
+    ring = F.transform(F.col("g.coordinates"), lambda c: F.struct(c[0].alias("x"), c[1].alias("y")))
+    out = parsed.select("poly_id", ring.alias("ring"))
+    return out.select("poly_id", F.size("ring").alias("n_vertices"), r(F.col("ring")[0]["x"], 6).alias("first_x"))
