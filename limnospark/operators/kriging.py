@@ -42,7 +42,7 @@ def _solve(length: float, noise: float):
 
 
 def blocked_kriging(train: DataFrame, test: DataFrame, idc: str, x: str, y: str, resid: str, out: str = "kriged",
-                    target: int = 400, halo: int = 1, length: float = 0.05, noise: float = 0.1) -> DataFrame:
+                    target: int = 400, halo: int = 1, length: float = 0.05, noise: float = 1.0) -> DataFrame:
     """Residual prediction for every test row (``idc`` unique)."""
     b = train.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"),
                   F.count(F.lit(1)).alias("n")).first()
