@@ -19,9 +19,27 @@ from ..sources import artifacts as AR
 from ..sources import files as FS
 from .catalog import query
 from .common import r, t
+from .marts import ORDER_REV_SQL
 
 TARGETS = ["TA", "EC", "DRP"]
 
+# Oracle side: the same run metrics computed straight from orders.
+_FOLD_SQL = """(SELECT p, target, round(avg(m), 6) AS mean FROM (
+    SELECT substr(o_orderpriority, 1, 1) AS p, s.target, o_orderkey % 5 AS fold, round(avg(o_totalprice * s.scale), 6) AS m
+    FROM orders, (VALUES ('TA', 1e-6), ('EC', 2e-6), ('DRP', 5e-7)) s(target, scale) GROUP BY 1, 2, 3) GROUP BY p, target)"""
+INDEX_SQL = f"""(SELECT 'exp_2026010' || p AS experiment_id,
+    round((max(mean) FILTER (WHERE target = 'TA') + max(mean) FILTER (WHERE target = 'EC')
+           + max(mean) FILTER (WHERE target = 'DRP')) / 3, 6) AS cv_mean,
+    round(max(mean) FILTER (WHERE target = 'DRP'), 6) AS drp_cv,
+    CASE WHEN CAST(p AS INTEGER) % 2 = 0 THEN 'RandomForest' ELSE 'ExtraTrees' END AS model_family,
+    CASE WHEN CAST(p AS INTEGER) <= 2 THEN 'log1p' ELSE 'none' END AS y_mode_drp,
+    CASE WHEN CAST(p AS INTEGER) >= 4 THEN 3 ELSE 5 END AS feature_count_drp,
+    'submissions/exp_2026010' || p || '.csv' AS submission_path,
+    '2026-01-0' || p || 'T12:00:00' AS created,
+    max(mean) FILTER (WHERE target = 'TA') AS ta, max(mean) FILTER (WHERE target = 'EC') AS ec,
+    max(mean) FILTER (WHERE target = 'DRP') AS drp
+  FROM {_FOLD_SQL} GROUP BY p)"""
+
 
 def _fold_metrics(spark, sf_dir):
     """(priority, target, mean, std, folds[]) from orders: per fold
@@ -31,9 +49,9 @@ def _fold_metrics(spark, sf_dir):
     scale = {"TA": 1e-6, "EC": 2e-6, "DRP": 5e-7}
     long = o.select("p", "fold", F.explode(F.array(*[F.struct(F.lit(k).alias("target"), (F.col("o_totalprice") * v).alias("v"))
                                                      for k, v in scale.items()])).alias("s")).select("p", "fold", "s.*")
-    per_fold = long.groupBy("p", "target", "fold").agg(F.round(F.avg("v"), 6).alias("m"))
+    per_fold = long.groupBy("p", "target", "fold").agg(r(F.avg("v"), 6).alias("m"))
     return per_fold.groupBy("p", "target").agg(
-        F.round(F.avg("m"), 6).alias("mean"), F.round(F.stddev_pop("m"), 6).alias("std"),
+        r(F.avg("m"), 6).alias("mean"), r(F.stddev_pop("m"), 6).alias("std"),
         F.transform(F.array_sort(F.collect_list(F.struct("fold", "m"))), lambda x: x["m"]).alias("folds"))
 
 
@@ -70,7 +88,7 @@ def reports(spark, sf_dir):
     return df.withColumn("run_id", F.regexp_extract("file_path", r"run_id=([^/]+)/", 1))
 
 
-@query("A2")
+@query("A2", f"SELECT experiment_id AS run_id, false AS is_corrupt, 3 AS n_targets FROM {INDEX_SQL} UNION ALL SELECT 'exp_broken', true, 0")
 def a2_json_scan(spark, sf_dir):
     """A2: JSON report scan over run folders; broken files kept as flagged
     rows instead of failing."""
@@ -79,7 +97,7 @@ def a2_json_scan(spark, sf_dir):
                       F.size(F.coalesce(F.map_keys("cv"), F.array())).alias("n_targets"))
 
 
-@query("A3")
+@query("A3", f"SELECT experiment_id AS run_id, feature_count_drp AS n_features FROM {INDEX_SQL}")
 def a3_manifest_count(spark, sf_dir):
     """A3: feature manifest count (JSON list, or object with columns /
     features)."""
@@ -92,8 +110,8 @@ def index_table(spark, sf_dir):
     means = F.transform(F.map_values("cv"), lambda m: m["mean"])
     return rep.select(
         F.col("run_id").alias("experiment_id"),
-        F.round(F.aggregate(means, F.lit(0.0), lambda a, x: a + x) / F.size(means), 6).alias("cv_mean"),
-        F.round(F.col("cv")["DRP"]["mean"], 6).alias("drp_cv"),
+        r((F.col("cv")["TA"]["mean"] + F.col("cv")["EC"]["mean"] + F.col("cv")["DRP"]["mean"]) / 3, 6).alias("cv_mean"),
+        r(F.col("cv")["DRP"]["mean"], 6).alias("drp_cv"),
         "model_family", "y_mode_drp",
         AR.manifest_count("features").cast("int").alias("feature_count_drp"),
         F.concat(F.lit("submissions/"), F.col("run_id"), F.lit(".csv")).alias("submission_path"),
@@ -101,22 +119,22 @@ def index_table(spark, sf_dir):
     )
 
 
-@query("R1")
+@query("R1", f"SELECT experiment_id, cv_mean, drp_cv, model_family, y_mode_drp, feature_count_drp, submission_path FROM {INDEX_SQL}")
 def r1_rebuild_index(spark, sf_dir):
     """Experiment index rebuilt from run artifacts (both layouts)."""
     return index_table(spark, sf_dir).drop("created", "file_mtime")
 
 
-@query("R2")
+@query("R2", f"SELECT experiment_id AS run_id, model_family, round(ta, 6) AS TA_mean, round(ec, 6) AS EC_mean, round(drp, 6) AS DRP_mean, cv_mean FROM {INDEX_SQL}")
 def r2_audit(spark, sf_dir):
     """R2: full-history audit, per-target means, sorted by the mean."""
     rep = reports(spark, sf_dir).where(F.col("cv").isNotNull())
-    cols = [F.round(F.col("cv")[tg]["mean"], 6).alias(f"{tg}_mean") for tg in TARGETS]
+    cols = [r(F.col("cv")[tg]["mean"], 6).alias(f"{tg}_mean") for tg in TARGETS]
     idx = index_table(spark, sf_dir).select(F.col("experiment_id").alias("run_id"), "cv_mean")
     return rep.select("run_id", "model_family", *cols).join(idx, "run_id").orderBy(F.desc_nulls_last("cv_mean"), "run_id")
 
 
-@query("R3")
+@query("R3", f"SELECT experiment_id, y_mode_drp, y_mode_drp = 'log1p' AS as_intended FROM {INDEX_SQL} ORDER BY created DESC, experiment_id DESC LIMIT 15")
 def r3_intended_config(spark, sf_dir):
     """Intended-configuration check on the last 15 runs (expected DRP
     mode 'log1p')."""
@@ -124,16 +142,19 @@ def r3_intended_config(spark, sf_dir):
     return idx.select("experiment_id", "y_mode_drp", (F.col("y_mode_drp") == "log1p").alias("as_intended"))
 
 
-@query("R4")
+@query("R4", f"""SELECT model_family, round(avg(lift), 6) AS mean, min(lift) AS min, count(lift) AS count FROM (
+  SELECT model_family, round(cv_mean - (SELECT cv_mean FROM {INDEX_SQL} WHERE experiment_id = 'exp_20260105'), 6) AS lift
+  FROM {INDEX_SQL}) GROUP BY model_family""")
 def r4_batch_analysis(spark, sf_dir):
     """Lift of every run against a baseline run, then group means."""
     idx = index_table(spark, sf_dir)
     base = idx.where(F.col("experiment_id") == "exp_20260105").select(F.col("cv_mean").alias("_base"))
-    lift = idx.crossJoin(F.broadcast(base)).withColumn("lift", F.round(F.col("cv_mean") - F.col("_base"), 6))
+    lift = idx.crossJoin(F.broadcast(base)).withColumn("lift", r(F.col("cv_mean") - F.col("_base"), 6))
     return AG.group_profile(lift, ["model_family"], "lift").select("model_family", r("mean", 6), "min", "count")
 
 
-@query("R5")
+@query("R5", f"""SELECT experiment_id AS entry, 'run' AS kind, cv_mean, created, model_family = 'ExtraTrees' AS registered FROM {INDEX_SQL}
+UNION ALL SELECT 'reference_' || r_name, 'reference', NULL, '2026-01-01T00:00:00', false FROM region""")
 def r5_master_state(spark, sf_dir):
     """Master state: runs plus reference outputs (U1), registry flag
     (J8), latest row per run (G17)."""
@@ -146,19 +167,20 @@ def r5_master_state(spark, sf_dir):
     return J.exists_flag(allr, registry, ["entry"], "registered").orderBy("kind", F.desc_nulls_last("cv_mean"), "entry")
 
 
-@query("R6")
+_REV_SQL_LIT = ORDER_REV_SQL.replace("'", "''")
+
+
+@query("R6", f"SELECT 'order_revenue' AS table_name, count(DISTINCT l_orderkey) AS n_rows, sha256('{_REV_SQL_LIT}') AS sql_sha256 FROM lineitem")
 def r6_build_registry(spark, sf_dir):
     """Feature-build registry rows: table, rows built, SHA-256 of the
     build statement, audit time (A10)."""
-    from .marts import ORDER_REV_SQL
-
     built = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").count()
     row = built.agg(F.count(F.lit(1)).alias("n_rows")).select(
         F.lit("order_revenue").alias("table_name"), "n_rows", F.sha2(F.lit(ORDER_REV_SQL), 256).alias("sql_sha256"))
     return FS.with_audit_time(row).drop("created_at")
 
 
-@query("R7")
+@query("R7", f"SELECT experiment_id, cv_mean, model_family FROM {INDEX_SQL}")
 def r7_register_run(spark, sf_dir):
     """Run registration: index rows appended to a registry table with
     an audit timestamp (A10), read back."""
@@ -201,7 +223,7 @@ def r8_change_audit(spark, sf_dir):
     return out.select("metric", "series", r("value", 4))
 
 
-@query("R9")
+@query("R9", f"SELECT experiment_id, model_family, y_mode_drp, feature_count_drp FROM {INDEX_SQL} ORDER BY created DESC LIMIT 1")
 def r9_newest_run(spark, sf_dir):
     """Newest run (by file modification time, then creation stamp) and
     its config summary."""
@@ -292,7 +314,7 @@ def a12_mart_cache(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@query("A10")
+@query("A10", f"SELECT experiment_id, true AS has_audit_time FROM {INDEX_SQL}")
 def a10_insert_audit(spark, sf_dir):
     """A10: rows inserted into a registry table get the audit timestamp by
     default; checks every inserted row has one."""
