@@ -7,10 +7,10 @@ Neither survives a large table. D1 instead:
 1. collapses the column to (value, n) pairs (map-side combined, so a value
    that holds a third of all rows costs one row);
 2. cuts the distinct values into ``buckets`` ranges. The cut points come from
-   ``percentile_approx`` over the column; they are a bounded
-   literal array (``buckets - 1`` numbers), so the bucket of a value is a pure
-   function and a recomputed task after an executor loss gets the same
-   answer;
+   ``percentile_approx`` over the column: a one-row, ``buckets - 1``-element
+   array broadcast into the same plan (computed once per execution, so a
+   recomputed task after an executor loss buckets values the same way; the
+   counts are exact whatever the cut points are);
 3. totals per bucket (``buckets`` rows) are prefix-summed, and the cumulative
    count inside a bucket is a window partitioned by bucket.
 
@@ -27,14 +27,6 @@ from pyspark.sql import functions as F
 DEFAULT_BUCKETS = 64
 
 
-def _bucket_expr(v: Column, cuts: list) -> Column:
-    """Index of the range of ``v`` among the sorted literal ``cuts``."""
-    if not cuts:
-        return F.lit(0)
-    arr = F.array(*[F.lit(x) for x in cuts])
-    return F.size(F.filter(arr, lambda x: x <= v))
-
-
 def value_counts(df: DataFrame, col: str, by: list[str] | None = None) -> DataFrame:
     """(by..., value, n) with NULL values dropped."""
     by = by or []
@@ -46,14 +38,17 @@ def cumulative_counts(df: DataFrame, col: str, buckets: int = DEFAULT_BUCKETS) -
     ``_cum`` (rows with value <= it), ``_dense`` (dense rank) and ``_N``
     (non-NULL rows)."""
     vc = value_counts(df, col)
-    cuts = []
     if buckets > 1:
+        # Cut points: one row holding buckets-1 approximate quantiles of the
+        # column (bounded size), broadcast into the same plan. They only
+        # balance the buckets; the counts stay exact whatever they are.
         fr = [i / buckets for i in range(1, buckets)]
-        # One scan of the column (partial sketches, no shuffle of the data).
-        row = df.agg(F.percentile_approx(F.col(col), fr, 10000).alias("c")).first()
-        if row is not None and row["c"] is not None:
-            cuts = sorted(set(row["c"]))
-    vc = vc.withColumn("_b", _bucket_expr(F.col(col), cuts))
+        cuts = df.agg(F.array_sort(F.array_distinct(F.percentile_approx(F.col(col), fr, 10000))).alias("_cuts"))
+        vc = vc.crossJoin(F.broadcast(cuts)).withColumn(
+            "_b", F.greatest(F.lit(0), F.size(F.filter("_cuts", lambda x: x <= F.col(col))))
+        ).drop("_cuts")
+    else:
+        vc = vc.withColumn("_b", F.lit(0))
     tot = vc.groupBy("_b").agg(F.sum("_n").alias("_bn"), F.count(F.lit(1)).alias("_bd"))
     wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # <= buckets rows
     tot = tot.select(
