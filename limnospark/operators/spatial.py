@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import seq_asc
 from ..functions.geo import EARTH_RADIUS_KM, haversine_km, mercator_x, mercator_y
+from ..session import cut_lineage
 
 KM_PER_DEG = EARTH_RADIUS_KM * math.pi / 180.0
 MAX_ROUNDS = 24
@@ -153,9 +154,9 @@ def knn(queries: DataFrame, points: DataFrame, qid: str, pid: str, x: str, y: st
             j = j.where(F.col("_pid") != F.col("_qid"))
         j = j.withColumn("_d", F.sqrt(F.pow(F.col("_qx") - F.col("_px"), 2) + F.pow(F.col("_qy") - F.col("_py"), 2)))
         w = Window.partitionBy("_qid").orderBy("_d", "_pid")
-        # Persisted per round: the next round and the final union read it
-        # (recomputed from lineage if an executor is lost).
-        top = j.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= F.col("_keff")).persist()
+        # Written per round to the shared checkpoint folder: the next round
+        # and the final union read it without recomputing earlier rounds.
+        top = cut_lineage(j.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= F.col("_keff")))
         # safe distance: from the query to the edge of the searched square
         safe = F.least(
             F.col("_qx") - (F.col("_qcx") - ring) * g, (F.col("_qcx") + ring + 1) * g - F.col("_qx"),
@@ -169,8 +170,8 @@ def knn(queries: DataFrame, points: DataFrame, qid: str, pid: str, x: str, y: st
         done = res if done is None else done.unionByName(res)
         if ring >= full_ring:
             break
-        pending = pending.join(ok, "_qid", "left_anti").persist()
-        if pending.count() == 0:
+        pending = cut_lineage(pending.join(ok, "_qid", "left_anti"))
+        if pending.isEmpty():
             break
         ring = min(ring * 2, full_ring)
     return done.select(F.col("_qid").alias(qid), F.col("_pid").alias("nn_" + pid), F.col("_d").alias("dist"),
@@ -286,8 +287,8 @@ def nearest_line(points: DataFrame, lines: DataFrame, pid: str, lat: str, lon: s
         j = ex.join(sg, ["_cx", "_cy"]).withColumn(
             "_d", point_segment_distance(F.col("_px"), F.col("_py"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
         )
-        best = j.groupBy(pid, "_px", "_py", "_qcx", "_qcy").agg(
-            F.min_by(F.struct("_d", lid), F.struct("_d", lid)).alias("_b")).persist()
+        best = cut_lineage(j.groupBy(pid, "_px", "_py", "_qcx", "_qcy").agg(
+            F.min_by(F.struct("_d", lid), F.struct("_d", lid)).alias("_b")))
         safe = F.least(
             F.col("_px") - (F.col("_qcx") - ring) * g, (F.col("_qcx") + ring + 1) * g - F.col("_px"),
             F.col("_py") - (F.col("_qcy") - ring) * g, (F.col("_qcy") + ring + 1) * g - F.col("_py"),
@@ -297,8 +298,8 @@ def nearest_line(points: DataFrame, lines: DataFrame, pid: str, lat: str, lon: s
         done = ok if done is None else done.unionByName(ok)
         if ring >= full_ring:
             break
-        pending = pending.join(ok.select(pid), pid, "left_anti").persist()
-        if pending.count() == 0:
+        pending = cut_lineage(pending.join(ok.select(pid), pid, "left_anti"))
+        if pending.isEmpty():
             break
         ring = min(ring * 2, full_ring)
     return points.join(done, pid, "left").join(lines.drop(path), lid, "left")

@@ -15,6 +15,7 @@ from ..operators import folds as FO
 from ..operators import models as M
 from ..operators import transforms as TR
 from .catalog import query
+from ..session import cut_lineage
 from .common import r, t
 
 K = 5
@@ -29,9 +30,8 @@ def dataset(spark, sf_dir):
     li = t(spark, sf_dir, "lineitem").select(*KEY, "l_suppkey", "l_quantity", "l_discount", "l_tax", Y, "l_linestatus")
     p = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size", "p_retailprice")
     d = li.join(p, "l_partkey").withColumns({"lat": synth_lat("l_suppkey"), "lon": synth_lon("l_suppkey")})
-    # Read by every fold fit: kept (memory, spilling to disk; recomputed from
-    # lineage if an executor is lost).
-    return FO.group_folds(d, "l_suppkey", K).persist()
+    # Read by every fold fit: written once to the shared checkpoint folder.
+    return cut_lineage(FO.group_folds(d, "l_suppkey", K))
 
 
 def _scores(pred, label=Y, model="model"):
