@@ -191,7 +191,39 @@ def r7_register_run(spark, sf_dir):
     return spark.read.parquet(path).drop("created_at")
 
 
-@query("R8")
+def _r8_sql() -> str:
+    from .blending import PAIR_SQL
+
+    src = f"(SELECT o_orderkey, a, b, b - a AS delta, n_lines, round(avg_disc, 9) AS avg_disc, avg_tax, round(avg_qty, 9) AS avg_qty FROM {PAIR_SQL})"
+    pn = ["p01", "p05", "p10", "p25", "p50", "p75", "p90", "p95", "p99"]
+    pv = [0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99]
+
+    def profile(col, series):
+        stats = ["CAST(count({c}) AS DOUBLE) AS count", "min({c}) AS min", "max({c}) AS max", "avg({c}) AS mean",
+                 "quantile_cont({c}, 0.5) AS median", "stddev_samp({c}) AS std"] + [f"quantile_cont({{c}}, {v}) AS {n}" for v, n in zip(pv, pn)]
+        sel = ", ".join(x.format(c=col) for x in stats)
+        names = ", ".join(["count", "min", "max", "mean", "median", "std", *pn])
+        return (f"SELECT 'profile_' || stat AS metric, '{series}' AS series, value FROM (SELECT {sel} FROM {src}) "
+                f"UNPIVOT (value FOR stat IN ({names}))")
+
+    delta = (f"SELECT 'delta_' || stat, 'delta', value FROM (SELECT avg(abs(delta)) AS mean_abs, max(delta) AS max, min(delta) AS min, "
+             f"stddev_samp(delta) AS std FROM {src}) UNPIVOT (value FOR stat IN (mean_abs, max, min, std))")
+    bands = (f"SELECT 'delta_by_disc_band_' || CAST(band AS VARCHAR), 'delta', avg(delta) FROM (SELECT delta, "
+             f"len(list_filter(e, lambda x: avg_disc > x)) AS band FROM {src}, (SELECT list_distinct([quantile_cont(avg_disc, 0.25), "
+             f"quantile_cont(avg_disc, 0.5), quantile_cont(avg_disc, 0.75)]) AS e FROM {src})) GROUP BY band")
+    bins = (f"SELECT 'delta_by_qty_bin_' || CAST(bin AS VARCHAR), 'delta', avg(delta) FROM (SELECT delta, CAST(least(coalesce(greatest(0, "
+            f"ceil((avg_qty - mn) / nullif((mx - mn) / 6, 0)) - 1), 0), 5) AS BIGINT) AS bin FROM {src}, (SELECT min(avg_qty) AS mn, "
+            f"max(avg_qty) AS mx FROM {src})) GROUP BY bin")
+    corr = " UNION ALL ".join(f"SELECT 'corr_{x}', 'delta', corr({x}, delta) FROM {src}" for x in ["n_lines", "avg_disc", "avg_tax", "avg_qty"])
+    top = f"SELECT * FROM (SELECT 'top_change_' || CAST(o_orderkey AS VARCHAR), 'delta', delta FROM {src} ORDER BY abs(delta) DESC, o_orderkey LIMIT 5)"
+    body = " UNION ALL ".join([profile("a", "old"), profile("b", "new"), delta, bands, bins, corr, top])
+    return f"SELECT metric, series, round(value, 4) AS value FROM ({body}) t(metric, series, value)"
+
+
+R8_SQL = _r8_sql()
+
+
+@query("R8", R8_SQL)
 def r8_change_audit(spark, sf_dir):
     """Change audit of an old vs new prediction table (per order):
     profiles (G12, G13), quantile bands and bins of the context (T8, T9),
@@ -200,7 +232,10 @@ def r8_change_audit(spark, sf_dir):
     from ..operators import ranking as RK
     from .blending import pair
 
-    p = pair(spark, sf_dir).withColumn("delta", F.col("b") - F.col("a"))
+    # Context proxies snapped to 9 decimals (same in the oracle) so band and
+    # bin edges compare equal values on both engines.
+    p = pair(spark, sf_dir).withColumn("delta", F.col("b") - F.col("a")).withColumns(
+        {"avg_disc": r("avg_disc", 9), "avg_qty": r("avg_qty", 9)})
     parts = [
         AG.vector_profile(p, "a").select(F.concat(F.lit("profile_"), "stat").alias("metric"), F.lit("old").alias("series"), "value"),
         AG.vector_profile(p, "b").select(F.concat(F.lit("profile_"), "stat").alias("metric"), F.lit("new").alias("series"), "value"),
