@@ -130,8 +130,8 @@ def m12_two_stage(spark, sf_dir):
     parts = []
     for i in range(K):
         tr, te = d.where(F.col("fold") != i), d.where(F.col("fold") == i)
-        q = quantiles(tr, Y, [0.75], ["_q75"])
-        p = M.two_stage(tr.crossJoin(F.broadcast(q)), te, FEATS, Y, "_q75")
+        q75 = quantiles(tr, Y, [0.75], ["q"]).first()["q"]  # one number to the driver
+        p = M.two_stage(tr.withColumn("_q75", F.lit(q75)), te, FEATS, Y, "_q75")
         parts.append(p.select(*KEY, "fold", Y, "pred"))
     return _scores(reduce(lambda a, b: a.unionByName(b), parts), model="two_stage")
 
@@ -281,15 +281,18 @@ def m25_blend_sweep(spark, sf_dir):
 
     d = dataset(spark, sf_dir)
     meta = _oof(d, M.extra_trees(), "meta").select(*KEY, "meta")
+    qvals = (0.6, 0.7, 0.75, 0.8)
+    parts = {qv: [] for qv in qvals}
+    for i in range(K):
+        tr, te = d.where(F.col("fold") != i), d.where(F.col("fold") == i)
+        qs = quantiles(tr, Y, list(qvals), [f"q{j}" for j in range(len(qvals))]).first()  # 4 numbers
+        for j, qv in enumerate(qvals):
+            two = M.two_stage(tr.withColumn("_q", F.lit(qs[f"q{j}"])), te, FEATS, Y, "_q")
+            parts[qv].append(two.select(*KEY, "fold", Y, F.col("pred").alias("two")))
+    alphas = spark.createDataFrame([(a,) for a in (0.0, 0.25, 0.5, 0.75, 1.0)], "alpha double")
     res = []
-    for qv in (0.6, 0.7, 0.75, 0.8):
-        parts = []
-        for i in range(K):
-            tr, te = d.where(F.col("fold") != i), d.where(F.col("fold") == i)
-            q = quantiles(tr, Y, [qv], ["_q"])
-            parts.append(M.two_stage(tr.crossJoin(F.broadcast(q)), te, FEATS, Y, "_q").select(*KEY, "fold", Y, F.col("pred").alias("two")))
-        two = reduce(lambda a, b: a.unionByName(b), parts).join(meta, KEY)
-        alphas = spark.createDataFrame([(a,) for a in (0.0, 0.25, 0.5, 0.75, 1.0)], "alpha double")
+    for qv in qvals:
+        two = reduce(lambda a, b: a.unionByName(b), parts[qv]).join(meta, KEY)
         x = two.crossJoin(F.broadcast(alphas)).withColumn("pred", F.col("alpha") * F.col("two") + (1 - F.col("alpha")) * F.col("meta"))
         mu = x.groupBy("alpha", "fold").agg(F.avg(Y).alias("_mu"))
         s = x.join(mu, ["alpha", "fold"]).groupBy("alpha", "fold").agg(
