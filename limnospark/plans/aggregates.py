@@ -396,7 +396,18 @@ def q4_output_contract(spark, sf_dir):
     )
 
 
-@query("Q5")
+def _q5_sql() -> str:
+    from .catalog import _SQL
+    from . import marts  # noqa: F401  (registers J1 / J2)
+
+    a, b = _SQL["J1"], _SQL["J2"]
+    return f"""SELECT coalesce(a.column_name, b.column_name) AS "column", a.column_name IS NOT NULL AS in_a,
+  b.column_name IS NOT NULL AS in_b
+FROM (SELECT column_name FROM (DESCRIBE {a})) a FULL OUTER JOIN (SELECT column_name FROM (DESCRIBE {b})) b
+  ON a.column_name = b.column_name"""
+
+
+@query("Q5", _q5_sql())
 def q5_column_parity(spark, sf_dir):
     """Q5: train / valid column parity (schema comparison)."""
     from .marts import j1_train_mart, j2_valid_mart
