@@ -7,12 +7,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, simhash
+from . import quality, sharding, simhash, toxicity
 from .common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"), shingle=4, radius=4)
 
@@ -22,7 +30,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op9_simhash, op10_sharding)}
+    return {f.__name__: f for f in (op7_toxicity, op8_quality, op9_simhash, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
