@@ -5,14 +5,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality, sharding, simhash, toxicity
+from . import mixing, quality, sharding, simhash, spotsigs, toxicity
 from .common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Target weights of the mix: a path of the tree to its weight among its
+#: siblings; paths not named have weight 1.
+MIX_WEIGHTS = {
+    "web": 5.0, "books": 3.0, "reference": 2.0,
+    **{f"{d}/{lang}": w for d in ("web", "books", "reference") for lang, w in (("en", 6.0), ("de", 2.0), ("fr", 2.0), ("es", 1.0))},
+}
+
+
+def domain_of(source: str = "source") -> Column:
+    """The tables name no domain; a source's number decides it here."""
+    number = F.regexp_extract(F.col(source), r"(\d+)$", 1).try_cast("long")
+    return F.element_at(F.array(F.lit("web"), F.lit("books"), F.lit("reference")), (F.coalesce(number, F.lit(0)) % 3 + 1).cast("int"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    chosen = mixing.mix(docs, domain_of(), share=0.8, weights=MIX_WEIGHTS, epochs=3, seed=5)
+    return chosen.select(
+        "doc_id", F.col("_mix_domain").alias("domain"), "lang", "source", mixing.tokens_of().alias("n_tokens"),
+        F.col("_mix_epoch").alias("epoch"), F.col("_mix_budget").alias("leaf_budget"))
+
+
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edit_check(load(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -30,7 +57,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op7_toxicity, op8_quality, op9_simhash, op10_sharding)}
+    return {f.__name__: f for f in (op5_mixing, op6_spotsigs, op7_toxicity, op8_quality, op9_simhash, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
