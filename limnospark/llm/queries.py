@@ -8,12 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, simhash, spotsigs, toxicity
+from . import imi, mixing, quality, sharding, simhash, spotsigs, toxicity
 from .common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imi.search(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, nearest_n=20)
+
+
 #: Target weights of the mix: a path of the tree to its weight among its
 #: siblings; paths not named have weight 1.
 MIX_WEIGHTS = {
@@ -57,7 +61,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_mixing, op6_spotsigs, op7_toxicity, op8_quality, op9_simhash, op10_sharding)}
+    return {f.__name__: f for f in (op3_multi_index, op5_mixing, op6_spotsigs, op7_toxicity, op8_quality, op9_simhash, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
