@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, imi, mixing, quality, sharding, simhash, spotsigs, toxicity
+from . import html_extract, imi, mixing, quality, sharding, simhash, spotsigs, suffix_dedup, toxicity
 from .common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(load(spark, sf_dir, "pages"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(load(spark, sf_dir, "documents"))
+
+
 def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imi.search(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, nearest_n=20)
 
@@ -65,7 +69,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_html_extraction, op3_multi_index, op5_mixing, op6_spotsigs, op7_toxicity, op8_quality, op9_simhash, op10_sharding)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_suffix_dedup, op3_multi_index, op5_mixing, op6_spotsigs, op7_toxicity, op8_quality, op9_simhash, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
