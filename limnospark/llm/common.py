@@ -21,6 +21,9 @@ def ship(module: str) -> None:
 
 ship(__name__)
 
+#: Tables written by this driver and not yet deleted.
+_made: list[str] = []
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -43,15 +46,38 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     out = spark.read.schema(df.schema).parquet(where)
     out._limno_path = where
+    _made.append(where)
     return out
 
 
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`written` that nothing reads any more."""
-    spark, where = df.sparkSession, getattr(df, "_limno_path", None)
-    if where:
-        path = _path(spark, where)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if where := getattr(df, "_limno_path", None):
+        _delete(df.sparkSession, where)
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = _path(spark, where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if where in _made:
+        _made.remove(where)
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """:func:`written`, after which every other table made so far by this
+    driver has done its work and is deleted."""
+    out = written(df, label)
+    for where in [x for x in _made if x != out._limno_path]:
+        _delete(df.sparkSession, where)
+    return out
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def tasks(spark: SparkSession) -> int:

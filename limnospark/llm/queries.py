@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import html_extract, imi, mixing, quality, sharding, simhash, spotsigs, suffix_dedup, toxicity
+from . import sentencepiece_lattice as lattice
 from .common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,10 @@ def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imi.search(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, nearest_n=20)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, model: str = lattice.MODEL) -> DataFrame:
+    return lattice.encode(load(spark, sf_dir, "documents"), lattice.Model.load(model))
+
+
 #: Target weights of the mix: a path of the tree to its weight among its
 #: siblings; paths not named have weight 1.
 MIX_WEIGHTS = {
@@ -69,7 +74,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_suffix_dedup, op3_multi_index, op5_mixing, op6_spotsigs, op7_toxicity, op8_quality, op9_simhash, op10_sharding)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_suffix_dedup, op3_multi_index, op4_sentencepiece, op5_mixing, op6_spotsigs, op7_toxicity, op8_quality, op9_simhash, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, tasks, text_of, written
+from .common import free_name, ship, tasks, text_of, written
 from .graph import components
 
 ship(__name__)
@@ -66,15 +66,16 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) with the fingerprint's bits as a signed long."""
+    """(doc_id, fp, th): the fingerprint's bits as a signed long, and a hash
+    of the text that tells rows of one key apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_buffer().to_pybytes(), shingle) for t in b.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), b.column(2)], names=["doc_id", "fp", "th"])
 
-    slim = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).cast("binary").alias("t"))
-    return slim.mapInArrow(run, "doc_id long, fp long")
+    slim = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).cast("binary").alias("t"), F.xxhash64(text_of(text)).alias("th"))
+    return slim.mapInArrow(run, "doc_id long, fp long, th long")
 
 
 def _planes(fps: np.ndarray) -> np.ndarray:
@@ -200,8 +201,7 @@ def bucket_links(fps: DataFrame, radius: int) -> DataFrame:
     return dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id for every row."""
+def _classes(docs: DataFrame, key: str, text: str, shingle: int, radius: int) -> DataFrame:
     prints = written(fingerprints(docs, key, text, shingle), "simhash")
     keyed = prints.where("doc_id is not null")
     distinct = written(keyed.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
@@ -209,8 +209,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     named = classes.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp", "left").select(
-        "doc_id",
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
-    )
+    found = prints.join(named, "fp", "left")
+    return found.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id for every row."""
+    return _classes(docs, key, text, shingle, radius).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """``docs`` with one row of each component: that of the least key (of
+    several, that of the least text hash). Rows without a key stay."""
+    found = _classes(docs, key, text, shingle, radius)
+    keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("th").alias("th"))
+    keep = written(keep.join(found.groupBy("doc_id", "th").agg(F.count("*").alias("n")), ["doc_id", "th"]), "simhash-keep")
+    k, h = free_name(docs, "_key"), free_name(docs, "_hash")
+    named = docs.withColumn(k, F.col(key).cast("long")).withColumn(h, F.xxhash64(text_of(text)))
+    ids = keep.select(F.col("doc_id").alias(k), F.col("th").alias(h))
+    kept = named.join(ids, [k, h], "left_semi")
+    if not keep.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates([k, h])
+    return kept.drop(k, h).unionByName(docs.where(F.col(key).isNull()))

@@ -41,12 +41,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .bwt import repeated
-from .common import ship, tasks, text_of, written
+from .common import free_name, ship, tasks, text_of, written
 from .repeats import CLASS, LENGTH, Powers, core_of, unplace, units
 
 ship(__name__)
@@ -59,14 +59,14 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, uid, t): ``uid`` is the key where keys are whole and unique,
-    else a hash of key and text."""
-    base = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).cast("binary").alias("t"))
-    ids = base.select("doc_id")
-    whole = ids.where("doc_id is null").isEmpty() and ids.groupBy("doc_id").count().where("count > 1").isEmpty()
-    uid = F.coalesce(F.col("doc_id"), F.lit(0).cast("long")) if whole else F.xxhash64("doc_id", "t")
-    return base.select("doc_id", uid.alias("uid"), "t")
+def keyed(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
+    """(doc_id, uid, t, more): ``uid`` is the key where keys are whole and
+    unique, else a hash of key and text."""
+    k, t = F.col(key).cast("long"), text_of(text).cast("binary")
+    ids = docs.select(k.alias("k"))
+    whole = ids.where("k is null").isEmpty() and ids.groupBy("k").count().where("count > 1").isEmpty()
+    uid = F.coalesce(k, F.lit(0).cast("long")) if whole else F.xxhash64(k, t)
+    return docs.select(k.alias("doc_id"), uid.alias("uid"), t.alias("t"), *more)
 
 
 def unit_rows(base: DataFrame) -> DataFrame:
@@ -228,10 +228,9 @@ def _left(t: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
     return kept
 
 
-def _with_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
-    base = keyed(docs, key, text)
-    by_uid = base.repartition(tasks(docs.sparkSession), "uid")
-    return by_uid.join(repeated_spans(base, by_uid), "uid", "left").select("doc_id", "t", "spans")
+def _with_spans(base: DataFrame) -> DataFrame:
+    by_uid = base.repartition(tasks(base.sparkSession), "uid")
+    return by_uid.join(repeated_spans(base.select("uid", "t"), by_uid), "uid", "left")
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -249,5 +248,37 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(parts, pa.int64()), pa.array(sha, pa.string())],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(docs, key, text).mapInArrow(
+    return _with_spans(keyed(docs, key, text)).select("doc_id", "t", "spans").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
+    """``docs`` without the repeated bytes in ``text`` (characters cut in two
+    go whole); a column ``length`` is set to the characters left. Rows that
+    lose all their text go; others without a repeat stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, gone = [], []
+            for t, s in zip(batch.column(1), batch.column(2)):
+                t, spans = t.as_buffer().to_pybytes(), unite(s.as_py())
+                left.append("".join(x.decode("utf-8", "ignore") for x in _left(t, spans)))
+                gone.append(bool(spans) and not left[-1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(left, pa.string()), pa.array(gone, pa.bool_())], names=["row", "left", "gone"])
+
+    rest = F.struct(*[F.col(c) for c in docs.columns if c != text], F.col(text).isNull().alias(free_name(docs, "_none")))
+    base = keyed(docs, key, text, rest.alias("row"))
+    found = _with_spans(base).select("row", "t", "spans")
+    kind = found.schema["row"].dataType.simpleString()
+    found = found.mapInArrow(run, f"row {kind}, left string, gone boolean").where("not gone")
+    out = []
+    for f in docs.schema.fields:
+        if f.name == text:
+            c = F.when(~F.col("row")[free_name(docs, "_none")], F.col("left"))
+        elif f.name == length:
+            c = F.when(F.col("row")[free_name(docs, "_none")], F.col("row")[length]).otherwise(F.char_length("left")).cast(f.dataType)
+        else:
+            c = F.col("row")[f.name]
+        out.append(c.alias(f.name))
+    return found.select(*out)

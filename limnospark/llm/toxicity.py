@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, ship, text_of
+from .common import fold_of, free_name, ship, text_of
 
 ship(__name__)
 
@@ -217,3 +217,11 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         "doc_id", F.coalesce(fold_of(F.col("doc_id"), folds) == hold, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 4, hold: int = 2,
+          threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, unchanged."""
+    model = train(docs.where(fold_of(F.col(key), folds) != hold), labels, key, text)
+    name = free_name(docs, "_toxicity")
+    return score(docs, model, text, name).where(F.col(name) < threshold).drop(name)
