@@ -12,8 +12,9 @@ Nearness is the inner product; vectors get one more component
 the largest inner product into the smallest distance.
 
 ``share`` is a fixed parameter: the test vectors are spread evenly over the
-sphere, where neighbours can't be told from a few cells; 0.5 gives a measured
-recall of 0.93 or more. Vectors with structure need far less.
+sphere, where neighbours can't be told from a few cells; 0.65 gives a measured
+recall of 0.956 (500 vectors) to 0.986 (51,282). Vectors with structure need
+far less.
 
 Scale. The codebooks are fitted on at most ``SAMPLE`` vectors drawn by hash
 (the stated bound); all vectors are indexed. Equal vectors are one entry with
@@ -44,7 +45,7 @@ from .common import ship, written
 ship(__name__)
 
 K = 64
-SHARE = 0.5
+SHARE = 0.65
 SAMPLE = 16_384
 BLOCK = 4096
 GROUP = 2048

@@ -56,7 +56,7 @@ def divide(children: DataFrame, parent: list[str], budget: str = "budget", cap:
     """children with their parent's ``budget``: replaced by each child's own."""
     by = W.partitionBy(*parent) if parent else W.partitionBy(F.lit(0))
     usable = F.col(weight) > 0
-    ratio = F.when(usable, F.col(cap) / F.col(weight)).otherwise(F.lit(float("inf")))
+    ratio = F.when(usable, F.try_divide(cap, weight)).otherwise(F.lit(float("inf")))
     order = by.orderBy("_ratio", *[c for c in LEVELS if c in children.columns])
     before = order.rowsBetween(W.unboundedPreceding, -1)
     w, c = F.when(usable, F.col(weight)).otherwise(0.0), F.when(usable, F.col(cap)).otherwise(0.0)
@@ -64,7 +64,7 @@ def divide(children: DataFrame, parent: list[str], budget: str = "budget", cap:
     d = d.withColumn("_cap_before", F.coalesce(F.sum(c).over(before), F.lit(0.0)))
     d = d.withColumn("_w_left", F.sum(w).over(by) - F.coalesce(F.sum(w).over(before), F.lit(0.0)))
     # Weight left may be a rounding error below the child's own weight.
-    d = d.withColumn("_fill", (F.col(budget) - F.col("_cap_before")) / F.greatest(F.col("_w_left"), w))
+    d = d.withColumn("_fill", F.try_divide(F.col(budget) - F.col("_cap_before"), F.greatest(F.col("_w_left"), w)))
     d = d.withColumn("_full", usable & (F.col("_ratio") <= F.col("_fill")))
     # All children that are not full share one level: that of the first of them, the highest.
     d = d.withColumn("_level", F.max(F.when(~F.col("_full") & usable, F.col("_fill"))).over(by))

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, tasks, text_of, written
+from .graph import components
 
 ship(__name__)
 
@@ -150,3 +151,46 @@ def edit_check(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     dealt = rows.repartition(n, "p").sortWithinPartitions("p", "last", F.desc_nulls_last("doc_id"), "h")
     return dealt.mapInArrow(run, out)
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, class_id (the least key reachable), n_links (other sets at
+    least ``threshold`` alike) for every row with a key.
+
+    Equal sets are one row. A set offers its first ``size - ceil(threshold *
+    size) + 1`` signatures, the rarest in the table first: any pair that
+    reaches the threshold shares one of them. Pairs meet by signature and size
+    class; sizes apart and shared places too late in both orders are pruned,
+    and the Jaccard coefficient decides; signatures of one set alone are never offered."""
+
+    @F.arrow_udf("array<long>")
+    def sigs_of(column: pa.Array) -> pa.Array:
+        return pa.array([signatures(t.as_py()).astype(np.int64) for t in column], pa.list_(pa.int64()))
+
+    rows = written(docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), sigs_of(text_of(text)).alias("s")), "spots")
+    named = rows.withColumn("h", F.xxhash64("s"))
+    sets = written(named.groupBy("h", "s").agg(F.min("doc_id").alias("id")).select("id", "s"), "spot-sets")
+    each = sets.select("id", F.explode("s").alias("sig"), F.size("s").alias("n"))
+    often = each.groupBy("sig").agg(F.count("*").alias("df"))
+    ranked = each.join(often, "sig").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("r"))
+    width = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
+    offered = ranked.select("id", "n", F.posexplode(F.slice(F.col("r"), F.lit(1), width)).alias("pos", "e")).where("e.df > 1")
+    step = F.lit(-float(np.log(threshold)))
+    offered = offered.select("id", "n", "pos", F.col("e.sig").alias("sig"), F.floor(F.log("n") / step + 1e-9).alias("cls"))
+    offered = written(offered, "spot-offers")
+    # A set meets its own size class and the next larger one.
+    a = offered.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "sig", F.explode(F.array("cls", F.col("cls") + 1)).alias("cls"))
+    b = offered.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "sig", "cls")
+    both = a.join(b, ["sig", "cls"]).where("(na < nb) or (na = nb and a < b)").where(F.col("na") >= threshold * F.col("nb") - 1e-9)
+    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
+    need = F.lit(threshold) / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9
+    pairs = both.where(room >= need).select("a", "b").distinct()
+    x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    links = pairs.join(x, "a").join(y, "b").where(shared / (F.size("sa") + F.size("sb") - shared) >= threshold - 1e-12).select("a", "b")
+    links = written(links, "spot-links")
+    roots = components(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    degree = links.select("a").unionAll(links.select("b")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_links"))
+    classes = sets.join(roots.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left")
+    classes = classes.select("s", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows.join(classes, "s").select("doc_id", "class_id", "n_links")
