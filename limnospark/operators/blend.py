@@ -18,16 +18,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import seq_asc
+from ..session import materialize
 from .ranking import cumulative_counts, quantiles, rank_table
 
-LOOKUP_BUCKETS = 64
 
-
-def value_at_positions(base: DataFrame, col: str, queries: DataFrame, pos: str, out: str, qkeys: list[str],
-                       buckets: int = LOOKUP_BUCKETS) -> DataFrame:
-    """For each query row (unique by ``qkeys``), the base value at 0-based
-    sorted position ``queries[pos]`` (ascending, NULLs excluded)."""
-    cc = cumulative_counts(base, col)
+def value_at_positions(cc: DataFrame, col: str, queries: DataFrame, pos: str, out: str, qkeys: list[str]) -> DataFrame:
+    """For each query row (unique by ``qkeys``), the value at 0-based sorted
+    position ``queries[pos]`` (ascending, NULLs excluded) of the column whose
+    cumulative counts are ``cc``. As many position ranges as shuffle
+    partitions."""
+    buckets = max(1, int(cc.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     tot = cc.agg(F.max("_total").alias("_ntot"))
     width = F.greatest(F.lit(1), F.ceil(F.col("_ntot") / buckets)).cast("long")
     qk = F.struct(*[F.col(k) for k in qkeys])
@@ -69,16 +69,20 @@ def linear(a, b, w) -> Column:
     return (1 - w) * a + w * b
 
 
-def _ranked(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    ra = rank_table(df, a).select(a, F.col("rank_avg").alias("_ra"), F.col("n_valid").alias("_n"))
-    rb = rank_table(df, b).select(b, F.col("rank_avg").alias("_rb"))
-    return df.select(key, a, b).join(ra, a).join(rb, b)
+def _ranked(df: DataFrame, key: str, a: str, b: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The pair with its ranks, and the cumulative counts of both columns;
+    the pair is computed once."""
+    df = materialize(df.select(key, a, b), "pair")
+    ca, cb = cumulative_counts(df, a), cumulative_counts(df, b)
+    ra = rank_table(df, a, cc=ca).select(a, F.col("rank_avg").alias("_ra"), F.col("n_valid").alias("_n"))
+    rb = rank_table(df, b, cc=cb).select(b, F.col("rank_avg").alias("_rb"))
+    return materialize(df.join(ra, a).join(rb, b), "ranked"), ca, cb
 
 
 def rank_interpolate(df: DataFrame, key: str, base: str, other: str, w: float, out: str = "blend") -> DataFrame:
     """B2: blend average ranks, then read the sorted base at the blended rank
     with linear interpolation between neighbours."""
-    r = _ranked(df, key, base, other)
+    r, cc, _ = _ranked(df, key, base, other)
     br = (1 - w) * F.col("_ra") + w * F.col("_rb")
     ri = F.least(F.greatest(br - 1, F.lit(0.0)), F.col("_n") - 1)
     r = r.select(key, ri.alias("_ri"), "_n")
@@ -86,7 +90,7 @@ def rank_interpolate(df: DataFrame, key: str, base: str, other: str, w: float, o
     q = r.select(key, "_ri", "_lo", F.explode(F.array(F.struct(F.lit(0).alias("t"), F.col("_lo").alias("p")),
                                                     F.struct(F.lit(1).alias("t"), F.col("_hi").alias("p")))).alias("_q"))
     q = q.select(key, "_ri", "_lo", F.col("_q.t").alias("_t"), F.col("_q.p").alias("_pos"))
-    v = value_at_positions(df, base, q, "_pos", "_val", [key, "_t"])
+    v = value_at_positions(cc, base, q, "_pos", "_val", [key, "_t"])
     g = v.groupBy(key).agg(
         F.max(F.when(F.col("_t") == 0, F.col("_val"))).alias("_vlo"),
         F.max(F.when(F.col("_t") == 1, F.col("_val"))).alias("_vhi"),
@@ -99,18 +103,18 @@ def rank_interpolate(df: DataFrame, key: str, base: str, other: str, w: float, o
 def rank_truncate(df: DataFrame, key: str, base: str, other: str, w_base: float, out: str = "blend") -> DataFrame:
     """Blend percentile ranks (average rank / n), truncate to an index
     into the sorted base, clip at 0."""
-    r = _ranked(df, key, base, other)
+    r, cc, _ = _ranked(df, key, base, other)
     rp = w_base * (F.col("_ra") / F.col("_n")) + (1 - w_base) * (F.col("_rb") / F.col("_n"))
     idx = F.least(F.greatest(F.floor(rp * (F.col("_n") - 1)), F.lit(0)), F.col("_n") - 1)
     q = r.select(key, idx.alias("_pos"))
-    v = value_at_positions(df, base, q, "_pos", "_val", [key])
+    v = value_at_positions(cc, base, q, "_pos", "_val", [key])
     return v.select(key, F.greatest(F.col("_val"), F.lit(0.0)).alias(out))
 
 
 def rank_two_sided(df: DataFrame, key: str, a: str, b: str, wa: float, wb: float, out: str = "blend") -> DataFrame:
     """Blended average rank -> percentile -> value interpolated in both
     sorted columns, then weighted."""
-    r = _ranked(df, key, a, b)
+    r, ca, cb = _ranked(df, key, a, b)
     pct = (wa * F.col("_ra") + wb * F.col("_rb") - 1) / (F.col("_n") - 1)
     idx = F.least(F.greatest(pct * (F.col("_n") - 1), F.lit(0.0)), F.col("_n") - 1)
     r = r.select(key, idx.alias("_idx"), "_n").select(
@@ -118,11 +122,11 @@ def rank_two_sided(df: DataFrame, key: str, a: str, b: str, wa: float, wb: float
         F.least(F.floor("_idx") + 1, F.col("_n") - 1).alias("_hi"),
     )
     parts = []
-    for side, col in (("a", a), ("b", b)):
+    for side, col, cc in (("a", a, ca), ("b", b, cb)):
         q = r.select(key, F.explode(F.array(F.struct(F.lit(0).alias("t"), F.col("_lo").alias("p")),
                                             F.struct(F.lit(1).alias("t"), F.col("_hi").alias("p")))).alias("_q"))
         q = q.select(key, F.col("_q.t").alias("_t"), F.col("_q.p").alias("_pos"))
-        v = value_at_positions(df, col, q, "_pos", "_val", [key, "_t"])
+        v = value_at_positions(cc, col, q, "_pos", "_val", [key, "_t"])
         parts.append(
             v.groupBy(key).agg(
                 F.max(F.when(F.col("_t") == 0, F.col("_val"))).alias(f"_{side}lo"),
@@ -147,13 +151,13 @@ def twenty_variants(df: DataFrame, key: str, old: str, new: str) -> DataFrame:
     average ranks mapped back by a half-even rounded index into sorted old.
     Output: (variant, key, value)."""
     spark = df.sparkSession
-    lims = quantiles(df, old, [CLIP_LO, CLIP_HI], ["_lo", "_hi"])
+    r, cc, _ = _ranked(df, key, old, new)
+    lims = quantiles(df, old, [CLIP_LO, CLIP_HI], ["_lo", "_hi"], cc=cc)
     raw_w = spark.createDataFrame([(f"raw_w{int(round(w * 100)):02d}", w) for w in RAW_WEIGHTS], "variant string, w double")
     rank_w = spark.createDataFrame([(f"rank_w{int(round(w * 100)):02d}", w) for w in RANK_WEIGHTS], "variant string, w double")
-    raw = df.select(key, old, new).crossJoin(F.broadcast(raw_w)).select(
+    raw = r.select(key, old, new).crossJoin(F.broadcast(raw_w)).select(
         "variant", key, linear(old, new, F.col("w")).alias("_val")
     )
-    r = _ranked(df, key, old, new)
     mm = r.agg(F.min("_ra").alias("_ra0"), F.max("_ra").alias("_ra1"), F.min("_rb").alias("_rb0"), F.max("_rb").alias("_rb1"))
     r = r.crossJoin(F.broadcast(mm)).select(
         key, "_n",
@@ -165,17 +169,18 @@ def twenty_variants(df: DataFrame, key: str, old: str, new: str) -> DataFrame:
         F.bround(F.least(F.greatest(linear("_qa", "_qb", F.col("w")), F.lit(0.0)), F.lit(1.0)) * (F.col("_n") - 1), 0)
         .cast("long").alias("_pos"),
     )
-    ranked = value_at_positions(df, old, q, "_pos", "_val", ["variant", key]).select("variant", key, "_val")
+    ranked = value_at_positions(cc, old, q, "_pos", "_val", ["variant", key]).select("variant", key, "_val")
     both = raw.unionByName(ranked).crossJoin(F.broadcast(lims))
     return both.select("variant", key, F.least(F.greatest(F.col("_val"), F.col("_lo")), F.col("_hi")).alias("value"))
 
 
 def safe_clip(df: DataFrame, col: str, out: str) -> DataFrame:
-    """F21 as used by B6: non-finite -> median of the column, then >= 0."""
-    med = quantiles(df.where(~F.isnan(F.col(col))), col, [0.5], ["_med"])
+    """F21 as used by B6: non-finite -> median of the finite values, then >= 0."""
+    v = F.col(col).cast("double")
+    finite = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+    med = quantiles(df.select(finite.alias(col)), col, [0.5], ["_med"])
     j = df.crossJoin(F.broadcast(med))
-    bad = F.col(col).isNull() | F.isnan(F.col(col))
-    return j.withColumn(out, F.greatest(F.when(bad, F.col("_med")).otherwise(F.col(col)), F.lit(0.0))).drop("_med")
+    return j.withColumn(out, F.greatest(F.coalesce(finite, "_med"), F.lit(0.0))).drop("_med")
 
 
 def balanced(df: DataFrame, a_ec: str, b_ec: str, a_drp: str, b_drp: str) -> DataFrame:
@@ -196,7 +201,7 @@ def simplex_weights(spark, step_tenths: int = 1):
 def weighted_ensemble(preds: DataFrame, weights: DataFrame, key: str, model: str = "model", pred: str = "pred",
                       weight: str = "weight", out: str = "pred") -> DataFrame:
     """sum(w * p) / sum(w) per key over the models that have a weight."""
-    j = preds.join(F.broadcast(weights), model)
+    j = preds.join(weights, model)
     return j.groupBy(key).agg((F.sum(F.col(weight) * F.col(pred)) / F.sum(weight)).alias(out))
 
 

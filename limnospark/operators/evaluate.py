@@ -7,10 +7,11 @@ then squared deviations) for numerical stability; correlations use Spark's
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import quantiles, rank_table, with_desc_min_rank
+from ..session import materialize
+from .ranking import quantiles, rank_table
 
 
 def fold_scores(df: DataFrame, y: str, p: str, fold: str) -> DataFrame:
@@ -34,7 +35,7 @@ def fold_scores(df: DataFrame, y: str, p: str, fold: str) -> DataFrame:
 def spearman_pearson(df: DataFrame, a: str, b: str, min_n: int = 20) -> DataFrame:
     """Pearson and Spearman on the pairs with both values, NULL when
     fewer than ``min_n`` pairs."""
-    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
+    pairs = materialize(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b), "pairs")
     ra = rank_table(pairs, a).select(a, F.col("rank_avg").alias("_ra"))
     rb = rank_table(pairs, b).select(b, F.col("rank_avg").alias("_rb"))
     j = pairs.join(ra, a).join(rb, b)
@@ -46,6 +47,7 @@ def spearman_pearson(df: DataFrame, a: str, b: str, min_n: int = 20) -> DataFram
 def similarity_profile(df: DataFrame, anchor: str, cand: str) -> DataFrame:
     """Pearson, Spearman, MAE, RMSE, median / p05 / p50 / p95 shifts,
     1-99 range of the candidate, share of > 10% deviations."""
+    df = materialize(df.select(anchor, cand), "profile")
     ps = spearman_pearson(df, anchor, cand, 0).select("pearson", "spearman")
     base = df.agg(
         F.avg(F.abs(F.col(cand) - F.col(anchor))).alias("mae"),
@@ -88,6 +90,19 @@ def closeness_labels(df: DataFrame, anchor: str, failed: str, cand: str) -> Data
     )
 
 
+def rank_correlations(df: DataFrame, target: str, proxies: list[str]) -> DataFrame:
+    """(proxy, n, pearson, spearman) of every proxy with ``target`` over the
+    pairs with both values: one long (proxy, value, target) table, ranked
+    within each proxy."""
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("proxy"), F.col(p).cast("double").alias("_v")) for p in proxies]))
+    long = df.select(F.col(target).cast("double").alias("_t"), each.alias("_s")).select("_s.proxy", "_s._v", "_t")
+    long = materialize(long.where("_v is not null and _t is not null"), "proxies")
+    rv = rank_table(long, "_v", ["proxy"]).select("proxy", "_v", F.col("rank_avg").alias("_rv"))
+    rt = rank_table(long, "_t", ["proxy"]).select("proxy", "_t", F.col("rank_avg").alias("_rt"))
+    return long.join(rv, ["proxy", "_v"]).join(rt, ["proxy", "_t"]).groupBy("proxy").agg(
+        F.count(F.lit(1)).alias("n"), F.corr("_v", "_t").alias("pearson"), F.corr("_rv", "_rt").alias("spearman"))
+
+
 def proxy_correlations(df: DataFrame, delta: str, proxies: list[str], min_n: int = 10) -> DataFrame:
     """E5: correlation of each proxy with the delta (proxies unpivoted to
     rows, one grouped aggregate), n >= min_n, sorted by |corr|."""
@@ -118,9 +133,11 @@ MEANINGFUL_GAIN = 0.002
 def feature_ranking(df: DataFrame, feature: str = "feature") -> DataFrame:
     """Min-tie descending ranks of delta_cv_r2, abs_spearman,
     abs_pearson; score 0.6 / 0.25 / 0.15; sorted by score then gain."""
-    out = with_desc_min_rank(df, "delta_cv_r2", "rk_delta")
-    out = with_desc_min_rank(out, "abs_spearman", "rk_spearman")
-    out = with_desc_min_rank(out, "abs_pearson", "rk_pearson")
+    # One row per feature of a model: a plain window.
+    place = {c: F.when(F.col(c).isNotNull(), F.rank().over(Window.partitionBy(F.lit(1)).orderBy(F.desc_nulls_last(c))))
+             for c in ("delta_cv_r2", "abs_spearman", "abs_pearson")}
+    out = df.select("*", place["delta_cv_r2"].alias("rk_delta"), place["abs_spearman"].alias("rk_spearman"),
+                    place["abs_pearson"].alias("rk_pearson"))
     score = RANK_W_DELTA * F.col("rk_delta") + RANK_W_SPEARMAN * F.col("rk_spearman") + RANK_W_PEARSON * F.col("rk_pearson")
     return out.withColumn("rank_score", score).withColumn("meaningful", F.col("delta_cv_r2") >= MEANINGFUL_GAIN)
 
@@ -135,6 +152,7 @@ def output_proxy_score(df: DataFrame, ta: str, ec: str, drp: str) -> DataFrame:
     """1000 minus range penalties (p99 - p1 above a threshold) and the
     distance of the DRP median from its target."""
     cols = {"ta": ta, "ec": ec, "drp": drp}
+    df = materialize(df.select(*cols.values()), "outputs")
     q = None
     for k, c in cols.items():
         qq = quantiles(df, c, [0.01, 0.5, 0.99], [f"_{k}01", f"_{k}50", f"_{k}99"])

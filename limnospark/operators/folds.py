@@ -1,56 +1,67 @@
 """Group folds and leakage checks.
 
 K2 (size-balanced group folds, largest group to the lightest fold) is
-sequential over groups. Only the (group, rows) table is needed: it is built
-with an aggregate, and when it has at most ``max_groups`` rows it is taken to
-the driver (bounded), assigned greedily, and joined back as a small table.
-Above the bound the fold is ``pmod(xxhash64(group), k)`` - still group-pure,
-no longer size-balanced.
+sequential over groups, but groups of one size differ by their order only, and
+the fold with total ``t`` takes its j-th group of size ``s`` when the lightest
+total is ``t + j * s``. So the folds of one size's groups are the merge of one
+arithmetic progression per fold: it goes round the lightest folds, and a
+further fold joins the round when the others have reached it. That is at most
+``k`` stretches per size, worked out on the table (size, groups), which has at
+most about sqrt(2 * rows) lines. Each group finds its fold from its rank among
+the groups of its size; no group leaves the executors.
 """
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_GREEDY_GROUPS = 200_000
-
-
-def greedy_assign(sizes: list[tuple], k: int) -> dict:
-    """Largest group first, into the fold with the fewest rows (lowest fold
-    index on ties). ``sizes`` is [(group, rows)]; groups of equal size are
-    taken in ascending group order."""
-    order = sorted(sizes, key=lambda gs: (-gs[1], gs[0]))
-    heap = [(0, f) for f in range(k)]
-    out = {}
-    for g, n in order:
-        tot, f = heapq.heappop(heap)
-        out[g] = f
-        heapq.heappush(heap, (tot + n, f))
-    return out
-
-
-def group_folds(df: DataFrame, group: str, k: int = 5, out: str = "fold", max_groups: int = MAX_GREEDY_GROUPS):
-    """K2: fold per row, pure by group."""
-    spark = df.sparkSession
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    n_groups = sizes.count()
-    if n_groups > max_groups:
-        return df.withColumn(out, F.pmod(F.xxhash64(F.col(group)), F.lit(k)).cast("int"))
-    rows = [(r[group], r["_n"]) for r in sizes.collect()]
-    nn = [x for x in rows if x[0] is not None]
-    mapping = greedy_assign(nn, k)
-    # NULL group: pandas-style grouping would have dropped it; keep it as its
-    # own group placed last.
-    null_rows = [x for x in rows if x[0] is None]
-    schema = sizes.schema[group].dataType.simpleString()
-    m = spark.createDataFrame(list(mapping.items()), f"{group} {schema}, {out} int")
-    j = df.join(F.broadcast(m), group, "left")
-    if null_rows:
-        j = j.withColumn(out, F.coalesce(F.col(out), F.lit(k - 1)))
-    return j
+from ..session import materialize
+from .ranking import cumulative_counts
+
+
+def size_rounds(totals: list[int], size: int, count: int) -> list[tuple[int, list[int]]]:
+    """For ``count`` groups of ``size`` rows: (first group, folds that take
+    turns from there on). ``totals`` (rows per fold) is brought up to date."""
+    k = len(totals)
+    by_total = sorted(range(k), key=lambda f: (totals[f], f))
+    rounds, at = [], 0
+    for q in range(1, k + 1):
+        low = totals[by_total[q - 1]]
+        turn = sorted(by_total[:q], key=lambda f: ((totals[f] - low) % size, f))
+        rounds.append((at, turn))
+        if q < k:
+            gap = totals[by_total[q]] - low
+            at += sum(max(0, -(-(gap - (totals[f] - low) % size) // size)) for f in by_total[:q])
+        if at >= count:
+            break
+    added = [0] * k
+    for (start, turn), end in zip(rounds, [r[0] for r in rounds[1:]] + [count]):
+        n = min(end, count) - start
+        for place, f in enumerate(turn):
+            added[f] += n // len(turn) + (place < n % len(turn))
+    for f in range(k):
+        totals[f] += added[f] * size
+    return rounds
+
+
+def group_folds(df: DataFrame, group: str, k: int = 5, out: str = "fold") -> DataFrame:
+    """K2: fold per row, pure by group: largest group first (equal ones by
+    key), into the fold with the fewest rows (the lowest index of equals).
+    Rows without a group are one group, put into the last fold."""
+    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = materialize(sizes, "groups")
+    lines = sizes.groupBy("_size").agg(F.count(F.lit(1)).alias("_m")).orderBy(F.desc("_size")).collect()
+    totals = [0] * k
+    rounds = [(r["_size"], size_rounds(totals, r["_size"], r["_m"])) for r in lines]
+    table = df.sparkSession.createDataFrame(rounds, "_size long, _rounds array<struct<at: long, turn: array<int>>>")
+    ranked = cumulative_counts(sizes, group, by=["_size"]).select("_size", group, (F.col("_dense") - 1).alias("_i"))
+    now = F.element_at(F.filter("_rounds", lambda x: x["at"] <= F.col("_i")), -1)
+    fold = ranked.join(table, "_size").withColumn("_now", now)
+    place = ((F.col("_i") - F.col("_now.at")) % F.size("_now.turn") + 1).cast("int")
+    fold = fold.select(group, F.element_at("_now.turn", place).alias(out))
+    j = df.join(fold, group, "left")
+    return j.withColumn(out, F.when(F.col(group).isNull(), F.lit(k - 1)).otherwise(F.col(out)))
 
 
 def split_frames(df: DataFrame, fold: str, k: int) -> DataFrame:

@@ -3,7 +3,7 @@ rows (a handful) are produced."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .joins import duplicate_keys
@@ -75,11 +75,18 @@ def output_contract(out: DataFrame, template: DataFrame, keys: list[str], row_id
     return res.withColumn("columns_in_order", F.lit(order_ok)).withColumn("passed", passed)
 
 
-def column_parity(spark: SparkSession, a: DataFrame, b: DataFrame) -> DataFrame:
-    """Q5: (column, in_a, in_b) for every column of either side."""
-    cols = list(dict.fromkeys([*a.columns, *b.columns]))
-    rows = [(c, c in a.columns, c in b.columns) for c in cols]
-    return spark.createDataFrame(rows, "column string, in_a boolean, in_b boolean")
+def column_parity(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Q5: for every column of either side: whether each side has it, and the
+    share of its rows that hold a value (NULL where the column is missing)."""
+
+    def filled(df: DataFrame, name: str) -> DataFrame:
+        shares = df.agg(*[F.try_divide(F.count(c), F.count(F.lit(1))).alias(c) for c in df.columns])
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias(name)) for c in df.columns]))
+        return shares.select(each.alias("s")).select("s.*", F.lit(True).alias(f"in_{name[-1]}"))
+
+    j = filled(a, "filled_a").join(filled(b, "filled_b"), "column", "full")
+    return j.select("column", F.coalesce("in_a", F.lit(False)).alias("in_a"), F.coalesce("in_b", F.lit(False)).alias("in_b"),
+                    "filled_a", "filled_b")
 
 
 def file_profile(df: DataFrame, name: str, cols: list[str]) -> DataFrame:

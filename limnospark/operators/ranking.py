@@ -5,18 +5,17 @@ A global ``rank().over(Window.orderBy(x))`` runs in ONE task, and the exact
 Neither survives a large table. D1 instead:
 
 1. collapses the column to (value, n) pairs (map-side combined, so a value
-   that holds a third of all rows costs one row);
-2. cuts the distinct values into ``buckets`` ranges. The cut points come from
-   ``percentile_approx`` over the column: a one-row, ``buckets - 1``-element
-   array broadcast into the same plan (computed once per execution, so a
-   recomputed task after an executor loss buckets values the same way; the
-   counts are exact whatever the cut points are);
-3. totals per bucket (``buckets`` rows) are prefix-summed, and the cumulative
-   count inside a bucket is a window partitioned by bucket.
+   that holds a third of all rows costs one row), in one pass over the input;
+2. deals the distinct values into ranges, as many as there are shuffle
+   partitions, and writes the table once to the shared folder: every later
+   step reads the same ranges, also after an executor is lost;
+3. totals per range are prefix-summed, and the cumulative count inside a range
+   is a window partitioned by range.
 
 Exact quantiles read the two order statistics around ``(N-1)p`` from the
 cumulative table (linear interpolation, same as numpy / DuckDB
-``quantile_cont`` / Spark ``percentile``).
+``quantile_cont`` / Spark ``percentile``). Callers that need several results
+of one column make the table once and hand it on as ``cc``.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
+from ..session import materialize
 
 
 def value_counts(df: DataFrame, col: str, by: list[str] | None = None) -> DataFrame:
@@ -33,48 +32,39 @@ def value_counts(df: DataFrame, col: str, by: list[str] | None = None) -> DataFr
     return df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def cumulative_counts(df: DataFrame, col: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Distinct values of ``col`` with ``_n`` (rows holding the value),
-    ``_cum`` (rows with value <= it), ``_dense`` (dense rank) and ``_N``
-    (non-NULL rows)."""
-    vc = value_counts(df, col)
-    if buckets > 1:
-        # Cut points: one row holding buckets-1 approximate quantiles of the
-        # column (bounded size), broadcast into the same plan. They only
-        # balance the buckets; the counts stay exact whatever they are.
-        fr = [i / buckets for i in range(1, buckets)]
-        cuts = df.agg(F.array_sort(F.array_distinct(F.percentile_approx(F.col(col), fr, 10000))).alias("_cuts"))
-        vc = vc.crossJoin(F.broadcast(cuts)).withColumn(
-            "_b", F.greatest(F.lit(0), F.size(F.filter("_cuts", lambda x: x <= F.col(col))))
-        ).drop("_cuts")
-    else:
-        vc = vc.withColumn("_b", F.lit(0))
-    tot = vc.groupBy("_b").agg(F.sum("_n").alias("_bn"), F.count(F.lit(1)).alias("_bd"))
-    wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # <= buckets rows
+def cumulative_counts(df: DataFrame, col: str, by: list[str] | None = None) -> DataFrame:
+    """Distinct values of ``col`` (within ``by``) with ``_n`` (rows holding
+    the value), ``_cum`` (rows with value <= it), ``_dense`` (dense rank) and
+    ``_total`` (non-NULL rows). ``by`` columns must not be NULL."""
+    by = by or []
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    vc = value_counts(df, col, by).repartitionByRange(n, *by, col).withColumn("_b", F.spark_partition_id())
+    vc = materialize(vc, "counts")
+    tot = vc.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn"), F.count(F.lit(1)).alias("_bd"))
+    all_ranges = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))  # a row per range and group
+    before = all_ranges.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(
-        "_b",
-        F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_off"),
-        F.coalesce(F.sum("_bd").over(wb), F.lit(0)).alias("_doff"),
-        F.sum("_bn").over(Window.partitionBy(F.lit(1))).alias("_total"),
+        *by, "_b",
+        F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off"),
+        F.coalesce(F.sum("_bd").over(before), F.lit(0)).alias("_doff"),
+        F.sum("_bn").over(all_ranges).alias("_total"),
     )
-    w = Window.partitionBy("_b").orderBy(col)
-    vc = vc.join(F.broadcast(tot), "_b").select(
-        col,
-        "_n",
+    w = Window.partitionBy(*by, "_b").orderBy(col)
+    return vc.join(tot if by else F.broadcast(tot), [*by, "_b"]).select(
+        *by, col, "_n",
         (F.col("_off") + F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("_cum"),
         (F.col("_doff") + F.row_number().over(w)).alias("_dense"),
         "_total",
     )
-    return vc
 
 
-def rank_table(df: DataFrame, col: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """value -> average / min / max / dense rank, percent rank (0-1) and
+def rank_table(df: DataFrame, col: str, by: list[str] | None = None, cc: DataFrame | None = None) -> DataFrame:
+    """(by,) value -> average / min / max / dense rank, percent rank (0-1) and
     pandas ``rank(pct=True)`` (average rank over N)."""
-    cc = cumulative_counts(df, col, buckets)
+    cc = cc or cumulative_counts(df, col, by)
     avg = F.col("_cum") - F.col("_n") + (F.col("_n") + 1) / 2.0
     return cc.select(
-        col,
+        *(by or []), col,
         avg.alias("rank_avg"),
         (F.col("_cum") - F.col("_n") + 1).alias("rank_min"),
         F.col("_cum").alias("rank_max"),
@@ -87,29 +77,29 @@ def rank_table(df: DataFrame, col: str, buckets: int = DEFAULT_BUCKETS) -> DataF
     )
 
 
-def with_rank(df: DataFrame, col: str, out: str = "rank", method: str = "avg", buckets: int = DEFAULT_BUCKETS):
+def with_rank(df: DataFrame, col: str, out: str = "rank", method: str = "avg"):
     """Add the rank of ``col`` (NULL stays NULL). ``method`` is one
     of avg, min, max, dense, pct (average rank / N), percent (0-1)."""
     name = {"avg": "rank_avg", "min": "rank_min", "max": "rank_max", "dense": "rank_dense",
             "pct": "rank_pct", "percent": "percent_rank"}[method]
-    rt = rank_table(df, col, buckets).select(col, F.col(name).alias(out))
+    rt = rank_table(df, col).select(col, F.col(name).alias(out))
     return df.join(rt, col, "left")
 
 
-def with_desc_min_rank(df: DataFrame, col: str, out: str = "rank", buckets: int = DEFAULT_BUCKETS):
+def with_desc_min_rank(df: DataFrame, col: str, out: str = "rank"):
     """Descending rank with ties sharing the smallest rank
     (1 + rows with a larger value); NULL stays NULL."""
-    cc = cumulative_counts(df, col, buckets)
+    cc = cumulative_counts(df, col)
     rt = cc.select(col, (F.col("_total") - F.col("_cum") + 1).alias(out))
     return df.join(rt, col, "left")
 
 
 def quantiles(df: DataFrame, col: str, probs: list[float], names: list[str] | None = None,
-              buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+              cc: DataFrame | None = None) -> DataFrame:
     """One-row DataFrame of exact linear quantiles of ``col`` (NULLs
     ignored). Columns are ``names`` (default q0, q1, ...)."""
     names = names or [f"q{i}" for i in range(len(probs))]
-    cc = cumulative_counts(df, col, buckets)
+    cc = cc or cumulative_counts(df, col)
     picks = []
     for p in probs:
         h = (F.col("_total") - 1) * F.lit(float(p))

@@ -30,10 +30,9 @@ from pyspark.sql import functions as F
 
 from ..functions.common import seq_asc
 from ..functions.geo import EARTH_RADIUS_KM, haversine_km, mercator_x, mercator_y
-from ..session import cut_lineage
+from ..session import cut_lineage, materialize
 
 KM_PER_DEG = EARTH_RADIUS_KM * math.pi / 180.0
-MAX_ROUNDS = 24
 
 
 def _cell(v, g) -> Column:
@@ -141,7 +140,7 @@ def knn(queries: DataFrame, points: DataFrame, qid: str, pid: str, x: str, y: st
     done = None
     ring = 1
     pending = q
-    for _ in range(MAX_ROUNDS):
+    while True:  # ends once the ring covers every point
         ex = pending.withColumn(
             "_cx", F.explode(seq_asc(F.greatest(F.col("_qcx") - ring, F.lit(cx0)), F.least(F.col("_qcx") + ring, F.lit(cx1))))
         ).withColumn(
@@ -227,16 +226,20 @@ def point_in_ring(px: Column, py: Column, ring: Column) -> Column:
 
 def points_in_polygons(points: DataFrame, polys: DataFrame, x: str, y: str, ring: str, cell: float) -> DataFrame:
     """Left spatial join ``within``: every point kept; one row per
-    containing polygon; polygon columns NULL when none contains it."""
+    containing polygon; polygon columns NULL when none contains it. Cells
+    carry row ids only; a ring is fetched once its polygon's cell has met a
+    point, and points come back by their id, NULL attributes or not."""
+    pts = materialize(points.withColumn("_rid", F.monotonically_increasing_id()), "points")
+    pol = materialize(polys.withColumn("_pid", F.monotonically_increasing_id()), "polygons")
     x0, x1, y0, y1 = _bbox_cells(ring, cell)
-    pc = [c for c in polys.columns]
-    pe = polys.withColumn("_cx", F.explode(seq_asc(x0, x1))).withColumn("_cy", F.explode(seq_asc(y0, y1)))
-    pt = points.withColumns({"_cx": _cell(x, cell), "_cy": _cell(y, cell)})
-    hit = pt.join(pe, ["_cx", "_cy"]).where(point_in_ring(F.col(x), F.col(y), F.col(ring)))
-    hit = hit.drop("_cx", "_cy")
-    miss = pt.drop("_cx", "_cy").join(hit.select(*points.columns), points.columns, "left_anti")
-    miss = miss.select(*points.columns, *[F.lit(None).cast(polys.schema[c].dataType).alias(c) for c in pc])
-    return hit.select(*points.columns, *pc).unionByName(miss)
+    cells = pol.select("_pid", F.explode(seq_asc(x0, x1)).alias("_cx"), y0.alias("_y0"), y1.alias("_y1"))
+    cells = cells.select("_pid", "_cx", F.explode(seq_asc(F.col("_y0"), F.col("_y1"))).alias("_cy"))
+    at = pts.select("_rid", F.col(x).alias("_x"), F.col(y).alias("_y"), _cell(x, cell).alias("_cx"), _cell(y, cell).alias("_cy"))
+    met = at.join(cells, ["_cx", "_cy"]).join(pol.select("_pid", F.col(ring).alias("_ring")), "_pid")
+    hit = met.where(point_in_ring(F.col("_x"), F.col("_y"), F.col("_ring"))).select("_rid", "_pid")
+    found = pol.select("_pid", F.struct(*polys.columns).alias("_pol"))
+    return pts.join(hit, "_rid", "left").join(found, "_pid", "left").select(
+        *points.columns, *[F.col("_pol")[c].alias(c) for c in polys.columns])
 
 
 def segments(lines: DataFrame, lid: str, path: str) -> DataFrame:
@@ -280,7 +283,7 @@ def nearest_line(points: DataFrame, lines: DataFrame, pid: str, lat: str, lon: s
     done = None
     pending = pts
     ring = 1
-    for _ in range(MAX_ROUNDS):
+    while True:  # ends once the ring covers every point
         ex = pending.withColumn("_cx", F.explode(seq_asc(F.col("_qcx") - ring, F.col("_qcx") + ring))).withColumn(
             "_cy", F.explode(seq_asc(F.col("_qcy") - ring, F.col("_qcy") + ring))
         )

@@ -5,7 +5,7 @@ single Exchange(hash on station) + Sort for the whole feature pack.
 
 Skew: a single station may hold a large share of all rows. A plain
 ``Window.partitionBy(station)`` would put that station into one task. When
-``split_rows`` is given, stations with more rows than that are cut into time
+``split_rows`` is given, stations with more rows than that are cut by row position into
 pieces of about ``split_rows`` rows; every piece also receives a read-only
 *halo* of the ``lookback`` rows that precede it, so bounded row frames
 (``rowsBetween(-w, -1)``) stay exact. Prefix quantities over an unbounded
@@ -26,13 +26,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import c, seq_asc
+from ..session import materialize
 
 _POS = "_ls_pos"
 _CHUNK = "_ls_chunk"
 _OWN = "_ls_own"
-
-# Largest hot-key table that is broadcast; beyond it a shuffle join is used.
-BROADCAST_ROWS = 200_000
+_KEY = "_ls_key"
 
 
 @dataclass
@@ -69,7 +68,7 @@ class Series:
         """Drop halo rows and helper columns."""
         if not self.split:
             return df
-        helpers = [_POS, _CHUNK, _OWN, *self.carries.values()]
+        helpers = [_POS, _CHUNK, _OWN, _KEY, *self.carries.values()]
         return df.filter(F.col(_OWN)).drop(*helpers)
 
 
@@ -83,8 +82,7 @@ def series(
 ) -> Series:
     """Build the shared window spec for ``keys`` ordered by ``order``.
 
-    ``order[0]`` must be a date or timestamp (used to cut hot stations into
-    time pieces); the full ``order`` list must be unique within a station.
+    The full ``order`` list must be unique within a station.
     ``lookback`` is the largest number of preceding rows any feature reads.
     ``carry_predicates`` name row predicates whose last prior position is
     needed over an unbounded frame.
@@ -94,30 +92,26 @@ def series(
     if split_rows is None:
         return Series(df, keys, order, Window.partitionBy(*keys).orderBy(*ordering))
 
-    tcol = F.unix_micros(F.col(order[0]).cast("timestamp"))
-    counts = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(tcol).alias("_t0"), F.max(tcol).alias("_t1")
-    )
-    hot = counts.filter(F.col("_n") > split_rows).select(
-        *keys,
-        "_t0",
-        F.greatest(
-            F.lit(1).cast("long"),
-            F.ceil((F.col("_t1") - F.col("_t0") + 1) / F.ceil(F.col("_n") / split_rows)).cast("long"),
-        ).alias("_period"),
-    )
-    n_hot = hot.count()
-    if n_hot == 0:
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = materialize(counts.filter(F.col("_n") > split_rows), "hot")
+    n_hot = hot.agg(F.sum("_n")).first()[0]
+    if not n_hot:
         return Series(df, keys, order, Window.partitionBy(*keys).orderBy(*ordering))
 
-    hot_side = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
-    tagged = df.join(hot_side, keys, "left")
-    piece = F.when(F.col("_period").isNull(), F.lit(0).cast("long")).otherwise(
-        F.floor((tcol - F.col("_t0")) / F.col("_period")).cast("long")
-    )
-    tagged = tagged.withColumn(_CHUNK, piece)
-    cold = tagged.filter(F.col("_period").isNull()).drop("_t0", "_period")
-    h = tagged.filter(F.col("_period").isNotNull()).drop("_t0", "_period")
+    # A struct of the keys compares NULL with NULL as equal, so the series
+    # without a station is split as any other.
+    key = F.struct(*[F.col(k) for k in keys])
+    hot_keys = hot.select(key.alias(_KEY))
+    tagged = df.withColumn(_KEY, key)
+    cold = tagged.join(hot_keys, _KEY, "left_anti").withColumn(_CHUNK, F.lit(-1).cast("long"))
+    h = tagged.join(hot_keys, _KEY, "left_semi")
+    # Pieces are ranges of (station, order): cut by row position, so a burst is
+    # cut as well, and NULL times come first as the window sorts them. Written
+    # once, since all that follows must see the same pieces.
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_hot // split_rows))
+    h = h.repartitionByRange(n, *keys, *ordering).withColumn(_CHUNK, F.spark_partition_id().cast("long"))
+    h = materialize(h, "pieces")
+    keys = [_KEY]
 
     # Position inside each hot piece (pieces are bounded in size).
     wp = Window.partitionBy(*keys, _CHUNK).orderBy(*ordering)

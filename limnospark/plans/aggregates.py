@@ -401,18 +401,23 @@ def _q5_sql() -> str:
     from . import marts  # noqa: F401  (registers J1 / J2)
 
     a, b = _SQL["J1"], _SQL["J2"]
-    return f"""SELECT coalesce(a.column_name, b.column_name) AS "column", a.column_name IS NOT NULL AS in_a,
-  b.column_name IS NOT NULL AS in_b
-FROM (SELECT column_name FROM (DESCRIBE {a})) a FULL OUTER JOIN (SELECT column_name FROM (DESCRIBE {b})) b
-  ON a.column_name = b.column_name"""
+    def side(sql: str) -> str:
+        return f"""(SELECT c, n / (SELECT count(*) FROM ({sql})) AS f
+  FROM (UNPIVOT (SELECT count(COLUMNS(*)) AS "\\0" FROM ({sql})) ON COLUMNS(*) INTO NAME c VALUE n))"""
+
+    return f"""SELECT coalesce(a.c, b.c) AS "column", a.c IS NOT NULL AS in_a, b.c IS NOT NULL AS in_b,
+  round(a.f, 9) AS filled_a, round(b.f, 9) AS filled_b
+FROM {side(a)} a FULL OUTER JOIN {side(b)} b ON a.c = b.c"""
 
 
 @query("Q5", _q5_sql())
 def q5_column_parity(spark, sf_dir):
-    """Q5: train / valid column parity (schema comparison)."""
+    """Q5: train / valid column parity: which side has a column, and the share
+    of rows that hold a value."""
     from .marts import j1_train_mart, j2_valid_mart
 
-    return Q.column_parity(spark, j1_train_mart(spark, sf_dir), j2_valid_mart(spark, sf_dir))
+    p = Q.column_parity(j1_train_mart(spark, sf_dir), j2_valid_mart(spark, sf_dir))
+    return p.select("column", "in_a", "in_b", r("filled_a", 9), r("filled_b", 9))
 
 
 @query(

@@ -360,13 +360,10 @@ def e7_feature_ranking(spark, sf_dir):
     """Rank score 0.6 / 0.25 / 0.15 of min-tie descending ranks; the
     gain of a proxy is the R2 of a one-variable linear fit (corr^2)."""
     p = pair(spark, sf_dir).withColumn("d", F.col("b") - F.col("a"))
-    rows = None
-    for f in _PROXIES:
-        s = EV.spearman_pearson(p, f, "d", 0).select(
-            F.lit(f).alias("feature"), r(F.abs("pearson"), 9).alias("abs_pearson"),
-            r(F.abs("spearman"), 9).alias("abs_spearman"), r(F.pow("pearson", 2), 9).alias("delta_cv_r2"),
-        )
-        rows = s if rows is None else rows.unionByName(s)
+    rows = EV.rank_correlations(p, "d", list(_PROXIES)).select(
+        F.col("proxy").alias("feature"), r(F.abs("pearson"), 9).alias("abs_pearson"),
+        r(F.abs("spearman"), 9).alias("abs_spearman"), r(F.pow("pearson", 2), 9).alias("delta_cv_r2"),
+    )
     out = EV.feature_ranking(rows)
     return out.select("feature", F.col("rk_delta").cast("long").alias("rk_delta"),
                       F.col("rk_spearman").cast("long").alias("rk_spearman"),

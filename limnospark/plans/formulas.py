@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import formulas as FX
+from ..functions.common import nan_to_null
 from ..operators import aggregates as AG
 from ..operators import ranking as RK
 from ..operators import windows as W
@@ -432,7 +433,7 @@ def f20_residual_basis(spark, sf_dir):
 @query(
     "F21",
     """
-WITH b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice - 150000 END AS y FROM orders),
+WITH b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 IN (0, 1, 2, 3) THEN NULL ELSE o_totalprice - 150000 END AS y FROM orders),
 m AS (SELECT quantile_cont(y, 0.5) AS med FROM b)
 SELECT o_orderkey, round(greatest(coalesce(y, med), 0), 4) AS y_safe FROM b, m
 """,
@@ -441,9 +442,11 @@ def f21_finite_guard(spark, sf_dir):
     """missing / non-finite -> median, then clip at 0."""
     o = t(spark, sf_dir, "orders").select(
         "o_orderkey",
-        F.when(F.col("o_orderkey") % 11 == 0, None).otherwise(F.col("o_totalprice") - 150000).alias("y"),
+        F.when(F.col("o_orderkey") % 11 == 0, None).when(F.col("o_orderkey") % 11 == 1, float("nan"))
+        .when(F.col("o_orderkey") % 11 == 2, float("inf")).when(F.col("o_orderkey") % 11 == 3, float("-inf"))
+        .otherwise(F.col("o_totalprice") - 150000).alias("y"),
     )
-    med = RK.quantiles(o, "y", [0.5], ["_med"])
+    med = RK.quantiles(o.select(nan_to_null("y").alias("y")), "y", [0.5], ["_med"])
     j = o.crossJoin(F.broadcast(med))
     return j.select("o_orderkey", r(FX.finite_guard("y", F.col("_med"), 0.0), 4).alias("y_safe"))
 

@@ -338,7 +338,7 @@ def p12_filter(spark, sf_dir):
     "P13",
     """
 SELECT event_id,
-  CAST(coalesce(json_extract_string(props, '$.k'), json_extract_string(props, '$.K'), '-1') AS BIGINT) AS k,
+  TRY_CAST(coalesce(json_extract_string(props, '$.k'), json_extract_string(props, '$.K'), '-1') AS BIGINT) AS k,
   coalesce(json_extract_string(props, '$.model_family'), 'unknown') AS model_family
 FROM events
 """,
@@ -349,43 +349,49 @@ def p13_json_paths(spark, sf_dir):
     return ev.select(
         "event_id",
         F.coalesce(F.get_json_object("props", "$.k"), F.get_json_object("props", "$.K"), F.lit("-1"))
-        .cast("long")
+        .try_cast("long")
         .alias("k"),
         F.coalesce(F.get_json_object("props", "$.model_family"), F.lit("unknown")).alias("model_family"),
     )
 
 
-_P14_LINES = """(SELECT l_returnflag,
-  'target=' || l_returnflag || ' mean=' || printf('%.4f', avg(l_discount)) || ' std=' || printf('%.4f', stddev_pop(l_discount))
-  || ' folds=[' || printf('%.4f', min(l_discount)) || ', ' || printf('%.4f', max(l_discount)) || ']' AS line
+# Two score lines and a line of another kind per text, both signs in use.
+_P14_TEXT = """(SELECT l_returnflag, 'start of run ' || l_returnflag || chr(10)
+  || 'Flag ' || l_returnflag || ' | mean=' || printf('%.4f', avg(l_discount)) || ' ± ' || printf('%.4f', stddev_pop(l_discount))
+  || ' | folds=[' || printf('%.4f', min(l_discount)) || ' ' || printf('%.4f', max(l_discount)) || ']' || chr(10)
+  || 'Tax ' || l_returnflag || ' | mean=' || printf('%.4f', avg(l_tax)) || ' +/- ' || printf('%.4f', stddev_pop(l_tax))
+  || ' | folds=[' || printf('%.4f', min(l_tax)) || ' ' || printf('%.4f', avg(l_tax)) || ' ' || printf('%.4f', max(l_tax)) || ']' AS txt
 FROM lineitem GROUP BY l_returnflag)"""
 
 
 @query(
     "P14",
     f"""
-SELECT regexp_extract(line, 'target=(\\S+)', 1) AS target,
+WITH l AS (SELECT unnest(string_split(txt, chr(10))) AS line FROM {_P14_TEXT}),
+m AS (SELECT line FROM l WHERE contains(line, '| mean='))
+SELECT trim(string_split(line, '|')[1]) AS target,
   CAST(regexp_extract(line, 'mean=([-0-9.]+)', 1) AS DOUBLE) AS mean,
-  CAST(regexp_extract(line, 'std=([-0-9.]+)', 1) AS DOUBLE) AS std,
-  CAST(len(string_split(regexp_extract(line, 'folds=\\[([^\\]]*)\\]', 1), ',')) AS BIGINT) AS n_folds
-FROM {_P14_LINES}
+  CAST(regexp_extract(line, '(?:±|\\+/-) *([-0-9.]+)', 1) AS DOUBLE) AS std,
+  CAST(len(string_split(regexp_extract(line, 'folds=\\[([^\\]]*)\\]', 1), ' ')) AS BIGINT) AS n_folds
+FROM m
 """,
 )
 def p14_metric_lines(spark, sf_dir):
-    """Parse metric lines (target, mean, std, fold list) from text."""
+    """Parse score lines (target, mean, std, fold list) from texts that
+    hold several lines, others among them."""
     li = t(spark, sf_dir, "lineitem")
-    lines = li.groupBy("l_returnflag").agg(
-        F.concat(
-            F.lit("target="), F.col("l_returnflag"),
-            F.lit(" mean="), F.format_string("%.4f", F.avg("l_discount")),
-            F.lit(" std="), F.format_string("%.4f", F.stddev_pop("l_discount")),
-            F.lit(" folds=["), F.format_string("%.4f", F.min("l_discount")), F.lit(", "),
-            F.format_string("%.4f", F.max("l_discount")), F.lit("]"),
-        ).alias("line")
-    )
+    num = lambda c: F.format_string("%.4f", c)
+    d, x = "l_discount", "l_tax"
+    texts = li.groupBy("l_returnflag").agg(F.concat(
+        F.lit("start of run "), F.col("l_returnflag"),
+        F.lit("\nFlag "), F.col("l_returnflag"), F.lit(" | mean="), num(F.avg(d)), F.lit(" ± "), num(F.stddev_pop(d)),
+        F.lit(" | folds=["), num(F.min(d)), F.lit(" "), num(F.max(d)),
+        F.lit("]\nTax "), F.col("l_returnflag"), F.lit(" | mean="), num(F.avg(x)), F.lit(" +/- "), num(F.stddev_pop(x)),
+        F.lit(" | folds=["), num(F.min(x)), F.lit(" "), num(F.avg(x)), F.lit(" "), num(F.max(x)), F.lit("]"),
+    ).alias("txt"))
     from ..sources.artifacts import parse_metric_lines
 
-    return parse_metric_lines(lines, "line")
+    return parse_metric_lines(texts, "txt").drop("folds")
 
 
 @query(

@@ -8,15 +8,17 @@ file, and then scanned back like real run folders.
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.common import row_mean
 from ..operators import aggregates as AG
 from ..operators import joins as J
 from ..sources import artifacts as AR
 from ..sources import files as FS
+from ..sources.tables import TABLES
 from .catalog import query
 from .common import r, t
 from .marts import ORDER_REV_SQL
@@ -75,10 +77,7 @@ def write_runs(spark, sf_dir) -> str:
             F.to_json(F.struct(F.lit("metadata").alias("layout")))).alias("config"),
     )
     out.write.mode("overwrite").partitionBy("run_id").json(base)
-    bad = base.replace("file:", "") + "/run_id=exp_broken"
-    os.makedirs(bad, exist_ok=True)
-    with open(os.path.join(bad, "part-broken.json"), "w") as fh:
-        fh.write('{"run_id": "exp_broken", "cv": {"TA": {"mean": \n')
+    FS.write_text(spark, base + "/run_id=exp_broken/part-broken.json", '{"run_id": "exp_broken", "cv": {"TA": {"mean": \n')
     return base + "/run_id=*/*.json"
 
 
@@ -107,11 +106,11 @@ def a3_manifest_count(spark, sf_dir):
 
 def index_table(spark, sf_dir):
     rep = reports(spark, sf_dir).where(F.col("cv").isNotNull())
-    means = F.transform(F.map_values("cv"), lambda m: m["mean"])
     return rep.select(
         F.col("run_id").alias("experiment_id"),
-        r((F.col("cv")["TA"]["mean"] + F.col("cv")["EC"]["mean"] + F.col("cv")["DRP"]["mean"]) / 3, 6).alias("cv_mean"),
-        r(F.col("cv")["DRP"]["mean"], 6).alias("drp_cv"),
+        # The mean of the targets that are present.
+        r(row_mean([F.try_element_at("cv", F.lit(tg))["mean"] for tg in TARGETS]), 6).alias("cv_mean"),
+        r(F.try_element_at("cv", F.lit("DRP"))["mean"], 6).alias("drp_cv"),
         "model_family", "y_mode_drp",
         AR.manifest_count("features").cast("int").alias("feature_count_drp"),
         F.concat(F.lit("submissions/"), F.col("run_id"), F.lit(".csv")).alias("submission_path"),
@@ -129,7 +128,7 @@ def r1_rebuild_index(spark, sf_dir):
 def r2_audit(spark, sf_dir):
     """R2: full-history audit, per-target means, sorted by the mean."""
     rep = reports(spark, sf_dir).where(F.col("cv").isNotNull())
-    cols = [r(F.col("cv")[tg]["mean"], 6).alias(f"{tg}_mean") for tg in TARGETS]
+    cols = [r(F.try_element_at("cv", F.lit(tg))["mean"], 6).alias(f"{tg}_mean") for tg in TARGETS]
     idx = index_table(spark, sf_dir).select(F.col("experiment_id").alias("run_id"), "cv_mean")
     return rep.select("run_id", "model_family", *cols).join(idx, "run_id").orderBy(F.desc_nulls_last("cv_mean"), "run_id")
 
@@ -260,11 +259,11 @@ def r8_change_audit(spark, sf_dir):
 
 @query("R9", f"SELECT experiment_id, model_family, y_mode_drp, feature_count_drp FROM {INDEX_SQL} ORDER BY created DESC LIMIT 1")
 def r9_newest_run(spark, sf_dir):
-    """Newest run (by file modification time, then creation stamp) and
-    its config summary."""
+    """Newest run (by the run's own stamp, then file modification time)
+    and its config summary."""
     idx = index_table(spark, sf_dir)
     return idx.agg(F.max_by(F.struct("experiment_id", "model_family", "y_mode_drp", "feature_count_drp"),
-                            F.struct("file_mtime", "created")).alias("n")).select("n.*")
+                            F.struct("created", "file_mtime")).alias("n")).select("n.*")
 
 
 # ---------------------------------------------------------------------------
@@ -293,23 +292,17 @@ def a1_a7_csv_roundtrip(spark, sf_dir):
     return back.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
 
 
-@query(
-    "A8_A9",
-    """SELECT 'customer' AS table_name, count(*) AS n_rows FROM customer
-UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'region', count(*) FROM region""",
-)
+@query("A8_A9", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in TABLES))
 def a8_a9_overwrite_load(spark, sf_dir):
-    """Overwrite-load each listed table (missing sources skipped)
-    into a raw area and read the loaded tables back."""
-    base = FS.scratch_path(spark, "raw")
-    sources = {n: f"{sf_dir.rstrip('/')}/{n}.parquet" for n in ("customer", "nation", "region", "not_delivered")}
-    loaded = []
-    for name, src in sources.items():
-        if not os.path.exists(src):
-            continue  # missing file skipped, as in the reference loader
-        FS.write_parquet(spark.read.parquet(src), f"{base}/{name}", "overwrite")
-        loaded.append(name)
-    parts = [spark.read.parquet(f"{base}/{n}").agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("n_rows")) for n in loaded]
+    """Create or replace every listed table of the raw schema from
+    its file (missing files skipped) and read the loaded tables back."""
+    raw = FS.raw_schema(spark, "limnospark_raw")
+    parts = []
+    for name in [*TABLES, "not_delivered"]:
+        src = f"{sf_dir.rstrip('/')}/{name}.parquet"
+        if FS.exists(spark, src):
+            loaded = FS.create_or_replace_table(spark.read.parquet(src), f"{raw}.{name}")
+            parts.append(loaded.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows")))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
@@ -340,21 +333,18 @@ def a11_append_log(spark, sf_dir):
 def a12_mart_cache(spark, sf_dir):
     """Model-ready cache: build the mart once as Parquet, reuse it when
     present."""
-    path = FS.scratch_path(spark, "mart_cache")
-    for _ in range(2):  # second pass finds the cache
-        if FS._exists(spark, path + "/_SUCCESS"):
-            return spark.read.parquet(path)
-        mart = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n_lines"))
-        FS.write_parquet(mart, path)
-    return spark.read.parquet(path)
+    src = f"{sf_dir.rstrip('/')}/lineitem.parquet"
+    return FS.cached(spark, "lines_per_order", [src], lambda: t(spark, sf_dir, "lineitem").groupBy(
+        F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n_lines")))
 
 
 @query("A10", f"SELECT experiment_id, true AS has_audit_time FROM {INDEX_SQL}")
 def a10_insert_audit(spark, sf_dir):
     """A10: rows inserted into a registry table get the audit timestamp by
     default; checks every inserted row has one."""
-    path = FS.scratch_path(spark, "registry_a10")
-    idx = index_table(spark, sf_dir).select("experiment_id", "cv_mean")
-    FS.with_audit_time(idx).write.mode("append").parquet(path)
-    back = spark.read.parquet(path)
+    table = f"{FS.raw_schema(spark, 'limnospark_raw')}.registry_{uuid.uuid4().hex[:8]}"
+    spark.sql(f"CREATE TABLE {table} (experiment_id STRING, cv_mean DOUBLE, created_at TIMESTAMP DEFAULT current_timestamp()) USING parquet")
+    index_table(spark, sf_dir).select("experiment_id", "cv_mean").createOrReplaceTempView("_registry_rows")
+    spark.sql(f"INSERT INTO {table} (experiment_id, cv_mean) SELECT experiment_id, cv_mean FROM _registry_rows")
+    back = spark.table(table)
     return back.select("experiment_id", F.col("created_at").isNotNull().alias("has_audit_time"))

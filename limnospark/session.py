@@ -1,10 +1,11 @@
-"""Session helpers: building a local session for tests/bench, and lineage cuts
-that go to the cluster's shared checkpoint folder."""
+"""Session helpers: building a local session for tests/bench, and intermediate
+tables in the cluster's shared checkpoint folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,11 +37,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder is set by the cluster (a shared file system); it is
-    only filled in here when unset, which happens in local tests."""
+    A cluster has to name it (a shared file system); a temporary folder is
+    made only where the master is local, as in tests."""
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="limnospark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():
@@ -48,8 +51,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+    """``df`` written once as Parquet into the shared folder and read back:
+    survives executor loss, cuts the plan, keeps columnar statistics. The
+    folder is deleted when the application ends."""
+    spark = df.sparkSession
+    where = f"{ensure_checkpoint_dir(spark).rstrip('/')}/limnospark-{label}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(where)
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(where)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never a
-    machine-local one): survives executor loss, truncates the plan."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """:func:`materialize` for the rounds of an iteration."""
+    return materialize(df, "round")

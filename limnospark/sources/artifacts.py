@@ -48,14 +48,16 @@ def read_reports(spark: SparkSession, pattern: str, schema: T.StructType = REPOR
 
 def manifest_count(json_text) -> F.Column:
     """A3: number of features in a manifest that is either a JSON list or an
-    object with a ``columns`` (else ``features``) list."""
+    object with a ``columns`` (else ``features``) list, else the object's own
+    keys."""
     c = F.col(json_text) if isinstance(json_text, str) else json_text
     as_list = F.try_parse_json(c)
     n_list = F.when(F.schema_of_variant(as_list).startswith("ARRAY"), F.size(F.from_json(c, "array<string>")))
     n_cols = F.size(F.from_json(F.get_json_object(c, "$.columns"), "array<string>"))
     n_feats = F.size(F.from_json(F.get_json_object(c, "$.features"), "array<string>"))
+    n_keys = F.size(F.json_object_keys(c))
     pos = lambda x: F.when(x >= 0, x)  # noqa: E731  size(NULL) is -1
-    return F.coalesce(pos(n_list), pos(n_cols), pos(n_feats), F.lit(0))
+    return F.coalesce(pos(n_list), pos(n_cols), pos(n_feats), pos(n_keys), F.lit(0))
 
 
 def cv_long(reports: DataFrame, key: str = "run_id") -> DataFrame:
@@ -66,13 +68,19 @@ def cv_long(reports: DataFrame, key: str = "run_id") -> DataFrame:
     )
 
 
+#: Fixed value: a printed score line, ``name | mean=x ± y | folds=[a b c]``
+#: (``+/-`` stands for ``±`` too).
+METRIC_LINE = r"([^|\n]+?)\s*\|\s*mean=([-\d.]+)\s*(?:±|\+/-)\s*([-\d.]+)\s*\|\s*folds=\[([^\]]+)\]"
+
+
 def parse_metric_lines(df: DataFrame, col: str) -> DataFrame:
-    """``target=<t> mean=<x> std=<y> folds=[a, b, ...]`` -> columns."""
-    c = F.col(col)
-    folds = F.regexp_extract(c, r"folds=\[([^\]]*)\]", 1)
-    return df.select(
-        F.regexp_extract(c, r"target=(\S+)", 1).alias("target"),
-        F.regexp_extract(c, r"mean=([-0-9.]+)", 1).cast("double").alias("mean"),
-        F.regexp_extract(c, r"std=([-0-9.]+)", 1).cast("double").alias("std"),
-        F.size(F.split(folds, ",")).cast("long").alias("n_folds"),
+    """Every score line in a text -> target, mean, std, number of folds,
+    mean over the folds. Text that is no score line gives no row; a number
+    that cannot be read is NULL."""
+    found = df.select(F.explode(F.regexp_extract_all(F.col(col), F.lit(METRIC_LINE), F.lit(0))).alias("line"))
+    part = lambda k: F.regexp_extract("line", METRIC_LINE, k)
+    folds = F.transform(F.split(F.trim(part(4)), r"\s+"), lambda x: x.try_cast("double"))
+    return found.select(
+        F.trim(part(1)).alias("target"), part(2).try_cast("double").alias("mean"), part(3).try_cast("double").alias("std"),
+        F.size(folds).cast("long").alias("n_folds"), folds.alias("folds"),
     )

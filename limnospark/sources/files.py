@@ -6,7 +6,7 @@ location), never a machine-local temporary folder.
 
 from __future__ import annotations
 
-import os
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +17,13 @@ from ..session import ensure_checkpoint_dir
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint location."""
+    """A fresh folder under the shared checkpoint location, deleted when the
+    application ends."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/limnospark-out/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/limnospark-out/{name}-{uuid.uuid4().hex[:12]}"
+    fs, p = _fs(spark, path)
+    fs.deleteOnExit(p)
+    return path
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -43,21 +47,56 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 def append_log(spark: SparkSession, row: DataFrame, path: str) -> DataFrame:
     """Append rows to a metric log; create it when absent; columns
     missing on either side are added (union by name)."""
-    if os.path.exists(path.replace("file:", "")) or _exists(spark, path):
-        old = spark.read.parquet(path)
-        merged = old.unionByName(row, allowMissingColumns=True)
-        tmp = path.rstrip("/") + f".next-{uuid.uuid4().hex[:8]}"
-        merged.write.mode("overwrite").parquet(tmp)
-        return spark.read.parquet(tmp)
-    row.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
+    row.write.mode("append").parquet(path)
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
+def _fs(spark: SparkSession, path: str):
+    """The Hadoop file system that holds ``path``, and the path for it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, through the file system that holds the path."""
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def cached(spark: SparkSession, name: str, inputs: list[str], build) -> DataFrame:
+    """The table that ``build()`` makes, kept as Parquet under a path that
+    follows from its name and from its inputs' paths, sizes and times, so that
+    a later call finds it and a changed input does not."""
+    stamp = []
+    for path in sorted(inputs):
+        fs, p = _fs(spark, path)
+        for s in sorted(fs.listStatus(p), key=lambda s: s.getPath().toString()):
+            stamp.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    key = hashlib.sha256(repr((name, stamp)).encode()).hexdigest()[:16]
+    where = f"{ensure_checkpoint_dir(spark).rstrip('/')}/limnospark-cache/{name}-{key}"
+    if not exists(spark, where + "/_SUCCESS"):
+        write_parquet(build(), where)
+    return spark.read.parquet(where)
+
+
+def raw_schema(spark: SparkSession, name: str) -> str:
+    """A database whose tables lie in the shared folder."""
+    where = f"{ensure_checkpoint_dir(spark).rstrip('/')}/limnospark-{name}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{where}'")
+    return name
+
+
+def create_or_replace_table(df: DataFrame, table: str) -> DataFrame:
+    """Create-or-replace table as select."""
+    df.write.mode("overwrite").format("parquet").saveAsTable(table)
+    return df.sparkSession.table(table)
 
 
 def with_audit_time(df: DataFrame, col: str = "created_at") -> DataFrame:

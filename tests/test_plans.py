@@ -30,3 +30,10 @@ def test_filters_reach_the_scan(spark):
     df = Q["P12"](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)" in plan
+
+
+@pytest.mark.parametrize("qid, table, most", [("D1", "orders", 3), ("T1", "lineitem", 3), ("G12", "lineitem", 3), ("E3", "lineitem", 3),
+                                              ("E7", "lineitem", 3), ("B2", "lineitem", 6), ("B4", "lineitem", 6), ("B5", "lineitem", 6)])
+def test_rank_queries_scan_their_table_few_times(spark, qid, table, most):
+    """What the rank engine needs more than once is written once."""
+    assert _plan(Q[qid](spark, SF)).count(f"{table}.parquet") <= most
