@@ -1,7 +1,7 @@
 """Evaluation and similarity.
 
-Scores are aggregates: R2 per fold uses a two-pass form (fold mean first,
-then squared deviations) for numerical stability; correlations use Spark's
+Scores are aggregates: R2 per fold takes its total sum of squares from the
+streaming variance (numerically stable, one pass); correlations use Spark's
 ``corr``; Spearman is the Pearson correlation of D1 average ranks.
 """
 
@@ -17,12 +17,10 @@ from .ranking import quantiles, rank_table
 def fold_scores(df: DataFrame, y: str, p: str, fold: str) -> DataFrame:
     """Per fold n, R2 (1 - SSE/SST) and RMSE; plus the mean and the
     population std of R2 over folds on every row."""
-    mu = df.groupBy(fold).agg(F.avg(y).alias("_mu"))
-    j = df.join(F.broadcast(mu), fold)
-    per = j.groupBy(fold).agg(
+    per = df.groupBy(fold).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.pow(F.col(y) - F.col(p), 2)).alias("_sse"),
-        F.sum(F.pow(F.col(y) - F.col("_mu"), 2)).alias("_sst"),
+        (F.var_pop(y) * F.count(y)).alias("_sst"),
     ).select(
         fold, "n",
         (1 - F.try_divide(F.col("_sse"), F.col("_sst"))).alias("r2"),

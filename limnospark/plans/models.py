@@ -64,18 +64,22 @@ def m6_poisson(spark, sf_dir):
     return s.select(F.lit("poisson").alias("model"), "fold", "n", r("r2"), r("rmse", 4), r("r2_mean"), r("r2_std"))
 
 
-def _ridge(d, alpha=1.0):
-    st = d.agg(F.stddev_pop(Y).alias("s"), F.count(F.lit(1)).alias("n")).first()
-    return M.ridge(alpha, st["s"], st["n"])
+#: The linear models of M7; penalties come from the training folds.
+LINEAR = {"ridge": M.ridge(1.0), "ridge_cv": M.ridge_cv(), "lasso_cv": M.lasso_cv(), "enet": M.scaled_elastic_net(0.1, 0.5)}
 
 
 @query("M7")
 def m7_linear(spark, sf_dir):
-    """M7: ridge (sklearn alpha mapped to MLlib) and elastic net, fold R2."""
-    d = dataset(spark, sf_dir)
-    a = _scores(M.cv_predictions(d, FEATS, Y, "fold", list(range(K)), _ridge(d), KEY), model="ridge")
-    b = _scores(M.cv_predictions(d, FEATS, Y, "fold", list(range(K)), M.elastic_net(0.1, 0.5), KEY), model="enet")
-    return a.unionByName(b)
+    """M7: ridge, ridge and lasso with the penalty chosen by inner folds, and
+    scaled elastic net: all folds of all models from one aggregate; fold R2."""
+    p = M.linear_cv_predictions(dataset(spark, sf_dir), FEATS, Y, "fold", KEY, LINEAR)
+    long = p.select("fold", Y, F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("pred")) for m in LINEAR])).alias("s"))
+    parts = [_scores(long.where(F.col("s.model") == m).select("fold", Y, "s.pred"), model=m) for m in LINEAR]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _ridge_oof(d, label, feats, name):
+    return M.linear_cv_predictions(d, feats, label, "fold", KEY, {name: M.ridge(1.0)})
 
 
 def _oof(d, est, name):
@@ -87,24 +91,28 @@ def m9_mean_ensemble(spark, sf_dir):
     """M9: mean of tree and ridge out-of-fold predictions."""
     d = dataset(spark, sf_dir)
     a = _oof(d, M.extra_trees(), "p_et")
-    b = _oof(d, _ridge(d), "p_ridge").select(*KEY, "p_ridge")
+    b = _ridge_oof(d, Y, FEATS, "p_ridge").select(*KEY, "p_ridge")
     j = a.join(b, KEY).withColumn("pred", M.mean_ensemble(["p_et", "p_ridge"]))
     return _scores(j, model="mean_et_ridge")
 
 
 @query("M10")
 def m10_stacking(spark, sf_dir):
-    """Stacking with in-sample meta features (base models predict their
-    own training rows, a linear meta model combines them)."""
+    """Stacking with in-sample meta features: four base models predict
+    their own training rows, a scaled elastic net combines them."""
     d = dataset(spark, sf_dir)
+    bases = {"b_et": M.extra_trees(10, 5), "b_rf": M.random_forest(10, 5), "b_gbt": M.gbt(5, 3)}
     parts = []
     for i in range(K):
         tr, te = d.where(F.col("fold") != i), d.where(F.col("fold") == i)
-        m1, te1 = M.fit_predict(tr, te, FEATS, Y, M.extra_trees(), "b1")
-        m2, te2 = M.fit_predict(tr, te1, FEATS, Y, _ridge(d), "b2")
-        tr2 = m2.transform(m1.transform(tr).drop(M.FEATURES)).drop(M.FEATURES)
-        _, te3 = M.fit_predict(tr2, te2, ["b1", "b2"], Y, M.elastic_net(0.0, 0.0), "pred")
-        parts.append(te3.select(*KEY, "fold", Y, "pred"))
+        w, b = M.ridge_fit(sum(M.gram_by_fold(tr, FEATS, Y).values()), 1.0)
+        tr, te = (x.withColumn("b_ridge", M.linear_expression(FEATS, w, b)) for x in (tr, te))
+        for name, est in bases.items():
+            m, te = M.fit_predict(tr, te, FEATS, Y, est, name, [])
+            tr = m.transform(tr).drop(M.FEATURES)
+        meta = ["b_ridge", *bases]
+        w, b = M.elastic_net_fit(sum(M.gram_by_fold(tr, meta, Y).values()), 0.001, 0.5)
+        parts.append(te.withColumn("pred", M.linear_expression(meta, w, b)).select(*KEY, "fold", Y, "pred"))
     return _scores(reduce(lambda a, b: a.unionByName(b), parts), model="stack_in_sample")
 
 
@@ -114,10 +122,11 @@ def m11_oof_stacking(spark, sf_dir):
     pivoted, then an out-of-fold meta model."""
     d = dataset(spark, sf_dir)
     long = _oof(d, M.extra_trees(), "pred").select(*KEY, F.lit("et").alias("model"), "pred").unionByName(
-        _oof(d, _ridge(d), "pred").select(*KEY, F.lit("ridge").alias("model"), "pred"))
+        _ridge_oof(d, Y, FEATS, "pred").select(*KEY, F.lit("ridge").alias("model"), "pred"))
     wide = long.groupBy(*KEY).pivot("model", ["et", "ridge"]).agg(F.first("pred"))
     meta_in = d.select(*KEY, "fold", Y).join(wide, KEY)
-    p = M.cv_predictions(meta_in, ["et", "ridge"], Y, "fold", list(range(K)), M.elastic_net(0.0, 0.0), KEY)
+    meta_in = cut_lineage(meta_in)
+    p = M.linear_cv_predictions(meta_in, ["et", "ridge"], Y, "fold", KEY, {"pred": M.ridge(1e-9)})
     return _scores(p, model="stack_oof")
 
 
@@ -163,7 +172,8 @@ def m14_residual_ridge(spark, sf_dir):
     })
     anchor = _oof(d, M.extra_trees(), "anchor")
     a = d.select(*KEY, "is_bulk", "is_disc").join(anchor, KEY).withColumn("resid", F.col(Y) - F.col("anchor"))
-    p = M.cv_predictions(a, ["is_bulk", "is_disc", "anchor"], "resid", "fold", list(range(K)), _ridge(d), KEY, out="rp")
+    a = cut_lineage(a)
+    p = _ridge_oof(a, "resid", ["is_bulk", "is_disc", "anchor"], "rp")
     j = a.join(p.select(*KEY, "rp"), KEY).withColumn("pred", F.col("anchor") + 0.5 * F.col("rp"))
     return _scores(j, model="anchor_plus_residual")
 
@@ -176,7 +186,7 @@ def m16_gated(spark, sf_dir):
     parts = []
     for i in range(K):
         tr, te = d.where(F.col("fold") != i), d.where(F.col("fold") == i)
-        parts.append(M.gated_experts(tr, te, FEATS, Y, "gate", M.random_forest(10, 5)).select(*KEY, "fold", Y, "pred", "route"))
+        parts.append(M.gated_experts(tr, te, FEATS, Y, "gate", M.random_forest(10, 5), "fold", "l_suppkey").select(*KEY, "fold", Y, "pred", "route"))
     p = reduce(lambda a, b: a.unionByName(b), parts)
     routes = p.groupBy("route").agg(F.count(F.lit(1)).alias("n_route"))
     return _scores(p, model="gated").crossJoin(routes)
@@ -206,8 +216,8 @@ def m18_importances(spark, sf_dir):
 def m19_coefficients(spark, sf_dir):
     """Ridge coefficients sorted by absolute value."""
     d = dataset(spark, sf_dir)
-    m, _ = M.fit_predict(d, d.limit(1), FEATS, Y, _ridge(d))
-    return M.coefficients(m, FEATS, spark)
+    w, _ = M.ridge_fit(sum(M.gram_by_fold(d, FEATS, Y).values()), 1.0)
+    return M.coefficients(w, FEATS, spark)
 
 
 @query("M20")
