@@ -318,7 +318,7 @@ def m1_regions(spark, sf_dir):
     """M1: KMeans regions k = 4 and 6 fitted on the train side of the
     embeddings (hash split), predicted for all rows."""
     e = t(spark, sf_dir, "embeddings")
-    cols = [f"e{i}" for i in range(8)]
+    cols = [f"e{i}" for i in range(64)]
     e = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
     e = FO.random_split(e, "vec_id")
     out = e.select("vec_id", "is_train")

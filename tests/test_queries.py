@@ -53,9 +53,9 @@ def test_query_matches_oracle(spark, duck, qid):
     assert gr == wr
 
 
-# Model fits are slow in local mode; two quick ones always run, the rest
-# with LIMNOSPARK_SLOW=1.
-QUICK_MODELS = {"M7", "M19"}
+# Model operators are tested on small frames in test_models.py; the slower
+# fits over the driver tables run with LIMNOSPARK_SLOW=1.
+QUICK_MODELS = {"M2", "M4", "M7", "M17", "M19"}
 SLOW = os.environ.get("LIMNOSPARK_SLOW") == "1"
 
 
