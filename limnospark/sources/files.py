@@ -87,8 +87,11 @@ def cached(spark: SparkSession, name: str, inputs: list[str], build) -> DataFram
 
 
 def raw_schema(spark: SparkSession, name: str) -> str:
-    """A database whose tables lie in the shared folder."""
-    where = f"{ensure_checkpoint_dir(spark).rstrip('/')}/limnospark-{name}"
+    """A database whose tables lie in the shared folder, in a part that is
+    this application's own and is deleted when it ends."""
+    where = f"{ensure_checkpoint_dir(spark).rstrip('/')}/limnospark-{name}-{spark.sparkContext.applicationId}"
+    fs, p = _fs(spark, where)
+    fs.deleteOnExit(p)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{where}'")
     return name
 
