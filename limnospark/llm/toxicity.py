@@ -1,18 +1,22 @@
 """Toxicity score: a linear classifier over character n-grams whose features
 are scaled by naive Bayes log-count ratios (op 7; Wang & Manning 2012).
 
-1. Counts. A document's features are the hashed character n-grams it holds,
-   once each. Over all labelled rows, each task sums two vectors (documents of
-   either label holding a feature) and the vectors are added by slices, so
-   what is gathered has the fixed size ``2 * 2**bits`` whatever the input.
-2. Ratios. ``r = log((p + s*P/N)/P) - log((q + s*Q/N)/Q)``; the smoothing is
+1. Labelled rows, at most ``MAX_ROWS`` of either label, the smallest hashes
+   of the key first (the stated bound), are taken out of the table by a
+   broadcast of their keys: no text of other rows is shuffled.
+2. Counts. A document's features are the hashed character n-grams it holds,
+   once each. Each task sums two vectors (documents of either label holding a
+   feature) and the vectors are added by slices, so what is gathered has the
+   fixed size ``2 * 2**bits`` whatever the input.
+3. Ratios. ``r = log((p + s*P/N)/P) - log((q + s*Q/N)/Q)``; the smoothing is
    shared in proportion to the classes, so an unseen feature has r = 0.
    Features whose ratio is not significant (``|r|`` below ``MIN_Z`` standard
-   errors) carry nothing and are dropped.
-3. Weights. Logistic regression over ``r`` of the features present, on at
-   most ``max_rows`` labelled rows drawn by a hash of the key (the stated
-   bound), each class weighted back to its share.
-4. Scoring of every whole text is one pass over the table without a shuffle.
+   errors) carry nothing and are dropped; of the others the ``MAX_FEATURES``
+   most significant are used, which bounds the model.
+4. Weights. Logistic regression over ``r`` of the features present, on the
+   first ``FIT_ROWS`` of these rows of either label, each class weighted back
+   to its share.
+5. Scoring of every whole text is one pass over the table without a shuffle.
 
 Defined cases: null or empty texts hold no feature and get the score of the
 intercept; rows without a key are scored, never learnt from; label rows with a
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, free_name, ship, text_of
+from .common import fold_of, free_name, ship, text_of, written
 
 ship(__name__)
 
@@ -39,7 +43,10 @@ BITS = 20
 ORDERS = (4, 5, 6)
 SMOOTH = 1.0
 MIN_Z = 4.0
-MAX_ROWS = 16_000
+MAX_FEATURES = 1 << 14
+MAX_ROWS = 20_000
+FIT_ROWS = 5_000
+PARTS = 16
 SLICES = 64
 _SPACE = re.compile(r"\s+")
 
@@ -152,18 +159,27 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-          bits: int = BITS, orders: tuple[int, ...] = ORDERS, max_rows: int = MAX_ROWS) -> Model:
+          bits: int = BITS, orders: tuple[int, ...] = ORDERS, max_rows: int = MAX_ROWS, fit_rows: int = FIT_ROWS) -> Model:
     """Fit on the labelled rows of ``docs`` that ``labels`` names."""
     told = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("k"))
     told = told.agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("_y")).where("y = _y").drop("_y")
-    body = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), text_of(text).alias("t"))
-    p, q, n_p, n_q = class_counts(body.join(told, "k").select("t", "y"), bits, orders)
+    ids = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k")).distinct()
+    told = written(told.join(ids, "k").withColumn("h", F.xxhash64("k")), "labelled")
+    sizes = {r["y"]: r["n"] for r in told.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    total = (sizes.get(1, 0), sizes.get(0, 0))
     dims = 1 << bits
-    if not n_p or not n_q:
-        share = n_p / max(1, n_p + n_q)
+    if not all(total):
+        share = total[0] / max(1, sum(total))
         return Model(np.zeros(dims), np.log(max(share, 1e-9) / max(1 - share, 1e-9)), bits, orders)
+    first = told.where("y = 1").orderBy("h", "k").limit(max_rows).unionByName(told.where("y = 0").orderBy("h", "k").limit(max_rows))
+    body = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), text_of(text).alias("t"))
+    drawn = written(body.join(F.broadcast(first), "k").repartition(PARTS, F.xxhash64("k", "t")), "drawn")  # 2 * max_rows keys
+    p, q, n_p, n_q = class_counts(drawn.select("t", "y"), bits, orders)
     ratio = log_ratio(p, q, n_p, n_q)
-    use = np.abs(ratio) >= MIN_Z * np.sqrt(1 / (p + 1) + 1 / (q + 1))
+    z = np.abs(ratio) / np.sqrt(1 / (p + 1) + 1 / (q + 1))
+    use = np.zeros(dims, bool)
+    best = np.argsort(-z, kind="stable")[:MAX_FEATURES]
+    use[best[z[best] >= MIN_Z]] = True
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(bits, orders)
@@ -172,23 +188,20 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f.tobytes() for f in feats], pa.binary()), b.column(1)], names=["f", "y"])
 
-    # Half of the bound for either class at most, the smallest hashes of the key first.
-    order = F.xxhash64("k")
-    drawn = told.where("y = 1").orderBy(order).limit(max_rows // 2).unionByName(
-        told.where("y = 0").orderBy(order).limit(max_rows // 2))
-    got = body.join(F.broadcast(drawn), "k").select("t", "y").mapInArrow(sparse, "f binary, y int").toArrow()
+    few = drawn.where("y = 1").orderBy("h", "k").limit(fit_rows).unionByName(drawn.where("y = 0").orderBy("h", "k").limit(fit_rows))
+    got = few.select("t", "y").mapInArrow(sparse, "f binary, y int").toArrow()
     feats = [np.frombuffer(f, np.int32) for f in got.column("f").to_pylist()]
     y = np.array(got.column("y").to_pylist(), np.int64)
-    if len(set(y.tolist())) < 2:
-        return Model(np.zeros(dims), np.log(n_p / n_q), bits, orders)
-    rows = np.repeat(np.arange(len(y)), [len(f) for f in feats])
-    flat = np.concatenate(feats).astype(np.int64)
-    x = ratio[flat]
-    weight = np.where(y == 1, n_p / (y == 1).sum(), n_q / (y == 0).sum())
-    kept, dense = np.unique(flat, return_inverse=True)
-    v, b = fit_weights(rows, dense, x, y, weight, len(kept))
+    rows = np.repeat(np.arange(len(y), dtype=np.int32), [len(f) for f in feats])
+    flat = np.concatenate(feats)
+    del got, feats
+    x = ratio[flat].astype(np.float32)
+    weight = np.where(y == 1, total[0] / (y == 1).sum(), total[1] / (y == 0).sum())
+    kept = np.flatnonzero(use)
+    place = np.zeros(dims, np.int32)
+    place[kept] = np.arange(len(kept))
+    v, b = fit_weights(rows, place[flat], x, y, weight, len(kept))
     weights = np.zeros(dims)
-    weights[use] = 0.1 * ratio[use]  # features of no drawn row keep the starting weight
     weights[kept] = v * ratio[kept]
     return Model(weights, b, bits, orders)
 
