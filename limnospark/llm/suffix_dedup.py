@@ -10,7 +10,8 @@ documents, and strings are judged on the input.
    only cores that occur more than once go on. This drops no repeat and
    leaves what is to be merged in proportion to the repeated passages.
 2. Units alike in every byte need no comparison: all their windows repeat.
-   They go on as one string with its count.
+   They are put together in each task before the shuffle, and go on as one
+   string with its count.
 3. Where a core's units differ, their strings form a collection. The core,
    common to all, is one symbol. Collections of whole cores are put together
    up to ``BATCH`` symbols a task, cut into shards, each shard's transform is
@@ -55,10 +56,6 @@ BATCH = 1 << 19
 MOST = 30_000
 
 
-def _signed(values: list[int]) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64))
-
-
 def keyed(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
     """(doc_id, uid, t, more): ``uid`` is the key where keys are whole and
     unique, else a hash of key and text."""
@@ -69,31 +66,82 @@ def keyed(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
     return docs.select(k.alias("doc_id"), uid.alias("uid"), t.alias("t"), *more)
 
 
+#: Units gathered in a task before alike ones are put together.
+GATHER = 1 << 20
+
+
+def gathered(core: np.ndarray, alike: np.ndarray, uid: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row for units alike in every byte: their number, the first one's
+    uid and place, and the others' packed in ``more``. A group of copies is
+    so put together before it is shuffled."""
+    order = np.lexsort((alike, core))
+    core, alike, uid, place = core[order], alike[order], uid[order], place[order]
+    first = np.flatnonzero(np.concatenate([[True], (core[1:] != core[:-1]) | (alike[1:] != alike[:-1])]))
+    n = np.diff(np.append(first, len(core)))
+    pairs = np.stack([uid, place], 1)
+    more: list[bytes | None] = [None] * len(first)
+    for g in np.flatnonzero(n > 1).tolist():
+        more[g] = pairs[first[g] + 1:first[g] + n[g]].tobytes()
+    packed = pa.array(more, pa.binary())
+    for at in range(0, len(first), 50_000):
+        f = first[at:at + 50_000]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(core[f].view(np.int64)), pa.array(alike[f].view(np.int64)), pa.array(n[at:at + 50_000]),
+             pa.array(uid[f]), pa.array(place[f]), packed.slice(at, 50_000)],
+            names=["core", "alike", "n", "uid", "place", "more"])
+
+
 def unit_rows(base: DataFrame) -> DataFrame:
-    """(core, alike, uid, place) of every unit of every text."""
+    """(core, alike, n, uid, place, more) of every unit of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        for b in batches:
-            found, uids = [], []
+        powers, parts, size, found, uids = Powers(), [], 0, [], []
 
-            def out():
+        def keep():
+            nonlocal size, found, uids
+            if found:
                 core, alike, place = zip(*found)
-                return pa.RecordBatch.from_arrays(
-                    [_signed(core), _signed(alike), pa.array(uids, pa.int64()), pa.array(place, pa.int64())],
-                    names=["core", "alike", "uid", "place"])
+                parts.append((np.array(core, np.uint64), np.array(alike, np.uint64), np.array(uids, np.int64), np.array(place, np.int64)))
+                size += len(found)
+                found, uids = [], []
 
+        for b in batches:
             for u, t in zip(b.column(0).to_pylist(), b.column(1)):
                 got = units(t.as_buffer().to_pybytes(), powers)
                 found += got
                 uids += [u] * len(got)
-                if len(found) > 100_000:
-                    yield out()
-                    found, uids = [], []
-            if found:
-                yield out()
+                if len(found) > 50_000:
+                    keep()
+                if size >= GATHER:
+                    yield from gathered(*(np.concatenate(c) for c in zip(*parts)))
+                    parts, size = [], 0
+        keep()
+        if parts:
+            yield from gathered(*(np.concatenate(c) for c in zip(*parts)))
 
-    return base.select("uid", "t").mapInArrow(run, "core long, alike long, uid long, place long")
+    return base.select("uid", "t").mapInArrow(run, "core long, alike long, n long, uid long, place long, more binary")
+
+
+def spread(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, place, more, spans) -> (uid, a, b): the byte ranges of the
+    repeated windows of every unit; null spans stand for all windows."""
+    for batch in rows:
+        uids, places, lows, highs = [], [], [], []
+        for u, p, more, spans in zip(*(c.to_pylist() for c in batch.columns)):
+            members = [(u, p)]
+            if more:
+                members += map(tuple, np.frombuffer(more, np.int64).reshape(-1, 2).tolist())
+            inner = [(0, unplace(p)[2])] if spans is None else [(s["a"], s["b"]) for s in spans]
+            for m, q in members:
+                first = q >> 16
+                for a, b in inner:
+                    uids.append(m)
+                    lows.append(first + a)
+                    highs.append(first + b + LENGTH - 1)
+            if len(uids) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(lows, pa.int64()), pa.array(highs, pa.int64())], names=["uid", "a", "b"])
+                uids, lows, highs = [], [], []
+        yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(lows, pa.int64()), pa.array(highs, pa.int64())], names=["uid", "a", "b"])
 
 
 def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,11 +232,11 @@ def repeated_spans(base: DataFrame, by_uid: DataFrame) -> DataFrame:
     n = tasks(base.sparkSession)
     core = W.partitionBy("core")
     counted = unit_rows(base).select(
-        "*", F.count("*").over(core).alias("n"), (F.min("alike").over(core) != F.max("alike").over(core)).alias("mixed"))
-    found = written(counted.where("n > 1").drop("n"), "units")
+        "*", F.sum("n").over(core).alias("total"), (F.min("alike").over(core) != F.max("alike").over(core)).alias("mixed"))
+    found = written(counted.where("total > 1").drop("total"), "units")
     mixed = found.where("mixed")
     strings = mixed.groupBy("core", "alike").agg(
-        F.count("*").alias("weight"), F.min(F.struct("uid", "place")).alias("at"))
+        F.sum("n").alias("weight"), F.min(F.struct("uid", "place")).alias("at"))
     wants = strings.groupBy("at.uid").agg(
         F.collect_list(F.struct("core", "alike", "weight", F.col("at.place").alias("place"))).alias("wants"))
     cuts = by_uid.select("uid", "t").join(wants, "uid").select("t", "wants").mapInArrow(
@@ -200,12 +248,11 @@ def repeated_spans(base: DataFrame, by_uid: DataFrame) -> DataFrame:
     spans = usual.repartition(n, "core").sortWithinPartitions("core").mapInArrow(merged_windows, span)
     if overfull:
         spans = spans.unionByName(counted_windows(cuts.join(over, "core", "left_semi")))
-    first = F.shiftright("place", 16)
-    whole = found.where("not mixed").select(
-        "uid", first.alias("a"), (first + F.col("place").bitwiseAND(255) + (LENGTH - 1)).alias("b"))
-    partly = mixed.join(spans, ["core", "alike"]).select("uid", first.alias("first"), F.explode("spans").alias("s")).select(
-        "uid", (F.col("first") + F.col("s.a")).alias("a"), (F.col("first") + F.col("s.b") + (LENGTH - 1)).alias("b"))
-    return whole.unionByName(partly).groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    none = F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans")
+    whole = found.where("not mixed").select("uid", "place", "more", none)
+    partly = mixed.join(spans, ["core", "alike"]).select("uid", "place", "more", "spans")
+    ranges = whole.unionByName(partly).mapInArrow(spread, "uid long, a long, b long")
+    return ranges.groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def unite(spans) -> list[tuple[int, int]]:
