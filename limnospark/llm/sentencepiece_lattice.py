@@ -19,10 +19,11 @@ and each different word once.
    touch are edges of the same lattice, so for them the fold holds the set of
    boundaries as bits, and each step takes the best edge that covers exactly
    two symbols. The outcome equals the library's.
-4. The words' pieces go back to the blocks that hold the words, and each block
-   is encoded by lookup. Characters that are no piece become byte pieces.
+4. The words, parted into pieces, go back to the blocks that hold them, and
+   each block is encoded by lookup. Characters that are no piece become byte
+   pieces.
 
-Words over ``LONGEST`` characters are merged by the same rule in a task, since
+Words over ``LONGEST`` characters are parted by the same rules in a task, since
 the bit set ends there. Decoding joins pieces and byte pieces and takes the
 first space away; a text's own U+2581 comes back as a space, as it does in the
 library.
@@ -44,15 +45,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, text_of
+from .common import ship, tasks, text_of
 
 ship(__name__)
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK = 16 << 20
+BLOCK = 20 << 20
 LONGEST = 60
 MOST_PIECES = 2_000_000
 SPACE = "▁"
+PART = "\x1f"
 _WORD = re.compile(r" +[^ ]*|[^ ]+")
 
 
@@ -64,6 +66,8 @@ class Model:
         special = set(byte_ids.values())
         self.pieces = {p: (i, s) for i, (p, s) in enumerate(zip(pieces, scores)) if p is not None and i not in special}
         self.longest = max(map(len, self.pieces), default=1)
+        # Cost of a character that is no piece, for unigram models.
+        self.worst = 10.0 - min([s for p, (_, s) in self.pieces.items() if len(p) == 1], default=0.0)
         multi = [p for p in self.pieces if len(p) > 1]
         self.chars = "".join(sorted(set("".join(multi))))
         self.pairs = sorted({a + b for p in multi for a, b in zip(p, p[1:])})
@@ -85,9 +89,9 @@ class Model:
         return Model(pieces, [sp.get_score(i) for i in range(n)], byte_ids, sp.unk_id(), kind)
 
     def edges(self, spark: SparkSession) -> DataFrame:
-        """The pieces of two characters or more: (piece, id, cost)."""
-        rows = [(p, i, -float(s)) for p, (i, s) in self.pieces.items() if len(p) > 1]
-        return spark.createDataFrame(rows, "piece string, id int, cost double")
+        """The pieces of two characters or more: (piece, cost)."""
+        rows = [(p, -float(s)) for p, (_, s) in self.pieces.items() if len(p) > 1]
+        return spark.createDataFrame(rows, "piece string, cost double")
 
 
 class Cutter:
@@ -99,32 +103,23 @@ class Cutter:
         self.joined = np.zeros((len(model.chars) + 1,) * 2, bool)
         for p in model.pairs:
             self.joined[self.klass[ord(p[0])], self.klass[ord(p[1])]] = True
-
-    def __call__(self, words: list[str]) -> list[list[str]]:
-        out = []
-        for at in range(0, len(words), 1 << 16):
-            part = words[at:at + (1 << 16)]
-            line = "\n".join(part).replace(" ", SPACE)
-            codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-            k = self.klass[codes]
-            cut = (np.flatnonzero(~self.joined[k[:-1], k[1:]]) + 1).tolist()
-            bounds = [0, *cut, len(line)]
-            ends = np.cumsum([len(w) + 1 for w in part]).tolist()
-            subs, i, start = [line[a:b] for a, b in zip(bounds, bounds[1:])], 0, 0
-            for e in ends:  # a word ends before the line feed at e - 1
-                own, j = [], start
-                while j < e - 1:
-                    s = subs[i]
-                    if j + len(s) > e - 1:  # never crosses: a line feed put in is cut off by itself
-                        s = s[:e - 1 - j]
-                    own.append(s)
-                    j += len(s)
-                    i += 1
-                if j < len(line) and i < len(subs) and subs[i] == "\n":
-                    i += 1
-                out.append(own)
-                start = e
-        return out
+        # A mark between words: a character that no piece joins to another.
+        self.mark = next(c for c in map(chr, range(1, 0x110000)) if c not in model.chars)
+
+    def __call__(self, keys: list[str]) -> Iterator[tuple[list[str], list[int]]]:
+        """For some keys at a time: their lattice words end to end, and where
+        each key's words end. A key is a space-led word without its first
+        space."""
+        for at in range(0, len(keys), 1 << 16):
+            part = keys[at:at + (1 << 16)]
+            line = (" " + f"{self.mark} ".join(part)).replace(" ", SPACE) + self.mark
+            k = self.klass[np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)]
+            bounds = np.concatenate([[0], np.flatnonzero(~self.joined[k[:-1], k[1:]]) + 1, [len(line)]])
+            # Each key's mark is a word of its own, at the place that its length gives.
+            marks = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 2) - 1
+            ends = np.searchsorted(bounds, marks)
+            bounds = bounds.tolist()
+            yield [line[a:b] for a, b in zip(bounds, bounds[1:])], ends.tolist()
 
 
 def pack(docs: DataFrame, key: str, text: str, blocks: int) -> DataFrame:
@@ -153,9 +148,15 @@ def unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
 
 
-def words_of(text: str) -> list[str]:
-    """Runs of spaces with what follows, the put-in space first."""
-    return _WORD.findall(" " + text.replace(SPACE, " ")) if text else []
+def keys_of(text: str) -> list[str]:
+    """A text's space-led words (the put-in space first), each without its
+    first space; further spaces stay with the word after them."""
+    if not text:
+        return []
+    text = text.replace(SPACE, " ")
+    if "  " in text or text[0] == " ":
+        return [w[1:] for w in _WORD.findall(" " + text)]
+    return text.split(" ")
 
 
 def block_words(packed: DataFrame, model: Model) -> DataFrame:
@@ -167,13 +168,16 @@ def block_words(packed: DataFrame, model: Model) -> DataFrame:
             for k, blob in zip(b.column(0).to_pylist(), b.column(1)):
                 have = seen.setdefault(k, set())
                 for t in unpack(blob.as_buffer().to_pybytes()).column("t"):
-                    have.update(words_of(t.as_py()))
-        for k, have in seen.items():
-            subs = {s for own in cutter(list(have)) for s in own if 1 < len(s) <= LONGEST}
-            out = pa.array(subs, pa.string())
+                    have.update(keys_of(t.as_py()))
+        while seen:
+            k, have = seen.popitem()
+            words: set[str] = set()
+            for subs, _ in cutter(list(have)):
+                words.update(subs)
+            out = [w for w in words if 1 < len(w) <= LONGEST]
             for at in range(0, len(out), 50_000):
-                part = out.slice(at, 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(part), pa.int32()), part], names=["block", "word"])
+                part = out[at:at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(part), pa.int32()), pa.array(part, pa.string())], names=["block", "word"])
 
     return packed.mapInArrow(run, "block int, word string")
 
@@ -188,42 +192,46 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     subs = at.select("word", "at", F.explode(F.sequence(F.lit(2), F.least(F.lit(max(2, longest)), F.col("n") - F.col("at") + 1))).alias("k"))
     subs = subs.withColumn("piece", F.expr("substring(word, at, k)"))
     found = subs.join(F.broadcast(pieces), "piece")
-    one = F.lit(1).cast("long")
     edge = F.struct(
-        "cost", F.col("at").alias("at"), F.col("k"), F.col("id"),
+        "cost", "at", "k",
         F.expr("shiftleft(1L, at - 1) | shiftleft(1L, at - 1 + k)").alias("ends"),
         F.expr("shiftleft(shiftleft(1L, k - 1) - 1L, at)").alias("inner"))
-    return found.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"), F.max(one).alias("_")).drop("_")
+    return found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+
+
+#: The word with a mark between its pieces, from the boundaries ``cuts``. It
+#: ends the folds, where ``cuts`` is a value and not an expression to repeat.
+_PARTED = """array_join(transform(sequence(1, char_length({word})), i -> if(i > 1 AND (cuts & shiftleft(1L, i - 1)) != 0L,
+    concat('\\u001f', substring({word}, i, 1)), substring({word}, i, 1))), '')"""
 
 
 def fold_merges(edges: str = "edges", word: str = "word") -> Column:
-    """Used edges of a bpe word, by merging. The accumulator is the set of
-    boundaries; bit i stands before character i."""
+    """A bpe word parted into its pieces, by merging. The accumulator is the
+    set of boundaries; bit i stands before character i."""
     return F.expr(f"""
         aggregate(
-          sequence(2, char_length({word})),
+          sequence(1, least(char_length({word}) - 1, size({edges}))),
           shiftleft(1L, char_length({word}) + 1) - 1L,
           (cuts, _) -> cuts & ~coalesce(
             get(filter({edges}, e -> (cuts & e.ends) = e.ends AND bit_count(cuts & e.inner) = 1), 0).inner, 0L),
-          cuts -> filter({edges}, e -> (cuts & e.ends) = e.ends AND (cuts & e.inner) = 0L))""")
+          cuts -> {_PARTED.format(word=word)})""")
 
 
 def fold_viterbi(singles: Column, edges: str = "edges", word: str = "word") -> Column:
-    """Used edges of a unigram word: the path of least cost. ``singles``: cost
+    """A unigram word parted along its path of least cost. ``singles``: cost
     of each character by itself, as an array. The accumulator holds for every
-    place the cost so far and the edge (at, k, id) that ends there."""
+    place the cost so far and the edge (at, k) that ends there."""
     step = F.col(edges)
 
     def places(best: Column, i: Column) -> Column:
-        own = F.struct((F.element_at(best, i)["cost"] + F.element_at(singles, i)).alias("cost"), i.alias("at"),
-                       F.lit(1).alias("k"), F.lit(-1).alias("id"))
+        own = F.struct((F.element_at(best, i)["cost"] + F.element_at(singles, i)).alias("cost"), i.alias("at"), F.lit(1).alias("k"))
         ending = F.transform(F.filter(step, lambda e: e["at"] + e["k"] == i + 1), lambda e: F.struct(
-            (F.element_at(best, e["at"])["cost"] + e["cost"]).alias("cost"), e["at"].alias("at"), e["k"].alias("k"), e["id"].alias("id")))
+            (F.element_at(best, e["at"])["cost"] + e["cost"]).alias("cost"), e["at"].alias("at"), e["k"].alias("k")))
         return F.concat(best, F.array(F.array_min(F.concat(F.array(own), ending))))
 
-    zero = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("at"), F.lit(0).alias("k"), F.lit(-1).alias("id")))
+    zero = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("at"), F.lit(0).alias("k")))
     best = F.aggregate(F.sequence(F.lit(1), F.char_length(word)), zero, places)
-    none = F.array().cast("array<struct<cost:double,at:int,k:int,id:int>>")
+    none = F.array().cast("array<struct<cost:double,at:int,k:int>>")
     back = F.aggregate(
         F.sequence(F.lit(1), F.char_length(word)),
         F.struct((F.char_length(word) + 1).alias("to"), none.alias("path"), best.alias("best")),
@@ -231,18 +239,21 @@ def fold_viterbi(singles: Column, edges: str = "edges", word: str = "word") -> C
             F.element_at(acc["best"], acc["to"])["at"].alias("to"),
             F.concat(F.array(F.element_at(acc["best"], acc["to"])), acc["path"]).alias("path"), acc["best"].alias("best"))),
         lambda acc: acc["path"])
-    return F.filter(back, lambda e: e["id"] >= 0)
+    every = F.expr(f"shiftleft(1L, char_length({word}) + 1) - 1L")
+    one = F.lit(1).cast("long")
+    inner = lambda e: F.call_function("shiftleft", F.call_function("shiftleft", one, e["k"] - 1) - one, e["at"])
+    places_ = F.sequence(F.lit(1), F.char_length(word))
 
+    def finish(cuts: Column) -> Column:
+        mark = lambda i: (i > 1) & (cuts.bitwiseAND(F.call_function("shiftleft", one, i - 1)) != 0)
+        char = lambda i: F.substring(word, i, 1)
+        return F.array_join(F.transform(places_, lambda i: F.when(mark(i), F.concat(F.lit(PART), char(i))).otherwise(char(i))), "")
 
-def used(table: DataFrame, fold: Column) -> DataFrame:
-    """(word, flat): at, k, id of each used edge, one after the other."""
-    flat = F.flatten(F.transform(F.array_sort(F.transform(fold, lambda e: F.array(e["at"], e["k"], e["id"]))), lambda x: x))
-    return table.select("word", flat.alias("flat"))
+    return F.aggregate(back, every, lambda cuts, e: cuts.bitwiseAND(F.bitwise_not(inner(e))), finish)
 
 
-def merge_word(word: str, pieces: dict[str, tuple[int, float]]) -> list[tuple[int, int, int]]:
-    """The merge rule for a word of any length: (at, k, id) of its pieces of
-    two characters or more."""
+def merge_word(word: str, pieces: dict[str, tuple[int, float]]) -> list[str]:
+    """The merge rule for a word of any length: its pieces."""
     n = len(word)
     after, before, size = list(range(1, n + 1)), list(range(-1, n - 1)), [1] * n
     heap: list[tuple[float, int, int, int]] = []
@@ -267,71 +278,84 @@ def merge_word(word: str, pieces: dict[str, tuple[int, float]]) -> list[tuple[in
             offer(before[a])
     out, a = [], 0
     while a < n:
-        if size[a] > 1:
-            out.append((a + 1, size[a], pieces[word[a:a + size[a]]][0]))
+        out.append(word[a:a + size[a]])
         a = after[a]
     return out
 
 
+def viterbi_word(word: str, pieces: dict[str, tuple[int, float]], longest: int, worst: float) -> list[str]:
+    """The least-cost path for a word of any length: its pieces."""
+    best: list[tuple[float, int]] = [(0.0, 0)]
+    for end in range(1, len(word) + 1):
+        ways = [(best[end - 1][0] + worst, end - 1)] if word[end - 1] not in pieces else []
+        for at in range(max(0, end - longest), end):
+            if p := pieces.get(word[at:end]):
+                ways.append((best[at][0] - p[1], at))
+        best.append(min(ways))
+    out, end = [], len(word)
+    while end:
+        out.append(word[best[end][1]:end])
+        end = best[end][1]
+    return out[::-1]
+
+
 def encoded_blocks(packed: DataFrame, table: DataFrame, model: Model) -> DataFrame:
-    """packed (block, blob), table (block, word, flat) -> the documents."""
+    """packed (block, blob), table (block, parts) -> the documents."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         cutter, pieces = Cutter(model), model.pieces
-
-        def single(c: str) -> tuple[int, ...]:
-            if c in pieces:
-                return (pieces[c][0],)
-            raw = c.encode("utf-8", "surrogatepass")
-            return tuple(model.byte_ids[b] for b in raw) if model.byte_ids else (model.unknown,)
-
-        singles: dict[str, tuple[int, ...]] = {}
-        known: dict[str, tuple[int, int]] = {}
-        flat = right.column("flat").combine_chunks()
-        marks, values = flat.offsets.to_pylist(), flat.values.to_pylist()
-        known.update(zip(right.column("word").to_pylist(), zip(marks, marks[1:])))
-
-        def ids(s: str) -> list[int]:
-            if len(s) > LONGEST and model.kind == "bpe":
-                path = [x for e in merge_word(s, pieces) for x in e]
-            else:
-                a, b = known.get(s, (0, 0))
-                path = values[a:b]
-            out, at = [], 1
-            for i in range(0, len(path), 3):
-                for c in s[at - 1:path[i] - 1]:
-                    out += singles.get(c) or singles.setdefault(c, single(c))
-                out.append(path[i + 2])
-                at = path[i] + path[i + 1]
-            for c in s[at - 1:]:
-                out += singles.get(c) or singles.setdefault(c, single(c))
-            return out
-
-        texts = [unpack(x.as_buffer().to_pybytes()) for x in left.column("blob")]
-        words: set[str] = set()
-        for part in texts:
-            for t in part.column("t"):
-                words.update(words_of(t.as_py()))
-        order = list(words)
-        del words
-        spelt = {w: np.array([i for s in own for i in ids(s)], np.int32).tobytes() for w, own in zip(order, cutter(order))}
+        code = {p: i.to_bytes(4, "little") for p, (i, _) in pieces.items()}
+
+        def other(c: str) -> bytes:
+            """A character that is no piece."""
+            ids = [model.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")] if model.byte_ids else [model.unknown]
+            return code.setdefault(c, b"".join(i.to_bytes(4, "little") for i in ids))
+
+        def spell_out(parts) -> bytes:
+            return b"".join([code.get(p) or other(p) for p in parts])
+
+        known = {p.replace(PART, ""): spell_out(p.split(PART)) for p in right.column("parts").to_pylist()}
+
+        def sub(w: str) -> bytes:
+            if len(w) > LONGEST:
+                parts = merge_word(w, pieces) if model.kind == "bpe" else viterbi_word(w, pieces, model.longest, model.worst)
+            else:  # no piece of two characters lies in it
+                parts = w
+            return known.setdefault(w, spell_out(parts))
+
+        blobs, keys = left.column("blob"), set()
+        for blob in blobs:  # unpacked twice rather than held
+            for t in unpack(blob.as_buffer().to_pybytes()).column("t"):
+                keys.update(keys_of(t.as_py()))
+        order, spelt, at = list(keys), {}, 0
+        del keys
+        for subs, ends in cutter(order):
+            codes, first = [known.get(w) or sub(w) for w in subs], 0
+            for end in ends:
+                spelt[order[at]] = codes[first] if end - first == 1 else b"".join(codes[first:end])
+                at, first = at + 1, end + 1  # past the mark
+        known.clear()
+        # Decoding is word by word, so a text comes back whole if its words do.
+        spell = model.bytes_of
+        broken = {k for k, ids in spelt.items() if b"".join([spell[i] for i in memoryview(ids).cast("i")]) != (" " + k).encode("utf-8", "surrogatepass")}
+        del order
         out: list[list] = [[], [], [], []]
         buffers, total = [], [0]
-        get, spell = spelt.__getitem__, model.bytes_of
-        for part in texts:
+        get = spelt.__getitem__
+        for blob in blobs:
+            part = unpack(blob.as_buffer().to_pybytes())
             out[0] += part.column("doc_id").to_pylist()
             for t in part.column("t"):
                 t = t.as_py()
-                code = b"".join(map(get, words_of(t)))
-                tokens = np.frombuffer(code, np.int32)
-                back = b"".join(map(spell.__getitem__, tokens.tolist()))[1:]
+                words = keys_of(t)
+                ids = b"".join(map(get, words))
                 out[1].append(len(t))
-                out[2].append(len(tokens))
-                out[3].append(back == t.replace(SPACE, " ").encode("utf-8", "surrogatepass"))
-                buffers.append(code)
-                total.append(total[-1] + len(tokens))
-        values_ = pa.array(np.frombuffer(b"".join(buffers), np.int32))
-        lists = pa.LargeListArray.from_arrays(pa.array(total, pa.int64()), values_).cast(pa.list_(pa.int32()))
+                out[2].append(len(ids) // 4)
+                out[3].append(not broken or broken.isdisjoint(words))
+                buffers.append(ids)
+                total.append(total[-1] + len(ids) // 4)
+        values = pa.array(np.frombuffer(b"".join(buffers), np.int32))
+        lists = pa.ListArray.from_arrays(pa.array(total, pa.int32()), values)
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), lists, pa.array(out[3], pa.bool_())],
                         names=["doc_id", "n_chars", "n_tokens", "token_ids", "round_trip"])
 
@@ -345,17 +369,19 @@ def encode(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     packed = pack(docs, key, text, max(1, -(-size // block)))
-    listed = block_words(packed, model)
-    words = lattice(listed.select("word").distinct(), model.edges(spark), model.longest)
+    # Dealt by word once: the different words and the join below share that.
+    listed = block_words(packed, model).repartition(tasks(spark), "word")
+    each = listed.groupBy("word").agg(F.min("block").alias("in"))  # both columns, so that the exchange is the same
+    words = lattice(each.where("in >= 0"), model.edges(spark), model.longest)
     if model.kind == "bpe":
-        table = used(words, fold_merges())
+        parts = fold_merges()
     else:
         costs = {c: -s for c, (_, s) in model.pieces.items() if len(c) == 1}
-        worst = max([*costs.values(), 0.0]) + 10.0
         prices = F.create_map(*[F.lit(x) for kv in costs.items() for x in kv]) if costs else F.create_map().cast("map<string,double>")
-        single = F.transform(F.split("word", ""), lambda c: F.coalesce(F.element_at(prices, c), F.lit(worst)))
-        table = used(words.withColumn("_costs", single), fold_viterbi(F.col("_costs")))
-    return encoded_blocks(packed, listed.join(table, "word").select("block", "word", "flat"), model)
+        single = F.transform(F.split("word", ""), lambda c: F.coalesce(F.element_at(prices, c), F.lit(model.worst)))
+        words, parts = words.withColumn("_costs", single), fold_viterbi(F.col("_costs"))
+    table = words.select("word", parts.alias("parts"))
+    return encoded_blocks(packed, listed.join(table, "word").select("block", "parts"), model)
 
 
 def decode(df: DataFrame, model: Model, ids: str = "token_ids", name: str = "decoded") -> DataFrame:

@@ -48,6 +48,8 @@ MAX_ROWS = 20_000
 FIT_ROWS = 5_000
 PARTS = 16
 SLICES = 64
+#: Non-zeros handled at once in a fit, which bounds the driver's memory.
+CHUNK = 1 << 19
 _SPACE = re.compile(r"\s+")
 
 
@@ -137,11 +139,16 @@ def fit_weights(rows: np.ndarray, feats: np.ndarray, x: np.ndarray, y: np.ndarra
     of every non-zero. The penalty draws weights to ``start`` (plain naive
     Bayes scaled), as rare features say little by themselves."""
     v, b = np.full(dims, start), float(np.log(weight[y == 1].sum() / weight[y == 0].sum()))
+    parts = [slice(at, at + CHUNK) for at in range(0, len(rows), CHUNK)]
     m, s, mb, sb, total = np.zeros(dims), np.zeros(dims), 0.0, 0.0, weight.sum()
     for t in range(1, steps + 1):
-        z = np.bincount(rows, v[feats] * x, minlength=len(y)) + b
+        z = np.full(len(y), b)
+        for c in parts:
+            z += np.bincount(rows[c], v[feats[c]] * x[c], minlength=len(y))
         gap = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / total
-        g = np.bincount(feats, gap[rows] * x, minlength=dims) + ridge * (v - start)
+        g = ridge * (v - start)
+        for c in parts:
+            g += np.bincount(feats[c], gap[rows[c]] * x[c], minlength=dims)
         gb = gap.sum()
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
         mb, sb = 0.9 * mb + 0.1 * gb, 0.99 * sb + 0.01 * gb * gb
@@ -194,13 +201,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     y = np.array(got.column("y").to_pylist(), np.int64)
     rows = np.repeat(np.arange(len(y), dtype=np.int32), [len(f) for f in feats])
     flat = np.concatenate(feats)
-    del got, feats
-    x = ratio[flat].astype(np.float32)
+    del got, feats, p, q, z
+    x = ratio.astype(np.float32)[flat]
     weight = np.where(y == 1, total[0] / (y == 1).sum(), total[1] / (y == 0).sum())
     kept = np.flatnonzero(use)
     place = np.zeros(dims, np.int32)
     place[kept] = np.arange(len(kept))
-    v, b = fit_weights(rows, place[flat], x, y, weight, len(kept))
+    flat = place[flat]
+    v, b = fit_weights(rows, flat, x, y, weight, len(kept))
     weights = np.zeros(dims)
     weights[kept] = v * ratio[kept]
     return Model(weights, b, bits, orders)

@@ -22,21 +22,25 @@ def library():
 
 def test_cutter(model):
     cut = S.Cutter(model)
-    words = [" hello", " a.b\nc", "  x", " ", " é日本\n\n", " thnt\n", "tail"]
-    for own, w in zip(cut(words), words):
-        assert "".join(own) == w.replace(" ", S.SPACE)
+    keys = ["hello", "a.b\nc", " x", "", "é日本\n\n", "thnt\n", "tail"]
+    (subs, ends), = cut(keys)
+    first = 0
+    for key, end in zip(keys, ends):
+        assert "".join(subs[first:end]) == (" " + key).replace(" ", S.SPACE)
+        first = end + 1
 
 
-def test_merge_word(model, library):
+def test_keys(model):
+    for t in ("a b", "a  b", " a", "a ", "  ", " ", "a", "a   b c ", "\n x"):
+        assert "".join(" " + k for k in S.keys_of(t)) == " " + t
+    assert S.keys_of("") == []
+
+
+def test_words_of_any_length(model, library):
     r = random.Random(4)
     for _ in range(200):
-        word = S.SPACE + "".join(r.choice("theonrigask") for _ in range(r.randint(1, 90)))
-        path, out, at = S.merge_word(word, model.pieces), [], 1
-        for a, k, i in path:
-            out += [model.pieces[c][0] for c in word[at - 1:a - 1]] + [i]
-            at = a + k
-        out += [model.pieces[c][0] for c in word[at - 1:]]
-        assert out == library.encode(word[1:])
+        word = "".join(r.choice("theonrigask") for _ in range(r.randint(1, 90)))
+        assert [model.pieces[p][0] for p in S.merge_word(S.SPACE + word, model.pieces)] == library.encode(word)
 
 
 def odd_texts():
@@ -99,6 +103,9 @@ def test_unigram_viterbi(spark):
     scores = [-3.0, -3.5, -4.0, -2.0] + [-r.uniform(3, 7) for _ in names[4:]]
     model = S.Model(["<unk>"[:0] or None, *names], [0.0, *scores], {}, 0, "unigram")
     texts = ["".join(r.choice("abc ") for _ in range(r.randint(1, 9))) for _ in range(40)] + ["abx"]
+    for t in texts:
+        parts = S.viterbi_word(t, model.pieces, model.longest, model.worst)
+        assert sum(-model.pieces[p][1] if p in model.pieces else model.worst for p in parts) == pytest.approx(best_path(t, model.pieces, model.worst)[0])
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     worst = 14.0
     cost = lambda i: worst if i == 0 else -scores[i - 1]
