@@ -278,6 +278,30 @@ def j15_embedding_knn(spark, sf_dir):
     return nn.select("vec_id", "nn_vec_id", "rank")
 
 
+def _j15_folds_sql() -> str:
+    parts = []
+    for f in range(5):
+        for role, qcond, skip in (("train", f"q.vec_id % 5 <> {f}", 1), ("valid", f"q.vec_id % 5 = {f}", 0)):
+            parts.append(f"""SELECT {f} AS fold, '{role}' AS role, vec_id, nn_vec_id, CAST(rn - {skip} AS INTEGER) AS rank FROM (
+  SELECT q.vec_id, p.vec_id AS nn_vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY
+    list_distance({EMB_DBL.replace('embedding', 'q.embedding')}, {EMB_DBL.replace('embedding', 'p.embedding')}), p.vec_id) AS rn
+  FROM embeddings q, embeddings p WHERE {qcond} AND p.vec_id % 5 <> {f})
+WHERE rn > {skip} AND rn <= {skip} + 20""")
+    return " UNION ALL ".join(parts)
+
+
+@query("J15_folds", _j15_folds_sql())
+def j15_fold_safe_knn(spark, sf_dir):
+    """J15 as surveyed, on the whole table: 20 nearest embeddings of every row
+    among the training folds' rows, for each of 5 folds; first neighbour
+    dropped on the training side."""
+    from ..operators.neighbors import fold_safe_neighbours
+
+    e = t(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("vec_id") % 5).cast("int").alias("fold"))
+    nn = fold_safe_neighbours(e, "vec_id", "embedding", "fold", list(range(5)), 20)
+    return nn.select(F.col("fold").cast("int").alias("fold"), "role", "vec_id", "nn_vec_id", "rank")
+
+
 def _k9_sql() -> str:
     parts = []
     for f in range(5):
