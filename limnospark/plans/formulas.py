@@ -8,6 +8,7 @@ from ..functions import formulas as FX
 from ..functions.common import nan_to_null
 from ..operators import aggregates as AG
 from ..operators import ranking as RK
+from ..operators import spatial as SP
 from ..operators import windows as W
 from .catalog import query
 from .common import MART_SQL, PLACES_SQL, obs_mart, places, r, split_rows, t
@@ -158,6 +159,50 @@ FROM (SELECT *,
   round(sum(chirps_ppt) OVER (w ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), 2) AS rain_60d_sum
 FROM {MART_SQL} WINDOW w AS (PARTITION BY station_id ORDER BY ts, event_id)))"""
 
+#: Observations in the rolled rain mean of F17 (rolling_window_obs of config_exp_hydro_regime_signal_v1.yml).
+ROLL = 30
+
+
+def _whole_mart(spark, sf_dir):
+    """Mart with every input of the packs: G2 fractions of the place (1 / 5 /
+    10 km), W4 means, rolled rain, W2 prior sums and organic carbon."""
+    p = places(spark, sf_dir)
+    lu = SP.landuse_fractions(p, "lat", "lon", "landcover")
+    m = obs_mart(spark, sf_dir).join(lu, ["lat", "lon"], "left").withColumns({
+        "cropland_fraction": F.col("cropland_fraction_5km"),
+        "urban_fraction": F.col("urban_fraction_5km"),
+        "soil_organic_carbon_0_5": F.col("soil_soc_0_5"),
+    })
+    s = W.series(m, ["station_id"], ["ts", "event_id"], lookback=89, split_rows=split_rows(spark))
+    cols = {
+        **{f"ppt_obs{n}_mean": W.rolling_mean(s, "chirps_ppt", n, digits=2) for n in (30, 60, 90)},
+        "chirps_ppt_roll": W.rolling_mean(s, "chirps_ppt", ROLL, digits=2),
+        **{f"rain_{n}d_sum": F.round(W.prior_sum(s, "chirps_ppt", n), 2) for n in (30, 60)},
+    }
+    out = s.finish(s.frame.select(*s.frame.columns, *[v.alias(k) for k, v in cols.items()]))
+    return out.withColumns({"rain_roll_30": F.col("rain_30d_sum"), "rain_roll_60": F.col("rain_60d_sum")})
+
+
+def _whole_mart_sql() -> str:
+    hav = ("2 * 6371.0 * asin(least(1.0, sqrt(pow(sin((radians(p.lat) - radians(q.lat)) / 2), 2) + "
+           "cos(radians(q.lat)) * cos(radians(p.lat)) * pow(sin((radians(p.lon) - radians(q.lon)) / 2), 2))))")
+    pts = f"""(SELECT lat, lon, count(*) AS n, sum(CASE WHEN landcover = 40 THEN 1 ELSE 0 END) AS nc,
+  sum(CASE WHEN landcover = 50 THEN 1 ELSE 0 END) AS nu FROM {PLACES_SQL} GROUP BY lat, lon)"""
+    fr = ", ".join(f"sum(CASE WHEN d <= {k} THEN {c} END) / sum(CASE WHEN d <= {k} THEN n END) AS {name}_fraction_{k}km"
+                   for k in SP.LANDUSE_RADII for c, name in (("nc", "cropland"), ("nu", "urban")))
+    lu = f"(SELECT lat, lon, {fr} FROM (SELECT q.lat, q.lon, p.n, p.nc, p.nu, {hav} AS d FROM {pts} q, {pts} p) GROUP BY lat, lon)"
+    mean = lambda n: (f"round(sum(chirps_ppt) OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 2) / "
+                      f"count(chirps_ppt) OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)")
+    win = ", ".join([*(f"{mean(n)} AS ppt_obs{n}_mean" for n in (30, 60, 90)), f"{mean(ROLL)} AS chirps_ppt_roll",
+                     *(f"round(sum(chirps_ppt) OVER (w ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), 2) AS rain_{n}d_sum" for n in (30, 60))])
+    return f"""(SELECT m.*, lu.* EXCLUDE (lat, lon), lu.cropland_fraction_5km AS cropland_fraction, lu.urban_fraction_5km AS urban_fraction,
+  m.soil_soc_0_5 AS soil_organic_carbon_0_5
+FROM (SELECT *, {win} FROM {MART_SQL} WINDOW w AS (PARTITION BY station_id ORDER BY ts, event_id)) m
+LEFT JOIN {lu} lu ON m.lat = lu.lat AND m.lon = lu.lon)"""
+
+
+WHOLE_MART_SQL = _whole_mart_sql()
+
 F6_COLS = {
     "rain_lag_squared": "round(precip_sum_15_to_45_days_prior, 2) * round(precip_sum_15_to_45_days_prior, 2)",
     "rain_ratio": f"round(precip_sum_15_to_45_days_prior, 2) / {nz('basin_avg_soil_clay + 1e-6')}",
@@ -202,6 +247,8 @@ def f8_basin_context(spark, sf_dir):
     return _pack(m, FX.basin_context(m.columns))
 
 
+PPT_MEANS = tuple(f"ppt_obs{n}_mean" for n in (30, 60, 90))
+
 F10_COLS = {
     "upstream_stream_power": "upstream_area_km2 * slope",
     "upstream_discharge_contact": f"upstream_area_km2 / {nz('river_discharge_cms + 1.0')}",
@@ -221,6 +268,20 @@ def f10_upstream_context(spark, sf_dir):
     return _pack(m, FX.upstream_context(m.columns))
 
 
+F10_WHOLE_COLS = {
+    **F10_COLS,
+    **{f"upstream_{c}_pressure": f"upstream_area_km2 * {c}" for c in PPT_MEANS},
+    **{f"upstream_{c}_transport": f"upstream_area_km2 * {c} / {nz('river_discharge_cms + 1.0')}" for c in PPT_MEANS},
+}
+
+
+@query("F10_whole", _sql(F10_WHOLE_COLS, src=WHOLE_MART_SQL, digits=4))
+def f10_upstream_context_whole(spark, sf_dir):
+    """F10 with all four rain columns (instant rain and the W4 means)."""
+    m = _whole_mart(spark, sf_dir)
+    return _pack(m, FX.upstream_context(m.columns), digits=4)
+
+
 F11_COLS = {
     "upstream_cropland_pressure": "upstream_area_km2 * 0.0",
     "upstream_urban_pressure": "upstream_area_km2 * 0.0",
@@ -252,6 +313,20 @@ def f11_upstream_pressure_sql(spark, sf_dir):
     return _pack(m, FX.upstream_pressure_sql(m.columns), digits=4)
 
 
+F11_WHOLE_COLS = {
+    **F11_COLS,
+    "upstream_cropland_pressure": "upstream_area_km2 * coalesce(cropland_fraction_5km, 0)",
+    "upstream_urban_pressure": "upstream_area_km2 * coalesce(urban_fraction_5km, 0)",
+}
+
+
+@query("F11_whole", _sql(F11_WHOLE_COLS, src=WHOLE_MART_SQL, digits=4))
+def f11_upstream_pressure_sql_whole(spark, sf_dir):
+    """F11 with the G2 land-use fractions within 5 km."""
+    m = _whole_mart(spark, sf_dir)
+    return _pack(m, FX.upstream_pressure_sql(m.columns), digits=4)
+
+
 F12_COLS = {
     "area_x_slope": "upstream_area_km2 * slope",
     "ph_x_area": "soil_ph_0_5 * upstream_area_km2",
@@ -285,6 +360,20 @@ def f13_upstream_pressure(spark, sf_dir):
     return _pack(m, FX.upstream_pressure(m.columns), digits=4)
 
 
+F13_WHOLE_COLS = {
+    **F13_COLS,
+    "upstream_cropland_pressure": "cropland_fraction_5km * upstream_area_km2",
+    "upstream_urban_pressure": "urban_fraction_5km * upstream_area_km2",
+}
+
+
+@query("F13_whole", _sql(F13_WHOLE_COLS, src=WHOLE_MART_SQL, digits=4))
+def f13_upstream_pressure_whole(spark, sf_dir):
+    """F13 with the G2 land-use fractions within 5 km."""
+    m = _whole_mart(spark, sf_dir)
+    return _pack(m, FX.upstream_pressure(m.columns), digits=4)
+
+
 F14_COLS = {
     "log_dist_to_river": "ln(1 + greatest(dist_to_river_m, 0))",
     "river_influence_decay_1": "exp(-greatest(dist_to_river_m, 0) / 1000.0)",
@@ -310,6 +399,23 @@ def f14_connectivity(spark, sf_dir):
     return _pack(m, FX.connectivity(m.columns, present), digits=4)
 
 
+F14_WHOLE_COLS = {
+    **F14_COLS,
+    "upstream_pressure_index": f"{gz('upstream_area_km2')} * (coalesce({gz('cropland_fraction_5km')}, 0) + coalesce({gz('urban_fraction_5km')}, 0))",
+}
+
+
+@query("F14_whole", _sql(F14_WHOLE_COLS, src=WHOLE_MART_SQL, digits=4))
+def f14_connectivity_whole(spark, sf_dir):
+    """F14 with the pressure index of the G2 fractions within 5 km."""
+    m = _whole_mart(spark, sf_dir)
+    m = m.withColumn("catch_to_basin_ratio", FX.hydro_engineered(m.columns)["catch_to_basin_ratio"])
+    inputs = ["dist_to_river_m", "upstream_area_km2", "slope", "river_discharge_cms", "rain_30d_sum", "catch_to_basin_ratio",
+              "cropland_fraction_5km", "urban_fraction_5km"]
+    present = AG.non_null_flags(m, inputs)
+    return _pack(m, FX.connectivity(m.columns, present), digits=4)
+
+
 F15_COLS = {
     "soil_clay_flow": "soil_clay_0_5 * upstream_area_km2",
     "urban_flow": "CAST(CAST(landcover AS DOUBLE) = 50.0 AS DOUBLE) * upstream_area_km2",
@@ -376,6 +482,16 @@ def f17_research_candidates(spark, sf_dir):
     return _pack(m, FX.research_candidates(m.columns), digits=4)
 
 
+F17_WHOLE_COLS = {**F17_COLS, "A_roll_precip_over_pet": f"chirps_ppt_roll / {nz('pet + 1e-6')}"}
+
+
+@query("F17_whole", _sql(F17_WHOLE_COLS, src=WHOLE_MART_SQL, digits=4))
+def f17_research_candidates_whole(spark, sf_dir):
+    """F17 with the rolled rain over PET (6 + 5 columns)."""
+    m = _whole_mart(spark, sf_dir)
+    return _pack(m, FX.research_candidates(m.columns), digits=4)
+
+
 @query(
     "F18",
     f"""
@@ -413,6 +529,24 @@ def f19_extra_interactions(spark, sf_dir):
     return _pack(m, FX.extra_interactions(m.columns), digits=4)
 
 
+F19_WHOLE_COLS = {
+    **F19_COLS,
+    "cropland_x_ppt": "cropland_fraction * chirps_ppt",
+    "cropland_x_area": "cropland_fraction * upstream_area_km2",
+    "cropland_x_slope": "cropland_fraction * slope",
+    "urban_x_area": "urban_fraction * upstream_area_km2",
+    "organic_x_clay": "soil_organic_carbon_0_5 * soil_clay_0_5",
+}
+
+
+@query("F19_whole", _sql(F19_WHOLE_COLS, src=WHOLE_MART_SQL, digits=4))
+def f19_extra_interactions_whole(spark, sf_dir):
+    """F19 with all 10 interactions."""
+    m = _whole_mart(spark, sf_dir)
+    m = m.withColumn("sin_doy", FX.seasonal_cycle("ts")["sin_doy"])
+    return _pack(m, FX.extra_interactions(m.columns), digits=4)
+
+
 F20_COLS = {
     "lat2": "lat * lat",
     "lon2": "lon * lon",

@@ -26,3 +26,19 @@ def test_j15_folds_query_every_row(spark):
             near = ids[tr][np.lexsort((ids[tr], d))]
             role, skip = ("train", 1) if tr[i] else ("valid", 0)
             assert by[f, role, ids[i]] == near[skip:skip + 20].tolist()
+
+
+@pytest.mark.parametrize("qid, n, filled", [
+    ("F10_whole", 14, ["upstream_ppt_obs90_mean_transport"]),
+    ("F11_whole", 10, ["upstream_cropland_pressure", "upstream_urban_pressure"]),
+    ("F13_whole", 7, ["upstream_cropland_pressure", "upstream_urban_pressure"]),
+    ("F14_whole", 11, ["upstream_pressure_index"]),
+    ("F17_whole", 12, ["A_roll_precip_over_pet"]),
+    ("F19_whole", 10, ["cropland_x_ppt", "cropland_x_area", "cropland_x_slope", "urban_x_area", "organic_x_clay"]),
+])
+def test_every_formula_of_a_pack_runs(spark, qid, n, filled):
+    """All outputs are there, and those of the joined inputs hold values."""
+    got = QUERIES[qid](spark, SF).toPandas()
+    assert len(got.columns) == 1 + n
+    for c in filled:
+        assert (got[c].fillna(0) != 0).any(), c
