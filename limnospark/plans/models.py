@@ -5,7 +5,9 @@ finite scores, R2 above the mean predictor)."""
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from ..functions import formulas as FX
@@ -13,6 +15,7 @@ from ..functions.geo import synth_lat, synth_lon
 from ..operators import evaluate as EV
 from ..operators import folds as FO
 from ..operators import models as M
+from ..operators import training as TN
 from ..operators import transforms as TR
 from .catalog import query
 from ..session import cut_lineage
@@ -220,16 +223,42 @@ def m19_coefficients(spark, sf_dir):
     return M.coefficients(w, FEATS, spark)
 
 
+#: Target -> (transform, last): the last target also gets the basin mean, the
+#: pruning and the clip at 0, as phosphorus in the reference.
+M20_TARGETS = {Y: ("winsor", False), "l_quantity": ("log1p", True)}
+M21_TARGETS = {Y: ("winsor", False), "l_tax": ("log1p", True)}
+M21_NAMES = {Y: "pred_price", "l_tax": "pred_tax"}
+
+
+def _with_basin(spark, sf_dir):
+    s = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("basin_id"))
+    return dataset(spark, sf_dir).join(s, "l_suppkey", "left")
+
+
+def _encode(tr, va, y, last):
+    return TN.encode(tr, va, y, KEY, "lat", "lon", "basin_id", "l_suppkey", with_basin=last)
+
+
 @query("M20")
 def m20_cv_driver(spark, sf_dir):
-    """CV over targets x feature packs -> (target, pack, mean, std)."""
-    d = dataset(spark, sf_dir)
+    """CV over targets x feature packs -> (target, pack, mean, std); in
+    each fold encodings (K6, K7, G5, K8), pruning (P8) and target transform
+    fitted on its training rows, predictions on the target's own scale."""
+    d = cut_lineage(_with_basin(spark, sf_dir))
     packs = {"base": ["l_quantity", "p_retailprice"], "full": FEATS}
     rows = []
-    for tgt in (Y, "l_quantity"):
-        for name, feats in packs.items():
-            feats = [f for f in feats if f != tgt]
-            s = M.cv_scores(d, feats, tgt, "fold", list(range(K)), M.random_forest(10, 5), KEY)
+    for tgt, (mode, last) in M20_TARGETS.items():
+
+        def one(i):
+            tr, va, more = _encode(d.where(F.col("fold") != i), d.where(F.col("fold") == i), tgt, last)
+            return {name: TN.fit(tr, va, [f for f in feats if f != tgt] + more, tgt, M.random_forest(10, 5), mode,
+                                 pruned=last, clipped=last).select("fold", tgt, "pred") for name, feats in packs.items()}
+
+        with ThreadPool(K) as pool:
+            folds = pool.map(inheritable_thread_target(spark)(one), range(K))
+        preds = {name: [x[name] for x in folds] for name in packs}
+        for name, parts in preds.items():
+            s = EV.fold_scores(reduce(lambda a, b: a.unionByName(b), parts), tgt, "pred", "fold")
             rows.append(s.agg(F.lit(tgt).alias("target"), F.lit(name).alias("pack"), r(F.avg("r2")).alias("mean"),
                               r(F.stddev_pop("r2")).alias("std")))
     return reduce(lambda a, b: a.unionByName(b), rows)
@@ -238,15 +267,15 @@ def m20_cv_driver(spark, sf_dir):
 @query("M21")
 def m21_final_fit(spark, sf_dir):
     """Final fit on the train side (status F), one prediction column
-    per target for the other rows, the last target clipped at 0."""
-    d = dataset(spark, sf_dir)
-    tr, va = d.where(F.col("l_linestatus") == "F"), d.where(F.col("l_linestatus") != "F")
-    out = va.select(*KEY, *FEATS)
-    for tgt, name in ((Y, "pred_price"), ("l_tax", "pred_tax")):
+    per target for the other rows, the last target clipped at 0; encodings,
+    pruning and target transform as in M20, fitted on the train side."""
+    d = cut_lineage(_with_basin(spark, sf_dir))
+    tr, out = d.where(F.col("l_linestatus") == "F"), d.where(F.col("l_linestatus") != "F")
+    for tgt, (mode, last) in M21_TARGETS.items():
         feats = [f for f in FEATS if f != tgt]
-        m, _ = M.fit_predict(tr, tr.limit(1), feats, tgt, M.random_forest(10, 5), name)
-        out = m.transform(out).drop(M.FEATURES)
-    return out.select("l_orderkey", "l_partkey", "l_linenumber", "pred_price", F.greatest("pred_tax", F.lit(0.0)).alias("pred_tax"))
+        etr, eva, more = TN.encode(tr, out, tgt, KEY, "lat", "lon", "basin_id", "l_suppkey", with_basin=last, inner=K)
+        out = TN.fit(etr, eva, feats + more, tgt, M.random_forest(10, 5), mode, M21_NAMES[tgt], pruned=last, clipped=last).drop(*more)
+    return out.select("l_orderkey", "l_partkey", "l_linenumber", *M21_NAMES.values())
 
 
 @query("M22")
