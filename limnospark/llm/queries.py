@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, imi, mixing, quality, sharding, simhash, spotsigs, suffix_dedup, toxicity
+from . import html_extract, imi, laesa, mixing, quality, repair_runs, sharding, simhash, spotsigs, suffix_dedup, token_files, toxicity
 from . import sentencepiece_lattice as lattice
 from .common import load
 
@@ -73,8 +73,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(load(spark, sf_dir, "documents"), shards=24).drop("row_number")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.report(load(spark, sf_dir, "documents"))
+
+
+def op12_repair_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_runs.report(load(spark, sf_dir, "documents"))
+
+
+def op13_laesa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return laesa.encode(load(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_suffix_dedup, op3_multi_index, op4_sentencepiece, op5_mixing, op6_spotsigs, op7_toxicity, op8_quality, op9_simhash, op10_sharding)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_suffix_dedup, op3_multi_index, op4_sentencepiece, op5_mixing, op6_spotsigs, op7_toxicity, op8_quality, op9_simhash, op10_sharding,
+                                  op11_token_files, op12_repair_runs, op13_laesa)}
 
 
 def oracle_sql() -> dict[str, str]:
