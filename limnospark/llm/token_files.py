@@ -30,6 +30,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,7 @@ ship(__name__)
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: Pieces whose ids a task keeps; beyond it the table starts anew.
-KEPT = 1 << 20
+KEPT = 1 << 18
 
 # Letters whose lower case and pieces are the same here as in
 # the library (ASCII and the composed letters of Latin-1), and its split rule
@@ -61,11 +62,24 @@ PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-z0-
 OPENING = "<|"
 
 
+class Places(dict):
+    """piece -> its number; a piece asked for the first time gets the next
+    one and waits in ``new``."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
+
+
 class Encoder:
     """Ids of texts by the library's model, pieces looked up once."""
 
     def __init__(self, path: str):
-        self.whole = Tokenizer.from_file(path)
+        self.path, self.whole = path, None
         # Pieces are normalised and split already.
         self.piece = Tokenizer.from_file(path)
         self.piece.normalizer = normalizers.Sequence([])
@@ -73,32 +87,35 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.places: dict[str, int] = {}
+        self.places = Places()
         self.ends = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def learn(self, pieces: list[str]) -> None:
-        new = [p for p in dict.fromkeys(pieces) if p not in self.places]
-        if not new:
-            return
-        got = [e.ids for e in self.piece.encode_batch_fast(new, add_special_tokens=False)]
-        self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in got])])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in got for i in x), np.uint32)])
+    def learn(self) -> None:
+        """Ids of the pieces that wait."""
+        got = [e.ids for e in self.piece.encode_batch_fast(self.places.new, add_special_tokens=False)]
+        self.places.new = []
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in got], dtype=np.int64)])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32)])
+
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        if texts and self.whole is None:
+            self.whole = Tokenizer.from_file(self.path)
+        return [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         plain = [bool(PLAIN.fullmatch(t)) and OPENING not in t for t in texts]
-        odd = iter(self.whole.encode_batch_fast([t for t, ok in zip(texts, plain) if not ok], add_special_tokens=False))
+        odd = iter(self.library([t for t, ok in zip(texts, plain) if not ok]))
         split = [PIECE.findall(t.lower()) if ok else [] for t, ok in zip(texts, plain)]
-        every = [p for s in split for p in s]
         if len(self.places) > KEPT:
             self.clear()
-        self.learn(every)
-        at = np.fromiter(map(self.places.__getitem__, every), np.int64, len(every))
+        n = sum(map(len, split))
+        at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(split)), np.int64, n)
+        self.learn()
         counts = self.ends[at + 1] - self.ends[at]
         ids = self.flat[pfor.spread(self.ends[at], counts)]
         cuts = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *map(len, split)])]
-        return [ids[cuts[i]:cuts[i + 1]] if ok else np.array(next(odd).ids, np.uint32) for i, ok in enumerate(plain)]
+        return [ids[cuts[i]:cuts[i + 1]] if ok else next(odd) for i, ok in enumerate(plain)]
 
 
 @dataclass
@@ -112,7 +129,7 @@ class TokenFiles:
 
 
 def write(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, end_id: int = END,
-          batch_bytes: int = 1 << 22) -> TokenFiles:
+          batch_bytes: int = 1 << 20) -> TokenFiles:
     """Encode every row's text and write the files into the shared folder."""
     spark = df.sparkSession
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/limnospark-tokens-{uuid.uuid4().hex[:12]}"
