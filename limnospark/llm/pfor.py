@@ -31,7 +31,7 @@ ship(__name__)
 MAGIC = b"PFOR-T01"
 BLOCK = 128
 SHARE = 0.9
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 HEAD = np.dtype([("least", "<u4"), ("width", "u1"), ("last", "u1"), ("exceptions", "<u2")])
 FOOT = "<QQQQ8s"
 

@@ -25,6 +25,7 @@ key and text are read, whatever else the columns are called.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -35,6 +36,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import tokenizers
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -51,7 +53,7 @@ ship(__name__)
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: Pieces whose ids a task keeps; beyond it the table starts anew.
-KEPT = 1 << 18
+KEPT = 1 << 17
 
 # Letters whose lower case and pieces are the same here as in
 # the library (ASCII and the composed letters of Latin-1), and its split rule
@@ -75,15 +77,26 @@ class Places(dict):
         return n
 
 
+def loaded(path: str, split: bool) -> Tokenizer:
+    """The library's tokenizer; with ``split`` for pieces that are normalised
+    and split already. A worker process keeps it from task to task, and does
+    not encode in threads of its own beside the other tasks."""
+    kept = vars(tokenizers).setdefault("_kept", {})
+    if (path, split) not in kept:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        t = kept[path, split] = Tokenizer.from_file(path)
+        if split:
+            t.normalizer = normalizers.Sequence([])
+            t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    return kept[path, split]
+
+
 class Encoder:
     """Ids of texts by the library's model, pieces looked up once."""
 
     def __init__(self, path: str):
-        self.path, self.whole = path, None
-        # Pieces are normalised and split already.
-        self.piece = Tokenizer.from_file(path)
-        self.piece.normalizer = normalizers.Sequence([])
-        self.piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.path = path
+        self.piece = loaded(path, True)
         self.clear()
 
     def clear(self) -> None:
@@ -99,9 +112,7 @@ class Encoder:
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32)])
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
-        if texts and self.whole is None:
-            self.whole = Tokenizer.from_file(self.path)
-        return [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        return [np.array(e.ids, np.uint32) for e in loaded(self.path, False).encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         plain = [bool(PLAIN.fullmatch(t)) and OPENING not in t for t in texts]
