@@ -235,9 +235,8 @@ def mean_ensemble(cols: list[str], weights: list[float] | None = None):
     return sum(F.col(c) * w for c, w in zip(cols, weights)) / float(sum(weights))
 
 
-def importances(model, feats: list[str], target: str, top: int, spark) -> DataFrame:
+def importances(imp: list[float], feats: list[str], target: str, top: int, spark) -> DataFrame:
     """Feature importances -> (target, feature, importance, rank)."""
-    imp = model.stages[-1].featureImportances.toArray().tolist()
     rows = sorted(zip(feats, imp), key=lambda x: (-x[1], x[0]))[:top]
     return spark.createDataFrame([(target, f, float(v), i + 1) for i, (f, v) in enumerate(rows)],
                                  "target string, feature string, importance double, rank int")

@@ -95,11 +95,12 @@ def with_desc_min_rank(df: DataFrame, col: str, out: str = "rank"):
 
 
 def quantiles(df: DataFrame, col: str, probs: list[float], names: list[str] | None = None,
-              cc: DataFrame | None = None) -> DataFrame:
+              cc: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
     """One-row DataFrame of exact linear quantiles of ``col`` (NULLs
-    ignored). Columns are ``names`` (default q0, q1, ...)."""
+    ignored); a row per group with ``by``. Columns are ``names`` (default q0,
+    q1, ...)."""
     names = names or [f"q{i}" for i in range(len(probs))]
-    cc = cc or cumulative_counts(df, col)
+    cc = cc or cumulative_counts(df, col, by)
     picks = []
     for p in probs:
         h = (F.col("_total") - 1) * F.lit(float(p))
@@ -116,7 +117,7 @@ def quantiles(df: DataFrame, col: str, probs: list[float], names: list[str] | No
         vhi = F.max(F.when((F.col("_cum") - F.col("_n") <= hi) & (hi < F.col("_cum")), F.col(col)))
         frac = F.max(h - lo)
         aggs.append((vlo.cast("double") + frac * (vhi.cast("double") - vlo.cast("double"))).alias(nm))
-    return sel.agg(*aggs)
+    return sel.groupBy(*(by or [])).agg(*aggs)
 
 
 def quantile_bands(df: DataFrame, col: str, out: str = "band", q: int = 4) -> DataFrame:

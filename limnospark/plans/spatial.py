@@ -47,9 +47,9 @@ SELECT c.c_custkey, p.poly_id FROM {CUST} c LEFT JOIN {POLY_SQL} p ON abs(c.lon
 """,
 )
 def j10_point_in_polygon(spark, sf_dir):
-    """Left point-in-polygon join (bbox cells + ray casting)."""
+    """Left point-in-polygon join (edges in bands, parity of crossings)."""
     pts = cust(spark, sf_dir).select("c_custkey", "lat", "lon")
-    out = SP.points_in_polygons(pts, polygons(spark, sf_dir), "lon", "lat", "ring", 0.5)
+    out = SP.points_in_polygons(pts, polygons(spark, sf_dir), "lon", "lat", "ring")
     return out.select("c_custkey", "poly_id")
 
 
@@ -95,7 +95,7 @@ SELECT c_custkey, r_regionkey, r_name, round(d, 3) AS dist_to_river_m FROM (
 def j11_nearest_line(spark, sf_dir):
     """Nearest polyline in Web-Mercator metres with its attributes."""
     pts = cust(spark, sf_dir).select("c_custkey", "lat", "lon")
-    out = SP.nearest_line(pts, lines(spark, sf_dir), "c_custkey", "lat", "lon", "r_regionkey", "path", 100_000.0)
+    out = SP.nearest_line(pts, lines(spark, sf_dir), "c_custkey", "lat", "lon", "r_regionkey", "path")
     return out.select("c_custkey", "r_regionkey", "r_name", r("dist_to_river_m", 3))
 
 
@@ -124,6 +124,24 @@ def j12_radius(spark, sf_dir):
                     r(F.col("_s") / F.col("_n"), 4).alias("mean_acctbal_50km"))
 
 
+_CENTS = f"(SELECT lat, lon, count(*) AS n, sum(CAST(c_acctbal AS DECIMAL(18, 2))) AS s FROM {CUST} GROUP BY lat, lon)"
+
+
+@query(
+    "J12_sums",
+    f"""
+SELECT q.lat, q.lon, CAST(r.km AS DOUBLE) AS radius_km, CAST(sum(p.n) AS BIGINT) AS n_within, CAST(sum(p.s) AS DOUBLE) AS acctbal_within
+FROM {_CENTS} q, {_CENTS} p, (VALUES (20), (50), (300)) r(km) WHERE {_hav_sql('q', 'p')} <= r.km GROUP BY q.lat, q.lon, r.km
+""",
+)
+def j12_radius_sums(spark, sf_dir):
+    """J12 without pairs: rows and sum of balances within 20, 50 and 300 km of
+    every distinct coordinate, cells wholly inside by their stored sums."""
+    pts = cust(spark, sf_dir).groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c_acctbal").cast("decimal(18,2)")).alias("s"))
+    g = SP.radius_sums(pts, pts, "lat", "lon", [20.0, 50.0, 300.0], ["n", "s"])
+    return g.select("lat", "lon", "radius_km", F.col("n").cast("long").alias("n_within"), F.col("s").cast("double").alias("acctbal_within"))
+
+
 def _g2_sql() -> str:
     pts = f"""(SELECT lat, lon, count(*) AS n, sum(CASE WHEN landcover = 40 THEN 1 ELSE 0 END) AS nc,
   sum(CASE WHEN landcover = 50 THEN 1 ELSE 0 END) AS nu,

@@ -60,7 +60,16 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     df.write.parquet(where)
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(where)
+    out = spark.read.schema(df.schema).parquet(where)
+    out._limno_table = where
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table of :func:`materialize` that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._limno_table)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

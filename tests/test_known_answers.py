@@ -116,7 +116,7 @@ def test_point_in_square(spark):
     pts = spark.createDataFrame([(1, 0.5, 0.5), (2, 2.0, 2.0)], "id long, x double, y double")
     sq = spark.createDataFrame([(7, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)])],
                                "poly long, ring array<struct<x:double,y:double>>")
-    out = {r["id"]: r["poly"] for r in SP.points_in_polygons(pts, sq, "x", "y", "ring", 0.5).collect()}
+    out = {r["id"]: r["poly"] for r in SP.points_in_polygons(pts, sq, "x", "y", "ring").collect()}
     assert out == {1: 7, 2: None}
 
 

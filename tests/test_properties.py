@@ -139,7 +139,7 @@ def test_points_with_null_attributes_in_polygons(spark):
                                 "id long, x double, y double, note string")
     square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
     poly = spark.createDataFrame([("sq", square)], "name string, ring array<struct<x: double, y: double>>")
-    got = SP.points_in_polygons(pts, poly, "x", "y", "ring", 0.5).select("id", "name").collect()
+    got = SP.points_in_polygons(pts, poly, "x", "y", "ring").select("id", "name").collect()
     assert sorted((r["id"], r["name"] or "") for r in got) == [(1, "sq"), (1, "sq"), (2, ""), (3, "sq")]
 
 
