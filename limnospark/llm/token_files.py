@@ -53,7 +53,7 @@ ship(__name__)
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: Pieces whose ids a task keeps; beyond it the table starts anew.
-KEPT = 1 << 17
+KEPT = 1 << 18
 
 # Letters whose lower case and pieces are the same here as in
 # the library (ASCII and the composed letters of Latin-1), and its split rule
