@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import sys
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,10 +23,6 @@ def ship(module: str) -> None:
 
 ship(__name__)
 
-#: Tables written by this driver and not yet deleted.
-_made: list[str] = []
-
-
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -46,7 +44,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     out = spark.read.schema(df.schema).parquet(where)
     out._limno_path = where
-    _made.append(where)
+    if (run := _run.get()) is not None:
+        run.append(where)
     return out
 
 
@@ -59,16 +58,25 @@ def discard(df: DataFrame) -> None:
 def _delete(spark: SparkSession, where: str) -> None:
     path = _path(spark, where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    if where in _made:
-        _made.remove(where)
 
 
-def settled(df: DataFrame, label: str) -> DataFrame:
-    """:func:`written`, after which every other table made so far by this
-    driver has done its work and is deleted."""
-    out = written(df, label)
-    for where in [x for x in _made if x != out._limno_path]:
-        _delete(df.sparkSession, where)
+#: Tables made by the pipeline stage that is being built, if any.
+_run: ContextVar[list[str] | None] = ContextVar("_run", default=None)
+
+
+def settled(stage: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The result of ``stage`` written; the tables that the stage itself made
+    have then done their work and are deleted, no others."""
+    made: list[str] = []
+    token = _run.set(made)
+    try:
+        df = stage()
+        out = written(df, label)
+    finally:
+        _run.reset(token)
+    for where in made:
+        if where != out._limno_path:
+            _delete(df.sparkSession, where)
     return out
 
 

@@ -50,7 +50,7 @@ from .common import ship, tasks, text_of
 ship(__name__)
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK = 20 << 20
+BLOCK = 10 << 20
 LONGEST = 60
 MOST_PIECES = 2_000_000
 SPACE = "▁"
@@ -163,23 +163,30 @@ def block_words(packed: DataFrame, model: Model) -> DataFrame:
     """(block, word): different lattice words of two characters or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, seen = Cutter(model), {}
-        for b in batches:
-            for k, blob in zip(b.column(0).to_pylist(), b.column(1)):
-                have = seen.setdefault(k, set())
-                for t in unpack(blob.as_buffer().to_pybytes()).column("t"):
-                    have.update(keys_of(t.as_py()))
-        while seen:
-            k, have = seen.popitem()
+        cutter = Cutter(model)
+
+        def listed(k: int, have: set[str]) -> Iterator[pa.RecordBatch]:
             words: set[str] = set()
             for subs, _ in cutter(list(have)):
                 words.update(subs)
+            have.clear()
             out = [w for w in words if 1 < len(w) <= LONGEST]
             for at in range(0, len(out), 50_000):
                 part = out[at:at + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(part), pa.int32()), pa.array(part, pa.string())], names=["block", "word"])
 
-    return packed.mapInArrow(run, "block int, word string")
+        now, have = None, set()  # blobs come block by block: one block's words are held
+        for b in batches:
+            for k, blob in zip(b.column(0).to_pylist(), b.column(1)):
+                if k != now and have:
+                    yield from listed(now, have)
+                now = k
+                for t in unpack(blob.as_buffer().to_pybytes()).column("t"):
+                    have.update(keys_of(t.as_py()))
+        if have:
+            yield from listed(now, have)
+
+    return packed.sortWithinPartitions("block").mapInArrow(run, "block int, word string")
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
@@ -302,8 +309,12 @@ def viterbi_word(word: str, pieces: dict[str, tuple[int, float]], longest: int,
 def encoded_blocks(packed: DataFrame, table: DataFrame, model: Model) -> DataFrame:
     """packed (block, blob), table (block, parts) -> the documents."""
 
+    kept: list[Cutter] = []  # one per task, for all its blocks
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        cutter, pieces = Cutter(model), model.pieces
+        if not kept:
+            kept.append(Cutter(model))
+        cutter, pieces = kept[0], model.pieces
         code = {p: i.to_bytes(4, "little") for p, (i, _) in pieces.items()}
 
         def other(c: str) -> bytes:

@@ -4,6 +4,7 @@ given tables."""
 import random
 
 import corpus_pipeline as C
+from limnospark.llm import queries
 from limnospark.llm.common import load
 
 
@@ -24,6 +25,15 @@ def test_stages(spark, tmp_path):
     assert sorted(r["doc_id"] for r in C.run(spark, sf).collect()) == sorted(before)
 
 
+def test_a_run_leaves_other_results_alone(spark):
+    """A query's tables outlive a pipeline run between its building and its
+    reading."""
+    sf = "/root/testdata/sf0.001"
+    waiting = [queries.op10_sharding(spark, sf), queries.op13_laesa(spark, sf)]
+    C.run(spark, sf).count()
+    assert [df.count() for df in waiting] == [200, 500]
+
+
 def test_stages_on_odd_rows(spark, odd_docs, no_docs, crowded):
     sf = "/root/testdata/sf0.001"
     for table in (crowded(odd_docs), no_docs):
