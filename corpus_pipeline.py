@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from limnospark.llm import mixing, simhash, suffix_dedup, toxicity
 from limnospark.llm import sentencepiece_lattice as lattice
-from limnospark.llm.common import load, settled
+from limnospark.llm.common import discard, load, settled
 from limnospark.llm.queries import MIX_WEIGHTS, domain_of
 
 
@@ -55,5 +55,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = settled(stage(spark, docs, sf_dir), f"stage-{name}")
+        last, docs = docs, settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)
