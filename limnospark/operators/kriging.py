@@ -1,63 +1,272 @@
-"""Blocked residual kriging.
-
-The reference fits one Gaussian process on a capped random sample of the
-residuals. Here the plane is cut into grid cells; each cell's test points
-are predicted from ALL training residuals of the cell and its halo (the
-(2h+1)^2 neighbouring cells) with an RBF kernel plus a noise term, solved in
-one ``cogroup().applyInPandas`` task per cell. The neighbourhood is explicit
-and does not depend on the table's size: cells have side ``reach * length``
-and the halo is one cell, so every residual within ``reach`` kernel lengths
-(weight ``exp(-reach^2 / 2)``, 0.011 at 3) counts. Training points with equal
-coordinates are one point with their mean residual and the noise divided by
-their number, which is the same system solved smaller. No point is dropped or
-sampled. Coordinates are scaled to 0-1 by the training bounding box. A cell
-without training points predicts 0 (the reference's fallback).
+"""Residual kriging by conjugate gradients.
+
+The kriging weights solve ``(K + noise / m) w = r`` over all distinct training
+places (``m`` residuals at a place count as their mean with the noise divided
+by ``m``, which is the same system solved smaller); ``K`` is a Gaussian kernel
+of ``length``, cut at ``reach`` lengths. Nothing is solved per cell and no
+matrix is held: places stand in blocks of at most ``BLOCK`` inside cells as
+wide as the reach, and a step of the solver is
+
+* an equi-join of every block with the blocks of the nine cells around it,
+* the kernel products of the two blocks in a task (``BLOCK`` squared numbers),
+* the sum of a block's parts, which come to it one after another.
+
+All systems (folds, or a choice of kernels) are columns of the same vectors
+and are solved in the same steps; the driver sees four sums per system and
+step. A denser table has more blocks of the same size, so a task's memory does
+not grow.
+
+``length`` and ``noise`` are chosen by held-out likelihood on a draw of at
+most ``SAMPLE`` places (:func:`choose`): half of them predicts the other half
+with its predictive variance. Residuals are divided by their deviation first
+(:func:`krige`), coordinates are scaled to 0-1 by the training box.
 """
 
 from __future__ import annotations
 
+import math
+import sys
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import seq_asc
-
-
-def _solve(length: float, noise: float):
-    def fn(tr: pd.DataFrame, te: pd.DataFrame) -> pd.DataFrame:
-        if te.empty:
-            return pd.DataFrame({"_id": pd.Series([], dtype="int64"), "_kr": pd.Series([], dtype="float64")})
-        if tr.empty:
-            return pd.DataFrame({"_id": te["_id"].astype("int64"), "_kr": 0.0})
-        X = tr[["_x", "_y"]].to_numpy(float)
-        r = tr["_r"].to_numpy(float)
-        Z = te[["_x", "_y"]].to_numpy(float)
-        d2 = ((X[:, None, :] - X[None, :, :]) ** 2).sum(-1)
-        K = np.exp(-d2 / (2 * length * length)) + noise * np.diag(1.0 / tr["_m"].to_numpy(float))
-        alpha = np.linalg.solve(K, r)
-        ks = np.exp(-((Z[:, None, :] - X[None, :, :]) ** 2).sum(-1) / (2 * length * length))
-        return pd.DataFrame({"_id": te["_id"].astype("int64"), "_kr": ks @ alpha})
-
-    return fn
-
-
-def blocked_kriging(train: DataFrame, test: DataFrame, idc: str, x: str, y: str, resid: str, out: str = "kriged",
-                    length: float = 0.05, noise: float = 1.0, reach: float = 3.0) -> DataFrame:
-    """Residual prediction for every test row (``idc`` unique)."""
-    b = train.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).first()
-    if b["x0"] is None:
-        return test.withColumn(out, F.lit(0.0))
-    sx, sy = max(b["x1"] - b["x0"], 1e-9), max(b["y1"] - b["y0"], 1e-9)
-    g, halo = reach * length, 1
-
-    def scaled(df):
-        return df.withColumns({"_x": (F.col(x) - b["x0"]) / sx, "_y": (F.col(y) - b["y0"]) / sy}).withColumns(
-            {"_cx": F.floor(F.col("_x") / g).cast("long"), "_cy": F.floor(F.col("_y") / g).cast("long")})
-
-    tr = scaled(train.groupBy(x, y).agg(F.avg(resid).alias("_r"), F.count(resid).alias("_m")).where("_m > 0"))
-    tr = tr.withColumn("_cx", F.explode(seq_asc(F.col("_cx") - halo, F.col("_cx") + halo))).withColumn(
-        "_cy", F.explode(seq_asc(F.col("_cy") - halo, F.col("_cy") + halo))).select("_cx", "_cy", "_x", "_y", "_r", "_m")
-    te = scaled(test.select(F.col(idc).cast("long").alias("_id"), x, y)).select("_cx", "_cy", "_id", "_x", "_y")
-    pred = tr.groupBy("_cx", "_cy").cogroup(te.groupBy("_cx", "_cy")).applyInPandas(_solve(length, noise), "_id long, _kr double")
-    return test.join(pred.withColumnRenamed("_id", idc).withColumnRenamed("_kr", out), idc, "left").fillna({out: 0.0})
+from ..session import drop_table, materialize
+from .spatial import real
+
+# Tasks get this module's functions by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+BLOCK = 256
+SAMPLE = 1200
+REACH = 4.0
+LENGTHS = (0.05, 0.1, 0.2, 0.4)
+NOISES = (1e-3, 1e-1, 1.0, 10.0)
+
+
+@dataclass(frozen=True)
+class Kernel:
+    length: float
+    noise: float
+
+
+def gauss(ax, ay, bx, by, length: float, reach: float) -> np.ndarray:
+    d2 = (ax[:, None] - bx[None]) ** 2 + (ay[:, None] - by[None]) ** 2
+    return np.where(d2 <= (reach * length) ** 2, np.exp(-d2 / (2 * length * length)), 0.0)
+
+
+def choose(x: np.ndarray, y: np.ndarray, r: np.ndarray, m: np.ndarray, lengths=LENGTHS, noises=NOISES, reach: float = REACH) -> Kernel:
+    """The pair with the largest likelihood of the odd places given the even
+    ones (a few hundred each), the smoothest of equals."""
+    if len(x) < 4:
+        return Kernel(0.2, 1.0)
+    a, b = slice(0, None, 2), slice(1, None, 2)
+    best = None
+    for length in sorted(lengths, reverse=True):
+        own = gauss(x[a], y[a], x[a], y[a], length, reach)
+        cross = gauss(x[b], y[b], x[a], y[a], length, reach)
+        for noise in sorted(noises, reverse=True):
+            try:
+                low = np.linalg.cholesky(own + np.diag(noise / m[a]))
+            except np.linalg.LinAlgError:
+                continue  # the cut kernel is not definite here
+            half = np.linalg.solve(low, np.column_stack([r[a], cross.T]))
+            mean = half[:, 1:].T @ half[:, 0]
+            var = np.maximum(1 + noise / m[b] - (half[:, 1:] ** 2).sum(0), 1e-12)
+            like = -0.5 * (np.log(2 * math.pi * var) + (r[b] - mean) ** 2 / var).sum()
+            if best is None or like > best[0] + 1e-9:
+                best = (like, Kernel(length, noise))
+    return best[1] if best else Kernel(0.2, 1.0)
+
+
+def _vectors(b: pa.RecordBatch, name: str) -> list[np.ndarray]:
+    c = b.column(b.schema.names.index(name))
+    flat, off = c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()
+    return [flat[i:j] for i, j in zip(off, off[1:])]
+
+
+def blocks_of(places: DataFrame, cell: float, vectors: dict[str, object]) -> DataFrame:
+    """Places (``_x``, ``_y``) -> (blk, cx, cy, x, y, and an array per name of
+    ``vectors``), ``BLOCK`` places at most to a block. A vector of several
+    systems is an array column: its arrays stand end to end."""
+    cx, cy = (F.floor(F.col(c) / cell).cast("long").alias(n) for c, n in (("_x", "cx"), ("_y", "cy")))
+    rows = places.select("*", cx, cy)
+    # A crowded cell is dealt over blocks by a hash, whose number follows from its count.
+    sizes = rows.groupBy("cx", "cy").agg(F.ceil(F.count(F.lit(1)) / (BLOCK // 2)).cast("int").alias("_k"))
+    rows = rows.join(sizes, ["cx", "cy"]).withColumn("_h", F.xxhash64("_x", "_y"))
+    rows = rows.withColumn("_part", F.pmod("_h", "_k"))
+    # More than BLOCK by chance: further blocks.
+    rank = F.row_number().over(Window.partitionBy("cx", "cy", "_part").orderBy("_h", "_x", "_y")) - 1
+    rows = rows.withColumn("_over", F.floor(rank / BLOCK)).withColumn("blk", F.concat_ws("/", "cx", "cy", "_part", "_over"))
+    item = F.struct("_x", "_y", *[F.col(c).alias(f"_v{i}") for i, c in enumerate(vectors.values())])
+    got = rows.groupBy("blk", "cx", "cy").agg(F.sort_array(F.collect_list(item)).alias("_p"))
+    flat = lambda i, c: F.flatten(F.col(f"_p._v{i}")) if places.schema[c].dataType.typeName() == "array" else F.col(f"_p._v{i}")
+    return got.select("blk", "cx", "cy", F.col("_p._x").alias("x"), F.col("_p._y").alias("y"), *[flat(i, c).alias(n) for i, (n, c) in enumerate(vectors.items())])
+
+
+def product(target: DataFrame, source: DataFrame, v: str, kernels: list[Kernel], reach: float, out: str) -> DataFrame:
+    """(blk, ``out``): for the places of ``target``'s blocks the kernel
+    products with ``source``'s vector ``v``, all systems end to end; blocks
+    that nothing reaches are absent."""
+    s = len(kernels)
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    near = source.select("cx", "cy", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col(v).alias("sv"), F.explode(around).alias("d"))
+    near = near.select((F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"), "sx", "sy", "sv")
+    pairs = target.select("blk", "cx", "cy", "x", "y").join(near, ["cx", "cy"]).select("blk", "x", "y", "sx", "sy", "sv")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.column(0).to_pylist()
+            got = []
+            for x, y, sx, sy, sv in zip(*(_vectors(b, c) for c in ("x", "y", "sx", "sy", "sv"))):
+                w = sv.reshape(len(sx), s)
+                y_ = np.zeros((len(x), s))
+                for length in {k.length for k in kernels}:
+                    own = [i for i, k in enumerate(kernels) if k.length == length]
+                    y_[:, own] = gauss(x, y, sx, sy, length, reach) @ w[:, own]
+                got.append(y_.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(got, pa.list_(pa.float64()))], names=["blk", out])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, total = None, None
+        for b in batches:
+            done: list[tuple[str, np.ndarray]] = []
+            for k, part in zip(b.column(0).to_pylist(), _vectors(b, out)):
+                if k == name:
+                    total = total + part
+                else:
+                    if name is not None:
+                        done.append((name, total))
+                    name, total = k, part
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done]), pa.array([d[1] for d in done], pa.list_(pa.float64()))], names=["blk", out])
+        if name is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([total], pa.list_(pa.float64()))], names=["blk", out])
+
+    shape = f"blk string, {out} array<double>"
+    return pairs.mapInArrow(multiply, shape).repartition("blk").sortWithinPartitions("blk").mapInArrow(add, shape)
+
+
+def solve(places: DataFrame, kernels: list[Kernel], reach: float = REACH, tolerance: float = 1e-9, steps: int = 500) -> tuple[DataFrame, int]:
+    """Weights of all systems. ``places``: ``_x``, ``_y`` in 0-1, arrays
+    ``_r`` (mean residual) and ``_m`` (residuals) with an entry per system
+    (0 residuals: not in that system). Returns (blk, cx, cy, x, y, w) and the
+    steps taken; a system ends when its error is ``tolerance`` of its
+    residuals."""
+    s = len(kernels)
+    cell = reach * max(k.length for k in kernels) * (1 + 1e-12)
+    state = blocks_of(places, cell, {"r": "_r", "m": "_m"})
+    noise = np.array([k.noise for k in kernels])
+
+    def advance(step: np.ndarray | None, turn: np.ndarray | None):
+        """Task that takes w, r, p (and q = A p) one step on, or starts."""
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                m = [v.reshape(-1, s) for v in _vectors(b, "m")]
+                r = [v.reshape(-1, s) for v in _vectors(b, "r")]
+                if step is None:
+                    r = [np.where(mm > 0, rr, 0.0) for rr, mm in zip(r, m)]
+                    w, p = [np.zeros_like(v) for v in r], r
+                else:
+                    w, p, q = ([v.reshape(-1, s) for v in _vectors(b, c)] for c in ("w", "p", "q"))
+                    w = [a + step * c for a, c in zip(w, p)]
+                    r = [a - step * c for a, c in zip(r, q)]
+                    p = [a + turn * c for a, c in zip(r, p)]
+                base = [b.column(b.schema.names.index(c)) for c in ("blk", "cx", "cy", "x", "y", "m")]
+                yield pa.RecordBatch.from_arrays([*base, *[pa.array([v.ravel() for v in vs], pa.list_(pa.float64())) for vs in (r, w, p)]],
+                                                 names=["blk", "cx", "cy", "x", "y", "m", "r", "w", "p"])
+
+        return task
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """q = K p + noise / m p, on the rows of each system only."""
+        for b in batches:
+            q = []
+            for kp, p, m in zip(*(_vectors(b, c) for c in ("kp", "p", "m"))):
+                p, m = p.reshape(-1, s), m.reshape(-1, s)
+                kp = kp.reshape(-1, s) if len(kp) else np.zeros_like(p)
+                q.append(np.where(m > 0, kp + noise / np.maximum(m, 1) * p, 0.0).ravel())
+            keep = b.select([c for c in b.schema.names if c != "kp"])
+            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(q, pa.list_(pa.float64()))], names=[*keep.schema.names, "q"])
+
+    def dots(df: DataFrame) -> dict[str, np.ndarray]:
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = np.zeros((4, s))
+            for b in batches:
+                for r, p, q in zip(*([v.reshape(-1, s) for v in _vectors(b, c)] for c in ("r", "p", "q"))):
+                    got += [(r * r).sum(0), (p * q).sum(0), (r * q).sum(0), (q * q).sum(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(s)), *[pa.array(g) for g in got]], names=["i", "rr", "pq", "rq", "qq"])
+
+        row = df.select("r", "p", "q").mapInArrow(task, "i long, rr double, pq double, rq double, qq double").groupBy("i").agg(
+            *[F.sum(c).alias(c) for c in ("rr", "pq", "rq", "qq")]).collect()  # a row per system
+        out = {c: np.zeros(s) for c in ("rr", "pq", "rq", "qq")}
+        for r in row:
+            for c in out:
+                out[c][r["i"]] = r[c]
+        return out
+
+    arrays = "x array<double>, y array<double>, m array<double>, r array<double>, w array<double>, p array<double>"
+    shape = f"blk string, cx long, cy long, {arrays}"
+    now = materialize(state.mapInArrow(advance(None, None), shape), "krige")
+    first, took = None, 0
+    for took in range(1, steps + 1):
+        kp = product(now, now, "p", kernels, reach, "kp")
+        full = materialize(now.join(kp, "blk", "left").withColumn("kp", F.coalesce("kp", F.array().cast("array<double>"))).select(
+            *now.columns, "kp").mapInArrow(finish, f"{shape}, q array<double>"), "krige")
+        drop_table(now)
+        d = dots(full)
+        first = d["rr"] if first is None else first
+        going = (d["rr"] > tolerance ** 2 * first) & (d["pq"] > 0)
+        step = np.where(going, d["rr"] / np.where(d["pq"] > 0, d["pq"], 1.0), 0.0)
+        left = np.maximum(d["rr"] - 2 * step * d["rq"] + step ** 2 * d["qq"], 0.0)
+        turn = np.where(going, left / np.where(d["rr"] > 0, d["rr"], 1.0), 0.0)
+        now = materialize(full.mapInArrow(advance(step, turn), shape), "krige")
+        drop_table(full)
+        if not (left > tolerance ** 2 * first).any() or not going.any():
+            break
+    return now.select("blk", "cx", "cy", "x", "y", "w"), took
+
+
+def krige(df: DataFrame, idc: str, x: str, y: str, resids: list[str], outs: list[str], kernels: list[Kernel] | None = None,
+          reach: float = REACH, tolerance: float = 1e-9) -> tuple[DataFrame, list[Kernel], int]:
+    """``df`` with, per system, the kriged residual of every row's place.
+    ``resids``: a residual column per system, NULL in the rows that it must
+    not see (a fold's held-out rows). Kernels are chosen on a draw where not
+    given. Returns the rows, the kernels and the solver's steps. A place that
+    no training place reaches gets the mean residual; a row without a place,
+    and a system without residuals, get 0."""
+    ok = real(x, y)
+    seen = df.where(ok & (F.greatest(*[F.col(c).isNotNull().cast("int") for c in resids], F.lit(0)) == 1))
+    box = seen.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"),
+                   *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(resids)], *[F.avg(c).alias(f"a{i}") for i, c in enumerate(resids)]).first()
+    if box["x0"] is None:
+        return df.withColumns({c: F.lit(0.0) for c in outs}), kernels or [Kernel(0.2, 1.0)] * len(resids), 0
+    scale = lambda c, a, z: ((F.col(c) - a) / (z - a if z > a else 1.0))
+    unit = [box[f"s{i}"] or 1.0 for i in range(len(resids))]
+    mean = [box[f"a{i}"] or 0.0 for i in range(len(resids))]
+    at = df.where(ok).withColumns({"_x": scale(x, box["x0"], box["x1"]), "_y": scale(y, box["y0"], box["y1"])})
+    value = lambda i, c: (F.col(c) - mean[i]) / unit[i]
+    places = at.groupBy("_x", "_y").agg(
+        F.array(*[F.coalesce(F.avg(value(i, c)), F.lit(0.0)) for i, c in enumerate(resids)]).alias("_r"),
+        F.array(*[F.count(c).cast("double") for c in resids]).alias("_m"))
+    places = materialize(places, "places")
+    if kernels is None:
+        draw = places.orderBy(F.xxhash64("_x", "_y"), "_x", "_y").limit(SAMPLE).collect()
+        kernels = []
+        for i in range(len(resids)):
+            own = np.array([(p["_x"], p["_y"], p["_r"][i], p["_m"][i]) for p in draw if p["_m"][i] > 0]).reshape(-1, 4)
+            kernels.append(choose(*own.T, reach=reach))
+    weights, took = solve(places, kernels, reach, tolerance)
+    cell = reach * max(k.length for k in kernels) * (1 + 1e-12)
+    asked = blocks_of(places, cell, {"m": "_m"})
+    pred = asked.select("blk", "x", "y").join(product(asked, weights, "w", kernels, reach, "v"), "blk", "left")
+    s = len(kernels)
+    each = pred.select(F.posexplode("x").alias("_i", "_x"), "y", "v")
+    each = each.select("_x", F.get("y", F.col("_i")).alias("_y"), *[(F.coalesce(F.get("v", F.col("_i") * s + i), F.lit(0.0)) * unit[i] + mean[i]).alias(c) for i, c in enumerate(outs)])
+    got = at.select(F.col(idc).alias("_id"), "_x", "_y").join(each, ["_x", "_y"]).drop("_x", "_y")
+    out = df.join(got, F.col(idc) == F.col("_id"), "left").drop("_id")
+    return out.fillna(0.0, outs), kernels, took

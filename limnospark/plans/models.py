@@ -7,6 +7,7 @@ from __future__ import annotations
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from ..functions import formulas as FX
 from ..functions.geo import synth_lat, synth_lon
 from ..operators import evaluate as EV
 from ..operators import folds as FO
+from ..operators import kmeans as KM
 from ..operators import models as M
 from ..operators import training as TN
 from ..operators import transforms as TR
@@ -343,43 +345,62 @@ def m25_blend_sweep(spark, sf_dir):
     return allr.crossJoin(best).select("quantile", "alpha", r("mean_r2"), (F.col("mean_r2") == F.col("_b")).alias("is_best"))
 
 
+REGION_COLS = ["slope", "soil_clay_0_5", "soil_ph_0_5", "upstream_area_km2", "lat", "lon"]
+RESTARTS = 10
+
+
 @query("M1")
 def m1_regions(spark, sf_dir):
-    """M1: KMeans regions k = 4 and 6 fitted on the train side of the
-    embeddings (hash split), predicted for all rows."""
-    e = t(spark, sf_dir, "embeddings")
-    cols = [f"e{i}" for i in range(64)]
-    e = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
-    e = FO.random_split(e, "vec_id")
-    out = e.select("vec_id", "is_train")
-    for k in (4, 6):
-        _, apply, _ = M.kmeans(e.where("is_train"), cols, k, out=f"region_k{k}")
-        out = out.join(apply(e).select("vec_id", f"region_k{k}"), "vec_id")
-    return out
+    """M1: k-means regions k = 4 and 6 on median-filled, scaled attributes of
+    the places, 10 restarts each, all in the same passes; fitted on the train
+    side (hash split), given to all places."""
+    from .common import places
+
+    p = FO.random_split(places(spark, sf_dir), "station_id")
+    scale = KM.scaling(p.where("is_train"), REGION_COLS)
+    fits = KM.fit(p.where("is_train"), "station_id", scale.columns(), [4, 6], RESTARTS)
+    return p.select("station_id", "is_train", *[KM.assign(scale.columns(), f.centres).alias(f"region_k{k}") for k, f in fits.items()])
 
 
 @query("M2")
 def m2_cluster_feature(spark, sf_dir):
-    """M2: KMeans cluster id (k = 6, unscaled attributes) as a feature."""
+    """M2: k-means cluster id (k = 6, filled but unscaled attributes) as a
+    feature."""
     from .common import places
 
     p = places(spark, sf_dir)
-    cols = ["slope", "soil_clay_0_5", "soil_ph_0_5", "upstream_area_km2"]
-    _, apply, _ = M.kmeans(p, cols, 6, out="hydro_cluster")
-    return apply(p).select("station_id", "hydro_cluster")
+    scale = KM.scaling(p, REGION_COLS[:4], scaled=False)
+    f = KM.fit(p, "station_id", scale.columns(), [6], RESTARTS)[6]
+    return p.select("station_id", KM.assign(scale.columns(), f.centres).alias("hydro_cluster"))
 
 
 @query("M3")
 def m3_kmeans_folds(spark, sf_dir):
-    """M3: KMeans folds on coordinates, k in {8, 10, 12, 15}."""
+    """M3: k-means folds on coordinates, k in {8, 10, 12, 15}, 10 restarts
+    each, all in the same passes."""
     from .common import places
 
-    p = places(spark, sf_dir).select("station_id", "lat", "lon")
-    out = p.select("station_id")
-    for k in (8, 10, 12, 15):
-        _, apply, _ = M.kmeans(p, ["lat", "lon"], k, out=f"fold_kmeans_{k}")
-        out = out.join(apply(p).select("station_id", f"fold_kmeans_{k}"), "station_id")
-    return out
+    p = places(spark, sf_dir)
+    at = [F.col("lat"), F.col("lon")]
+    fits = KM.fit(p, "station_id", at, [8, 10, 12, 15], RESTARTS)
+    return p.select("station_id", *[KM.assign(at, f.centres).alias(f"fold_kmeans_{k}") for k, f in fits.items()])
+
+
+def _m_assign_sql() -> str:
+    d = " + ".join(f"(p.{c} - m.{c}) * (p.{c} - m.{c})" for c in ("slope", "soil_ph_0_5"))
+    p = "(SELECT c_custkey AS station_id, CAST(c_custkey % 97 AS DOUBLE) AS slope, CAST(c_acctbal AS DOUBLE) AS soil_ph_0_5 FROM customer)"
+    return f"""SELECT station_id, CAST(e AS INTEGER) AS cluster FROM (SELECT p.station_id, m.e,
+  row_number() OVER (PARTITION BY p.station_id ORDER BY {d}, m.e) AS rn
+  FROM {p} p, (SELECT *, row_number() OVER (ORDER BY station_id) - 1 AS e FROM {p} ORDER BY station_id LIMIT 7) m) WHERE rn = 1"""
+
+
+@query("M2_assign", _m_assign_sql())
+def m2_assign(spark, sf_dir):
+    """The assignment step of M1-M3 against SQL: every customer to the nearest
+    of the seven with the lowest keys."""
+    c = t(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 97).cast("double").alias("a"), F.col("c_acctbal").cast("double").alias("b"))
+    centres = np.array([(r["a"], r["b"]) for r in c.orderBy("c_custkey").limit(7).collect()])
+    return c.select(F.col("c_custkey").alias("station_id"), KM.assign([F.col("a"), F.col("b")], centres).alias("cluster"))
 
 
 @query("M8")
@@ -407,10 +428,13 @@ def m26_region_choice(spark, sf_dir):
     d = dataset(spark, sf_dir)
     d = FO.random_split(d.withColumn("rid", F.xxhash64(*KEY)), "rid", 0.8)
     inner_tr, inner_va = d.where("is_train"), d.where(~F.col("is_train"))
+    at = [F.col("lat"), F.col("lon")]
+    places_tr = inner_tr.groupBy("l_suppkey").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"))
+    fits = KM.fit(places_tr, "l_suppkey", at, [4, 6], RESTARTS)
     rows = []
-    for k in (4, 6):
-        _, apply, _ = M.kmeans(inner_tr, ["lat", "lon"], k, out="region")
-        _, p = M.fit_predict(apply(inner_tr), apply(inner_va), FEATS + ["region"], Y, M.random_forest(10, 5))
+    for k, f in fits.items():
+        region = KM.assign(at, f.centres).cast("double").alias("region")
+        _, p = M.fit_predict(inner_tr.select("*", region), inner_va.select("*", region), FEATS + ["region"], Y, M.random_forest(10, 5))
         mu = p.agg(F.avg(Y).alias("_mu"))
         s = p.crossJoin(mu).agg((1 - F.sum(F.pow(F.col(Y) - F.col("pred"), 2)) / F.sum(F.pow(F.col(Y) - F.col("_mu"), 2))).alias("r2"))
         rows.append(s.select(F.lit(k).alias("k"), r("r2").alias("inner_r2")))
@@ -421,31 +445,31 @@ def m26_region_choice(spark, sf_dir):
 
 @query("M15")
 def m15_residual_kriging(spark, sf_dir):
-    """Blocked residual kriging on customer places: basin-mean base
-    (train folds), residuals kriged per grid cell + halo from all training
-    points; fold R2 of the base alone and with the kriged residual."""
+    """Residual kriging on customer places: basin-mean base (train
+    folds), residuals kriged from all training places by conjugate gradients,
+    all folds in the same steps, kernels chosen by held-out likelihood; fold
+    R2 of the base alone and with the kriged residual."""
     from ..operators import kriging as KR
     from .common import places
 
     p = places(spark, sf_dir).join(t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("station_id"), "c_acctbal"),
                                     "station_id")
-    p = FO.group_folds(p, "station_id", K)
-    rows = []
-    for i in range(K):
-        tr, te = p.where(F.col("fold") != i), p.where(F.col("fold") == i)
-        base = tr.groupBy("basin_id").agg(F.avg("c_acctbal").alias("base"))
-        gm = tr.agg(F.avg("c_acctbal").alias("_gm"))
-        trb = tr.join(base, "basin_id").withColumn("res", F.col("c_acctbal") - F.col("base"))
-        teb = te.join(base, "basin_id", "left").crossJoin(F.broadcast(gm)).withColumn("base", F.coalesce("base", "_gm"))
-        kr = KR.blocked_kriging(trb, teb, "station_id", "lon", "lat", "res")
-        mu = kr.agg(F.avg("c_acctbal").alias("_mu"))
-        s = kr.crossJoin(mu).agg(
-            F.count(F.lit(1)).alias("n"),
-            (1 - F.sum(F.pow(F.col("c_acctbal") - F.col("base"), 2)) / F.sum(F.pow(F.col("c_acctbal") - F.col("_mu"), 2))).alias("r2_base"),
-            (1 - F.sum(F.pow(F.col("c_acctbal") - F.col("base") - F.col("kriged"), 2))
-             / F.sum(F.pow(F.col("c_acctbal") - F.col("_mu"), 2))).alias("r2_kriged"))
-        rows.append(s.select(F.lit(i).alias("fold"), "n", r("r2_base"), r("r2_kriged")))
-    return reduce(lambda a, b: a.unionByName(b), rows)
+    p = cut_lineage(FO.group_folds(p, "station_id", K).select("station_id", "basin_id", "lat", "lon", "c_acctbal", "fold"))
+    # Training mean of a basin without a fold: its total less the fold's own part.
+    part = p.groupBy("basin_id", "fold").agg(F.sum("c_acctbal").alias("s"), F.count("c_acctbal").alias("n"))
+    folds = list(range(K))
+    mean = lambda f: F.sum(F.when(F.col("fold") != f, F.col("s"))) / F.sum(F.when(F.col("fold") != f, F.col("n")))
+    own = part.groupBy("basin_id").agg(*[mean(f).alias(f"b{f}") for f in folds])
+    all_ = part.agg(*[mean(f).alias(f"g{f}") for f in folds])
+    d = p.join(own, "basin_id", "left").crossJoin(F.broadcast(all_))
+    base = [F.coalesce(F.col(f"b{f}"), F.col(f"g{f}")) for f in folds]
+    d = cut_lineage(d.withColumns({f"r{f}": F.when(F.col("fold") != f, F.col("c_acctbal") - base[f]) for f in folds}).withColumn(
+        "base", F.element_at(F.array(*base), (F.col("fold") + 1).cast("int"))))
+    kr, _, _ = KR.krige(d, "station_id", "lon", "lat", [f"r{f}" for f in folds], [f"k{f}" for f in folds], reach=3.0, tolerance=1e-4)
+    kr = kr.withColumn("kriged", F.element_at(F.array(*[F.col(f"k{f}") for f in folds]), (F.col("fold") + 1).cast("int")))
+    err = lambda v: 1 - F.try_divide(F.sum(F.pow(v, 2)), F.var_pop("c_acctbal") * F.count("c_acctbal"))
+    return kr.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), r(err(F.col("c_acctbal") - F.col("base"))).alias("r2_base"),
+                                  r(err(F.col("c_acctbal") - F.col("base") - F.col("kriged"))).alias("r2_kriged"))
 
 
 @query("G21")

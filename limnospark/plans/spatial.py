@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import synth_lat, synth_lat_sql, synth_lon, synth_lon_sql
 from ..operators import spatial as SP
+from ..sources import geojson as GJ
 from .catalog import query
 from .common import events_obs, r, t
 
@@ -364,3 +365,50 @@ def a4_vector_source(spark, sf_dir):
     ring = F.transform(F.col("g.coordinates"), lambda c: F.struct(c[0].alias("x"), c[1].alias("y")))
     out = parsed.select("poly_id", ring.alias("ring"))
     return out.select("poly_id", F.size("ring").alias("n_vertices"), r(F.col("ring")[0]["x"], 6).alias("first_x"))
+
+
+# A shape per nation: a diamond with a diamond hole around its middle, a small
+# diamond in the hole, and a further part to the east; nations whose key is a
+# multiple of 7 have no geometry, and every row has a broken twin.
+HOLE, ISLE, EAST = HALF / 2.0123457, HALF / 5.0123457, 2.5
+
+
+def shape_texts(spark, sf_dir):
+    ring = lambda h, dx=0.0: F.array(*[F.array(F.col("cx") + F.lit(dx) + a * h, F.col("cy") + b * h) for a, b in ((1, 0), (0, 1), (-1, 0), (0, -1), (1, 0))])
+    parts = F.array(F.array(ring(HALF), ring(HOLE)), F.array(ring(ISLE)), F.array(ring(ISLE, EAST)))
+    geometry = F.struct(F.lit("MultiPolygon").alias("type"), parts.alias("coordinates"))
+    whole = F.struct(F.lit("Feature").alias("type"), F.when(F.col("poly_id") % 7 != 0, geometry).alias("geometry"), F.struct("poly_id").alias("properties"))
+    rows = polygons(spark, sf_dir).select("poly_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("text"))
+    return rows.unionByName(rows.select("poly_id", F.expr("substring(text, 1, length(text) div 2)").alias("text")))
+
+
+@query(
+    "A4_shapes",
+    f"""
+SELECT poly_id, true AS ok, CASE WHEN poly_id % 7 <> 0 THEN 3 END AS n_parts, CASE WHEN poly_id % 7 <> 0 THEN 4 END AS n_rings,
+  CASE WHEN poly_id % 7 <> 0 THEN 20 END AS n_vertices FROM {POLY_SQL}
+UNION ALL SELECT poly_id, false, NULL, NULL, NULL FROM {POLY_SQL}
+""",
+)
+def a4_shapes(spark, sf_dir):
+    """A4 nested: GeoJSON features with several parts and holes, NULL
+    geometries, and broken texts as flagged rows."""
+    s = GJ.read_texts(shape_texts(spark, sf_dir), "text")
+    rings = F.flatten("shape")
+    size = lambda c: F.when(F.col("shape").isNotNull(), F.size(c))
+    return s.select("poly_id", "ok", size("shape").alias("n_parts"), size(rings).alias("n_rings"), size(F.flatten(rings)).alias("n_vertices"))
+
+
+def _j10_shapes_sql() -> str:
+    d, e = "abs(c.lon - p.cx) + abs(c.lat - p.cy)", f"abs(c.lon - p.cx - {EAST}) + abs(c.lat - p.cy)"
+    return f"""SELECT c.c_custkey, p.poly_id FROM {CUST} c LEFT JOIN (SELECT * FROM {POLY_SQL} WHERE poly_id % 7 <> 0) p
+  ON ({d} < {HALF} AND {d} >= {HOLE}) OR {d} < {ISLE} OR {e} < {ISLE}"""
+
+
+@query("J10_shapes", _j10_shapes_sql())
+def j10_shapes(spark, sf_dir):
+    """J10 on shapes with a hole, land in the hole and a further part, read
+    from GeoJSON texts."""
+    shapes = GJ.read_texts(shape_texts(spark, sf_dir), "text").where("ok").select(F.col("poly_id").cast("long").alias("poly_id"), "shape")
+    pts = cust(spark, sf_dir).select("c_custkey", "lat", "lon")
+    return SP.points_in_shapes(pts, shapes, "lon", "lat", "shape").select("c_custkey", "poly_id")
