@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .ranking import quantiles
 
 
@@ -180,6 +181,24 @@ def fold_summary(df: DataFrame, fold: str, group: str, y: str) -> DataFrame:
     )
 
 
+def fold_describe(df: DataFrame, fold: str, group: str, y: str, top: int) -> DataFrame:
+    """(fold, kind, name, value): count, mean, std, least, quartiles and
+    largest of ``y`` per fold, and the rows of the ``top`` most frequent groups
+    (ties by group; NULL groups left out, as value_counts does)."""
+    rows = materialize(df.select(fold, group, y), "folds")
+    plain = rows.groupBy(fold).agg(F.min(y).alias("min"), F.max(y).alias("max"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"),
+                                   F.count(y).alias("count"))
+    quarters = quantiles(rows, y, [0.25, 0.5, 0.75], ["25%", "50%", "75%"], by=[fold])
+    names = ["min", "25%", "50%", "75%", "max", "mean", "std", "count"]
+    wide = plain.join(quarters, fold, "left")
+    describe = wide.select(fold, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").cast("double").alias("value")) for n in names])).alias("s"))
+    counts = rows.where(F.col(group).isNotNull()).groupBy(fold, group).agg(F.count(F.lit(1)).alias("_n"))
+    first = Window.partitionBy(fold).orderBy(F.desc("_n"), group)
+    counts = counts.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= top)
+    return describe.select(fold, F.lit("describe").alias("kind"), "s.name", "s.value").unionByName(
+        counts.select(fold, F.lit("value_counts").alias("kind"), F.col(group).cast("string").alias("name"), F.col("_n").cast("double").alias("value")))
+
+
 def regime_support(df: DataFrame, flags: list[str], fold: str, group: str, n_folds: int) -> DataFrame:
     """Support per regime (each flag, each pair, the triple): rows,
     distinct groups, rows per fold, folds with zero rows, minimum fold count.

@@ -94,6 +94,7 @@ def fold_report(df: DataFrame, group: str, fold: str, lat: str, lon: str) -> Dat
 
 def random_split(df: DataFrame, key: str, train_share: float = 0.7, seed: int = 42, out: str = "is_train"):
     """Deterministic train/test split by a hash of the row id (the same
-    row lands on the same side on any cluster size or re-run)."""
-    h = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000))
-    return df.withColumn(out, h < int(round(train_share * 10_000)))
+    row lands on the same side on any cluster size or re-run): the first 32
+    bits of the MD5 of ``seed:id``, modulo 10,000. A NULL id is a test row."""
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long") % 10_000
+    return df.withColumn(out, F.coalesce(h < int(round(train_share * 10_000)), F.lit(False)))

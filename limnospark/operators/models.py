@@ -11,6 +11,7 @@ over several seeds.
 
 from __future__ import annotations
 
+import random
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
@@ -22,7 +23,6 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -344,16 +344,23 @@ def branch_support(df: DataFrame, gate: str, fold: str, group: str, folds: int |
     return g.withColumn("min_fold_rows", mn).withColumn("reasons", reasons).withColumn("supported", reasons == "")
 
 
-def param_grid(est, grid: dict) -> list:
-    """Configurations as a list of param maps (ParamGridBuilder)."""
-    b = ParamGridBuilder()
-    for p, vals in grid.items():
-        b = b.addGrid(getattr(est, p), vals)
-    return b.build()
+def grid_configs(space: dict[str, list]) -> list[dict]:
+    """Every combination of the space's values."""
+    out: list[dict] = [{"kind": "grid"}]
+    for name, values in space.items():
+        out = [c | {name: v} for c in out for v in values]
+    return out
+
+
+def random_configs(space: dict[str, list], n: int, seed: int) -> list[dict]:
+    """``n`` configurations, each value drawn by ``seed``; the same seed
+    gives the same configurations."""
+    draw = random.Random(seed)
+    return [{"kind": "random"} | {name: draw.choice(values) for name, values in space.items()} for _ in range(n)]
 
 
 __all__ = [
     "assembler", "extra_trees", "random_forest", "gbt", "poisson", "elastic_net", "fit_predict", "cv_predictions", "cv_scores",
     "gram_by_fold", "ridge_fit", "elastic_net_fit", "linear_cv_predictions", "ridge", "ridge_cv", "lasso_cv", "scaled_elastic_net", "mean_ensemble", "importances", "coefficients", "kmeans", "two_stage",
-    "gated_experts", "branch_support", "param_grid", "LogisticRegression",
+    "gated_experts", "branch_support", "grid_configs", "random_configs", "LogisticRegression",
 ]

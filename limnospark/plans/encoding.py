@@ -186,7 +186,7 @@ def k7_oof_basin_mean(spark, sf_dir):
     )
 
 
-@query("K10")
+@query("K10", "SELECT o_orderkey, CAST('0x' || substr(md5('42:' || CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 10000 < 7000 AS is_train FROM orders")
 def k10_random_split(spark, sf_dir):
     """Deterministic 70/30 split by a hash of the row id."""
     return FO.random_split(t(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
@@ -206,6 +206,26 @@ def g16_fold_summary(spark, sf_dir):
     return s.select("fold", "n_rows", "n_groups", r("y_mean"), "y_min", "y_max", r("y_std"))
 
 
+_G16_STATS = ("min", "25%", "50%", "75%", "max", "mean", "std", "count")
+
+
+def _g16_describe_sql() -> str:
+    aggs = ["min(y)", "quantile_cont(y, 0.25)", "quantile_cont(y, 0.5)", "quantile_cont(y, 0.75)", "max(y)", "avg(y)", "stddev_samp(y)", "count(y)"]
+    parts = [f"SELECT fold, 'describe' AS kind, '{n}' AS name, round(CAST({a} AS DOUBLE), 6) AS value FROM {CUST_FOLD_SQL} GROUP BY fold" for n, a in zip(_G16_STATS, aggs)]
+    counts = f"""SELECT fold, 'value_counts' AS kind, CAST(basin_id AS VARCHAR) AS name, CAST(n AS DOUBLE) AS value FROM (
+  SELECT fold, basin_id, count(*) AS n, row_number() OVER (PARTITION BY fold ORDER BY count(*) DESC, basin_id) AS rn
+  FROM {CUST_FOLD_SQL} WHERE basin_id IS NOT NULL GROUP BY fold, basin_id) WHERE rn <= 5"""
+    return " UNION ALL ".join([*parts, counts])
+
+
+@query("G16_describe", _g16_describe_sql())
+def g16_describe(spark, sf_dir):
+    """G16 with what describe and value_counts give per fold: count, mean,
+    std, least, quartiles and largest, and the five most frequent groups."""
+    d = AG.fold_describe(_cust_folds(spark, sf_dir), "fold", "basin_id", "y", 5)
+    return d.select("fold", "kind", "name", r("value"))
+
+
 # Regime support on the observation mart: flags month == 1, pet > 50,
 # dist_main_km > 498.1 (January data: month 12 never occurs).
 _G20_FLAGS = """CAST(month(ts) = 1 AS INTEGER) AS is_m, CAST(coalesce(pet > 50, false) AS INTEGER) AS is_pet_high,

@@ -202,7 +202,20 @@ def m16_gated(spark, sf_dir):
     return _scores(p, model="gated").crossJoin(routes)
 
 
-@query("M17")
+def _m17_sql() -> str:
+    from .encoding import fold_sql
+
+    src = "(SELECT l.* FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)"
+    folds = ", ".join(f"count(*) FILTER (WHERE fold = {i}) AS fold_{i}" for i in range(K))
+    least = "least(" + ", ".join(f"fold_{i}" for i in range(K)) + ")"
+    reasons = f"""concat_ws(';', CASE WHEN {least} = 0 THEN 'missing_fold' END, CASE WHEN n_rows < 1000 THEN 'too_few_rows' END,
+  CASE WHEN {least} < 200 THEN 'thin_fold' END, CASE WHEN n_groups < 10 THEN 'too_few_groups' END)"""
+    return f"""SELECT *, {least} AS min_fold_rows, {reasons} AS reasons, {reasons} = '' AS supported FROM (
+  SELECT l_quantity > 45 AS branch, count(*) AS n_rows, count(DISTINCT l_suppkey) AS n_groups, {folds}
+  FROM {src} l JOIN {fold_sql(src, 'l_suppkey')} f ON l.l_suppkey = f.grp GROUP BY 1)"""
+
+
+@query("M17", _m17_sql())
 def m17_branch_support(spark, sf_dir):
     """Branch support guard (rows, groups, per-fold rows, reasons)."""
     d = dataset(spark, sf_dir).withColumn("gate", F.col("l_quantity") > 45)
@@ -305,19 +318,39 @@ def m22_benchmark(spark, sf_dir):
     )
 
 
+#: What a configuration of M24 chooses: target transform, columns, cells of
+#: places in degrees.
+M24_SPACE = {"y_mode": ["none", "winsor", "log1p"], "pack": ["base", "full"], "grid": [0.0, 0.05, 0.2, 2.0]}
+M24_GRID = {"y_mode": ["none", "winsor"], "pack": ["base", "full"], "grid": [0.0]}
+
+
 @query("M24")
-def m24_grid(spark, sf_dir):
-    """A fixed grid of configurations (ParamGridBuilder), each scored
-    by fold R2."""
+def m24_variants(spark, sf_dir):
+    """A fixed grid and seeded random draws of configurations, as a
+    table, each scored by fold R2 on one set of folds and on the target's own
+    scale; the trees of all configurations grow in the same passes."""
+    configs = M.grid_configs(M24_GRID) + M.random_configs(M24_SPACE, 6, seed=42)
     d = dataset(spark, sf_dir)
-    base = M.random_forest()
-    grid = M.param_grid(base, {"numTrees": [5, 10], "maxDepth": [3, 5]})
+    packs = {"base": FEATS[:2], "full": FEATS}
+    grids = sorted({c["grid"] for c in configs if c["grid"]})
+    cells = {f"cell_{a}_{g}": F.floor(F.col(a) / g).cast("double") for g in grids for a in ("lat", "lon")}
+    modes = sorted({c["y_mode"] for c in configs})
+    d = d.withColumns({**cells})
+    for m in modes:
+        d = TN.forward(d, Y, m, f"_y_{m}")
+    cols = [*FEATS, *cells]
+    table = TE.prepare(d, cols, [f"_y_{m}" for m in modes], "fold", ["fold", Y])
+    models, outs = [], {}
+    for i, c in enumerate(configs):
+        own = tuple(cols.index(x) for x in [*packs[c["pack"]], *[x for x in cells if c["grid"] and x.endswith(f"_{c['grid']}")]])
+        outs[f"p{i}"] = list(range(len(models), len(models) + K))
+        models += [TE.Model(modes.index(c["y_mode"]), f, own) for f in range(K)]
+    grown = TE.extra_trees(table, models, len(cols), len(modes), trees=10, depth=6, min_leaf=3)
+    pred = cut_lineage(TE.predict_trees(table, grown, ["fold", Y], outs))
     rows = []
-    for pm in grid:
-        est = base.copy(pm)
-        s = M.cv_scores(d, FEATS, Y, "fold", list(range(K)), est, KEY)
-        cfg = ",".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name))
-        rows.append(s.agg(F.lit(cfg).alias("config"), r(F.avg("r2")).alias("mean_r2")))
+    for i, c in enumerate(configs):
+        s = EV.fold_scores(pred.withColumn("pred", TN.inverse(f"p{i}", c["y_mode"])), Y, "pred", "fold")
+        rows.append(s.agg(F.lit(c["kind"]).alias("kind"), *[F.lit(c[k]).alias(k) for k in M24_SPACE], r(F.avg("r2")).alias("mean_r2")))
     return reduce(lambda a, b: a.unionByName(b), rows)
 
 
@@ -403,7 +436,20 @@ def m2_assign(spark, sf_dir):
     return c.select(F.col("c_custkey").alias("station_id"), KM.assign([F.col("a"), F.col("b")], centres).alias("cluster"))
 
 
-@query("M8")
+def _m8_sql() -> str:
+    from .encoding import fold_sql
+    from .spatial import CUST
+
+    return f"""WITH p AS (SELECT c.c_custkey AS id, c.lon, c.lat, c.c_acctbal AS y, f.fold FROM {CUST} c JOIN {fold_sql('customer', 'c_nationkey')} f ON c.c_nationkey = f.grp),
+nn AS (SELECT q.id, q.fold, q.y, t.y AS ty, row_number() OVER (PARTITION BY q.id ORDER BY sqrt(pow(q.lon - t.lon, 2) + pow(q.lat - t.lat, 2)), t.id) AS rn
+  FROM p q, p t WHERE q.fold <> t.fold),
+pr AS (SELECT id, fold, y, avg(ty) AS pred FROM nn WHERE rn <= 5 GROUP BY id, fold, y),
+s AS (SELECT fold, count(*) AS n, 1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(y)) AS r2, sqrt(sum((y - pred) * (y - pred)) / count(*)) AS rmse FROM pr GROUP BY fold)
+SELECT 'knn5' AS model, fold, n, round(r2, 6) AS r2, round(rmse, 4) AS rmse, round((SELECT avg(r2) FROM s), 6) AS r2_mean,
+  round((SELECT stddev_pop(r2) FROM s), 6) AS r2_std FROM s"""
+
+
+@query("M8", _m8_sql())
 def m8_knn_regressor(spark, sf_dir):
     """M8: k-NN regressor (k = 5 nearest places of the other folds), fold R2."""
     from ..operators import spatial as SP

@@ -87,6 +87,24 @@ def t8_quantile_bands(spark, sf_dir):
     return RK.quantile_bands(o, "o_totalprice", "price_band", 4).select("o_orderkey", "price_band")
 
 
+_T8_SRC = """(SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN 7.0 ELSE o_totalprice END AS v FROM orders)"""
+
+
+def _t8_names_sql() -> str:
+    qs = ", ".join(f"quantile_cont(v, {p})" for p in (0, 0.25, 0.5, 0.75, 1))
+    return f"""WITH s AS (SELECT * FROM {_T8_SRC}), e AS (SELECT o_orderstatus, list_sort(list_distinct([{qs}])) AS e FROM s GROUP BY o_orderstatus),
+j AS (SELECT s.*, e.e, least(greatest(len(list_filter(e.e, lambda x: x < v)), 1), len(e.e) - 1) AS pos FROM s JOIN e USING (o_orderstatus))
+SELECT o_orderkey, CASE WHEN len(e) < 2 THEN 'all' ELSE (CASE WHEN pos = 1 THEN '[' ELSE '(' END) || printf('%.3f', e[pos]) || ', ' || printf('%.3f', e[pos + 1]) || ']' END AS band FROM j"""
+
+
+@query("T8_names", _t8_names_sql())
+def t8_band_names(spark, sf_dir):
+    """T8 with named bands per order status; orders of status P have one
+    value, so they are in the one band 'all'."""
+    o = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderstatus") == "P", F.lit(7.0)).otherwise(F.col("o_totalprice").cast("double")).alias("v"))
+    return RK.band_labels(o, "v", "band", 4, by=["o_orderstatus"]).select("o_orderkey", "band")
+
+
 @query(
     "T9",
     """

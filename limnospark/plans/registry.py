@@ -57,6 +57,37 @@ def _fold_metrics(spark, sf_dir):
         F.transform(F.array_sort(F.collect_list(F.struct("fold", "m"))), lambda x: x["m"]).alias("folds"))
 
 
+def _config(p, legacy: bool):
+    """A run's configuration as JSON text, in the layout of its time: per
+    target, or (legacy) one mode for all and no model."""
+    mode = F.when(p <= 2, "sqrt").when(p == 3, "log1p").otherwise("none")
+    if legacy:
+        return F.to_json(F.struct(F.lit("legacy").alias("layout"), F.struct(mode.alias("y_mode")).alias("targets")))
+    name = lambda v: F.struct(F.struct(v.alias("name")).alias("DRP"))
+    cv = F.when(p == 2, "HistGradientBoostingRegressor").otherwise("ExtraTreesRegressor")
+    return F.to_json(F.struct(
+        F.lit("metadata").alias("layout"), F.struct(F.struct(mode.alias("DRP")).alias("y_mode_by_target")).alias("targets"),
+        F.struct(name(cv).alias("cv_by_target"), F.when(p != 3, name(F.lit("ExtraTreesRegressor"))).alias("final_by_target")).alias("model")))
+
+
+#: What the reported runs were meant to use, and the model of a
+#: run that names none.
+INTENDED = {"y_mode": "sqrt", "cv_model": "ExtraTreesRegressor", "final_model": "ExtraTreesRegressor"}
+DEFAULT_MODEL = "ExtraTreesRegressor"
+
+
+def run_configs(spark, sf_dir):
+    """(experiment_id, created, layout, y_mode, cv_model, final_model) of every
+    run, whatever the layout of its configuration."""
+    rep = reports(spark, sf_dir).where(F.col("cv").isNotNull())
+    at = lambda path: F.get_json_object("config", path)
+    return rep.select(
+        F.col("run_id").alias("experiment_id"), "created", at("$.layout").alias("layout"),
+        F.coalesce(at("$.targets.y_mode_by_target.DRP"), at("$.targets.y_mode"), F.lit("unknown")).alias("y_mode"),
+        F.coalesce(at("$.model.cv_by_target.DRP.name"), F.lit(DEFAULT_MODEL)).alias("cv_model"),
+        F.coalesce(at("$.model.final_by_target.DRP.name"), F.lit(DEFAULT_MODEL)).alias("final_model"))
+
+
 def write_runs(spark, sf_dir) -> str:
     """Write the run reports (JSON, one folder per run) and a broken file;
     returns the glob of the report files."""
@@ -73,8 +104,7 @@ def write_runs(spark, sf_dir) -> str:
         F.when(legacy, F.to_json(F.array(*[F.lit(f"f{i}") for i in range(3)])))
         .otherwise(F.to_json(F.struct(F.array(*[F.lit(f"f{i}") for i in range(5)]).alias("columns")))).alias("features"),
         "cv",
-        F.when(legacy, F.to_json(F.struct(F.lit("legacy").alias("layout")))).otherwise(
-            F.to_json(F.struct(F.lit("metadata").alias("layout")))).alias("config"),
+        F.when(legacy, _config(pv, True)).otherwise(_config(pv, False)).alias("config"),
     )
     out.write.mode("overwrite").partitionBy("run_id").json(base)
     FS.write_text(spark, base + "/run_id=exp_broken/part-broken.json", '{"run_id": "exp_broken", "cv": {"TA": {"mean": \n')
@@ -141,6 +171,60 @@ def r3_intended_config(spark, sf_dir):
     return idx.select("experiment_id", "y_mode_drp", (F.col("y_mode_drp") == "log1p").alias("as_intended"))
 
 
+_CONFIG_SQL = f"""(SELECT experiment_id, created, CASE WHEN p >= 4 THEN 'legacy' ELSE 'metadata' END AS layout,
+  CASE WHEN p <= 2 THEN 'sqrt' WHEN p = 3 THEN 'log1p' ELSE 'none' END AS y_mode,
+  CASE WHEN p = 2 THEN 'HistGradientBoostingRegressor' ELSE 'ExtraTreesRegressor' END AS cv_model, 'ExtraTreesRegressor' AS final_model
+  FROM (SELECT *, CAST(right(experiment_id, 1) AS INTEGER) AS p FROM {INDEX_SQL}))"""
+
+
+@query("R1_layouts", f"SELECT experiment_id, layout, y_mode, cv_model, final_model FROM {_CONFIG_SQL}")
+def r1_layouts(spark, sf_dir):
+    """Configurations of both layouts read into one table."""
+    return run_configs(spark, sf_dir).drop("created")
+
+
+@query("R3_fields", f"""SELECT experiment_id, y_mode, cv_model, final_model, y_mode = 'sqrt' AND cv_model = 'ExtraTreesRegressor'
+  AND final_model = 'ExtraTreesRegressor' AS as_intended FROM {_CONFIG_SQL} ORDER BY created DESC, experiment_id DESC LIMIT 15""")
+def r3_fields(spark, sf_dir):
+    """The last 15 runs against the intended mode, CV model and final
+    model, read from their configurations."""
+    c = run_configs(spark, sf_dir).orderBy(F.desc("created"), F.desc("experiment_id")).limit(15)
+    same = F.lit(True)
+    for name, value in INTENDED.items():
+        same = same & (F.col(name) == value)
+    return c.select("experiment_id", *INTENDED, same.alias("as_intended"))
+
+
+def write_outputs(spark, sf_dir) -> str:
+    """A CSV folder of predictions per run; returns the folder over them."""
+    base = FS.scratch_path(spark, "outputs")
+    o = t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.explode(F.array(*[F.lit(k) for k in range(1, 5)])).alias("p"))
+    out = o.select(F.concat(F.lit("exp_2026010"), F.col("p")).alias("run_id"), "o_orderkey", _output(F.col("p")).alias("pred"))
+    out.write.partitionBy("run_id").option("header", True).csv(base)
+    return base
+
+
+def _output(p):
+    return F.col("o_totalprice").cast("double") * (1 + p * (F.col("o_orderkey") % 7 - 3) / 100)
+
+
+_SIM_SQL = """(SELECT 'exp_2026010' || p AS entry, round(corr(o_totalprice, pred), 6) AS anchor_corr, round(avg(abs(pred - o_totalprice)), 4) AS anchor_mae
+  FROM (SELECT p, o_totalprice, CAST(o_totalprice AS DOUBLE) * (1 + p * (o_orderkey % 7 - 3) / 100.0) AS pred FROM orders, range(1, 5) t(p)) GROUP BY p)"""
+
+
+@query("R5_similarity", f"""SELECT i.experiment_id AS entry, i.cv_mean, s.anchor_corr, s.anchor_mae FROM {INDEX_SQL} i LEFT JOIN {_SIM_SQL} s ON s.entry = i.experiment_id""")
+def r5_similarity(spark, sf_dir):
+    """The state table's runs with the similarity of their outputs to the
+    anchor's (correlation, mean absolute difference); runs without outputs
+    have NULLs."""
+    schema = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("pred", T.DoubleType())])
+    out = FS.read_csv(spark, write_outputs(spark, sf_dir) + "/run_id=*", schema).withColumn("entry", F.regexp_extract(F.col("_metadata.file_path"), r"run_id=([^/]+)/", 1))
+    anchor = t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("anchor"))
+    sim = out.join(anchor, "o_orderkey").groupBy("entry").agg(r(F.corr("anchor", "pred")).alias("anchor_corr"), r(F.avg(F.abs(F.col("pred") - F.col("anchor"))), 4).alias("anchor_mae"))
+    idx = index_table(spark, sf_dir).select(F.col("experiment_id").alias("entry"), "cv_mean")
+    return idx.join(sim, "entry", "left")
+
+
 @query("R4", f"""SELECT model_family, round(avg(lift), 6) AS mean, min(lift) AS min, count(lift) AS count FROM (
   SELECT model_family, round(cv_mean - (SELECT cv_mean FROM {INDEX_SQL} WHERE experiment_id = 'exp_20260105'), 6) AS lift
   FROM {INDEX_SQL}) GROUP BY model_family""")

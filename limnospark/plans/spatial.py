@@ -321,6 +321,37 @@ def j15_fold_safe_knn(spark, sf_dir):
     return nn.select(F.col("fold").cast("int").alias("fold"), "role", "vec_id", "nn_vec_id", "rank")
 
 
+# Ten whole-numbered attributes of a customer's place (sums of their squares
+# are exact on both sides), on about one scale.
+_ATTRS = ["c_custkey % 45", "c_custkey % 50", "c_custkey % 40", "(c_custkey % 30) * 2", "(c_custkey % 10) * 5", "(c_custkey * 13) % 50", "(c_custkey % 5) * 10",
+          "CAST(floor(c_acctbal / 200) AS BIGINT)", "(c_custkey * 37) % 1000 // 20", "(c_custkey * 91) % 1000 // 20"]
+
+
+def _j15_attributes_sql() -> str:
+    v = ", ".join(f"CAST({a} AS DOUBLE)" for a in _ATTRS)
+    e = f"(SELECT c_custkey AS id, c_custkey % 5 AS fold, [{v}] AS v FROM customer)"
+    parts = []
+    for f in range(5):
+        for role, qcond, skip in (("train", f"q.fold <> {f}", 1), ("valid", f"q.fold = {f}", 0)):
+            parts.append(f"""SELECT {f} AS fold, '{role}' AS role, id, nn_id, CAST(rn - {skip} AS INTEGER) AS rank FROM (
+  SELECT q.id, p.id AS nn_id, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.v, p.v), p.id) AS rn
+  FROM {e} q, {e} p WHERE {qcond} AND p.fold <> {f}) WHERE rn > {skip} AND rn <= {skip} + 20""")
+    return " UNION ALL ".join(parts)
+
+
+@query("J15_attributes", _j15_attributes_sql())
+def j15_attributes(spark, sf_dir):
+    """J15 as surveyed, in a space of ten attributes: 20 nearest places of
+    every place among the training folds' places, for each of 5 folds; first
+    neighbour dropped on the training side. All folds in one pruned search."""
+    from ..operators.neighbors import fold_safe_neighbours
+
+    v = F.array(*[F.expr(a.replace("// 20", "div 20")).cast("double") for a in _ATTRS])
+    e = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 5).cast("int").alias("fold"), v.alias("v"))
+    nn = fold_safe_neighbours(e, "id", "v", "fold", list(range(5)), 20)
+    return nn.select(F.col("fold").cast("int").alias("fold"), "role", "id", "nn_id", "rank")
+
+
 def _k9_sql() -> str:
     parts = []
     for f in range(5):

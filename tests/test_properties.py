@@ -113,7 +113,7 @@ def test_equally_near_vectors_by_id(spark):
 
     pts = spark.createDataFrame([(i, [0.5, 0.5, 0.25]) for i in range(1, 41)] + [(99, [9.0, 9.0, 9.0])], "id long, v array<double>")
     q = spark.createDataFrame([(1000, [0.1, 0.2, 0.3])], "q long, v array<double>")
-    got = NB.block_knn(q, pts, "q", "id", "v", 2, block_rows=7).orderBy("rank").collect()
+    got = NB.block_knn(q, pts, "q", "id", "v", 2).orderBy("rank").collect()
     assert [r["nn_id"] for r in got] == [1, 2]
 
 
