@@ -50,7 +50,7 @@ from .common import ship, tasks, text_of
 ship(__name__)
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK = 10 << 20
+BLOCK = 14 << 20
 LONGEST = 60
 MOST_PIECES = 2_000_000
 SPACE = "▁"
