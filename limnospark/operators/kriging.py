@@ -270,3 +270,13 @@ def krige(df: DataFrame, idc: str, x: str, y: str, resids: list[str], outs: list
     got = at.select(F.col(idc).alias("_id"), "_x", "_y").join(each, ["_x", "_y"]).drop("_x", "_y")
     out = df.join(got, F.col(idc) == F.col("_id"), "left").drop("_id")
     return out.fillna(0.0, outs), kernels, took
+
+
+def krige_rows(train: DataFrame, test: DataFrame, idc: str, x: str, y: str, resid: str, out: str = "kriged", kernel: Kernel | None = None,
+               reach: float = REACH) -> DataFrame:
+    """:func:`krige` for one system with its rows apart: ``test`` with the
+    residual kriged from ``train``."""
+    seen = train.select(F.lit(None).cast(test.schema[idc].dataType).alias(idc), x, y, F.col(resid).alias("_resid"))
+    asked = test.select(idc, x, y, F.lit(None).cast("double").alias("_resid"))
+    got, _, _ = krige(seen.unionByName(asked), idc, x, y, ["_resid"], ["_out"], [kernel] if kernel else None, reach)
+    return test.join(got.where(F.col(idc).isNotNull()).select(F.col(idc).alias("_id"), F.col("_out").alias(out)), F.col(idc) == F.col("_id"), "left").drop("_id").fillna(0.0, [out])

@@ -500,8 +500,9 @@ def extra_trees(table: DataFrame, models: list[Model], width: int, targets: int,
 
 
 def drawn(lo: np.ndarray, hi: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Thresholds in [lo, hi)."""
-    cut = lo + u * (hi - lo)
+    """Thresholds in [lo, hi); where there is no interval, any number."""
+    with np.errstate(invalid="ignore"):
+        cut = lo + u * (hi - lo)
     return np.where(cut >= hi, lo, cut)
 
 

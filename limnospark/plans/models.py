@@ -333,7 +333,7 @@ def m24_variants(spark, sf_dir):
     d = dataset(spark, sf_dir)
     packs = {"base": FEATS[:2], "full": FEATS}
     grids = sorted({c["grid"] for c in configs if c["grid"]})
-    cells = {f"cell_{a}_{g}": F.floor(F.col(a) / g).cast("double") for g in grids for a in ("lat", "lon")}
+    cells = {f"cell_{a}_{j}": F.floor(F.col(a) / g).cast("double") for j, g in enumerate(grids) for a in ("lat", "lon")}
     modes = sorted({c["y_mode"] for c in configs})
     d = d.withColumns({**cells})
     for m in modes:
@@ -342,7 +342,7 @@ def m24_variants(spark, sf_dir):
     table = TE.prepare(d, cols, [f"_y_{m}" for m in modes], "fold", ["fold", Y])
     models, outs = [], {}
     for i, c in enumerate(configs):
-        own = tuple(cols.index(x) for x in [*packs[c["pack"]], *[x for x in cells if c["grid"] and x.endswith(f"_{c['grid']}")]])
+        own = tuple(cols.index(x) for x in [*packs[c["pack"]], *[f"cell_{a}_{grids.index(c['grid'])}" for a in ("lat", "lon") if c["grid"]]])
         outs[f"p{i}"] = list(range(len(models), len(models) + K))
         models += [TE.Model(modes.index(c["y_mode"]), f, own) for f in range(K)]
     grown = TE.extra_trees(table, models, len(cols), len(modes), trees=10, depth=6, min_leaf=3)

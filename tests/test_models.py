@@ -132,3 +132,13 @@ def test_replayed_batch_is_written_once(spark, tmp_path):
         s = spark.readStream.schema("id long").parquet(src)
         append_each_batch(s, lambda b: b.where("id > 3"), out, f"{tmp_path.name}-{name}").awaitTermination(120)
     assert spark.read.parquet(out).count() == 6
+
+
+def test_random_configurations_follow_the_seed():
+    space = {"a": [1, 2, 3], "b": ["x", "y"]}
+    first = M.random_configs(space, 20, seed=5)
+    assert first == M.random_configs(space, 20, seed=5) != M.random_configs(space, 20, seed=6)
+    assert len(first) == 20 and all(c["kind"] == "random" and c["a"] in space["a"] and c["b"] in space["b"] for c in first)
+    assert len({(c["a"], c["b"]) for c in first}) > 2
+    grid = M.grid_configs(space)
+    assert len(grid) == 6 and len({(c["a"], c["b"]) for c in grid}) == 6

@@ -127,8 +127,8 @@ def test_kriging_is_the_same_in_larger_tables(spark):
     te = spark.createDataFrame([(i, rnd.random(), rnd.random()) for i in range(20)], "id long, x double, y double")
     one = spark.createDataFrame(tr, "x double, y double, r double")
     four = spark.createDataFrame(tr * 4, "x double, y double, r double")
-    a = {r["id"]: r["kriged"] for r in KR.blocked_kriging(one, te, "id", "x", "y", "r", noise=0.5).collect()}
-    b = {r["id"]: r["kriged"] for r in KR.blocked_kriging(four, te, "id", "x", "y", "r", noise=2.0).collect()}
+    a = {r["id"]: r["kriged"] for r in KR.krige_rows(one, te, "id", "x", "y", "r", kernel=KR.Kernel(0.05, 0.5)).collect()}
+    b = {r["id"]: r["kriged"] for r in KR.krige_rows(four, te, "id", "x", "y", "r", kernel=KR.Kernel(0.05, 2.0)).collect()}
     assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-9 for i in a)
 
 
