@@ -16,7 +16,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from .ranking import cumulative_counts
 
 
@@ -50,12 +49,14 @@ def group_folds(df: DataFrame, group: str, k: int = 5, out: str = "fold") -> Dat
     key), into the fold with the fewest rows (the lowest index of equals).
     Rows without a group are one group, put into the last fold."""
     sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
-    sizes = materialize(sizes, "groups")
-    lines = sizes.groupBy("_size").agg(F.count(F.lit(1)).alias("_m")).orderBy(F.desc("_size")).collect()
+    # Written once, in ranges of (size, group): both the groups of each size
+    # and a group's place among them are read from that table.
+    ranked = cumulative_counts(sizes, group, by=["_size"])
+    lines = ranked.groupBy("_size").agg(F.max("_total").alias("_m")).collect()
     totals = [0] * k
-    rounds = [(r["_size"], size_rounds(totals, r["_size"], r["_m"])) for r in lines]
+    rounds = [(r["_size"], size_rounds(totals, r["_size"], r["_m"])) for r in sorted(lines, key=lambda r: -r["_size"])]
     table = df.sparkSession.createDataFrame(rounds, "_size long, _rounds array<struct<at: long, turn: array<int>>>")
-    ranked = cumulative_counts(sizes, group, by=["_size"]).select("_size", group, (F.col("_dense") - 1).alias("_i"))
+    ranked = ranked.select("_size", group, (F.col("_dense") - 1).alias("_i"))
     now = F.element_at(F.filter("_rounds", lambda x: x["at"] <= F.col("_i")), -1)
     fold = ranked.join(table, "_size").withColumn("_now", now)
     place = ((F.col("_i") - F.col("_now.at")) % F.size("_now.turn") + 1).cast("int")

@@ -121,10 +121,19 @@ def cv_predictions(df: DataFrame, feats: list[str], label: str, fold: str, folds
 # Linear models from sums of products (M7, M14, M19): one pass for all folds
 # --------------------------------------------------------------------------
 
-def gram_by_fold(df: DataFrame, feats: list[str], label: str, fold: str | None = None) -> dict:
+def origin(df: DataFrame, cols: list[str]) -> list[float]:
+    """The columns' means: sums of products about them keep their digits
+    where values are large and close together."""
+    row = df.agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    return [row[f"m{i}"] or 0.0 for i in range(len(cols))]
+
+
+def gram_by_fold(df: DataFrame, feats: list[str], label: str, fold: str | None = None, about: list[float] | None = None) -> dict:
     """fold -> matrix of sums of products of (1, features, label), from one
-    aggregate. Rows with a missing value in any of them do not count."""
-    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in [*feats, label]]]
+    aggregate; values are taken as distances from ``about`` (features, label).
+    Rows with a missing value in any of them do not count."""
+    about = about or [0.0] * (len(feats) + 1)
+    cols = [F.lit(1.0), *[F.col(c).cast("double") - a for c, a in zip([*feats, label], about)]]
     whole = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in [*feats, label]]))
     names = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
     sums = whole.groupBy(F.col(fold).alias("f") if fold else F.lit(0).alias("f")).agg(
@@ -189,17 +198,29 @@ def linear_expression(feats: list[str], w: np.ndarray, b: float):
     return reduce(lambda a, c: a + c, [F.col(f).cast("double") * float(x) for f, x in zip(feats, w)], F.lit(float(b)))
 
 
+def at_origin(w: np.ndarray, b: float, about: list[float]) -> tuple[np.ndarray, float]:
+    """Weights and intercept for the columns themselves."""
+    return w, float(b + about[-1] - w @ np.array(about[:-1]))
+
+
+def fit_linear(df: DataFrame, feats: list[str], label: str, fit) -> tuple[np.ndarray, float]:
+    """Weights and intercept by ``fit`` (a function of the sums)."""
+    about = origin(df, [*feats, label])
+    return at_origin(*fit(sum(gram_by_fold(df, feats, label, about=about).values())), about)
+
+
 def linear_cv_predictions(df: DataFrame, feats: list[str], label: str, fold: str, key: list[str], models: dict) -> DataFrame:
     """Out-of-fold predictions of several linear models, a column each.
     ``models``: name -> function of the training folds' sums (a list) giving
-    weights and intercept. One aggregate fits all folds: a fold's training
-    sums are the total less its own."""
-    grams = gram_by_fold(df, feats, label, fold)
+    weights and intercept. One aggregate (after one for the means) fits all
+    folds: a fold's training sums are the total less its own."""
+    about = origin(df, [*feats, label])
+    grams = gram_by_fold(df, feats, label, fold, about)
     cols = []
     for name, fit in models.items():
         pred = F.lit(None).cast("double")
         for f in sorted(grams):
-            w, b = fit([grams[k] for k in sorted(grams) if k != f])
+            w, b = at_origin(*fit([grams[k] for k in sorted(grams) if k != f]), about)
             pred = F.when(F.col(fold) == f, linear_expression(feats, w, b)).otherwise(pred)
         cols.append(pred.alias(name))
     return df.select(*key, fold, label, *cols)

@@ -93,10 +93,11 @@ def series(
         return Series(df, keys, order, Window.partitionBy(*keys).orderBy(*ordering))
 
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = materialize(counts.filter(F.col("_n") > split_rows), "hot")
+    hot = counts.filter(F.col("_n") > split_rows)
     n_hot = hot.agg(F.sum("_n")).first()[0]
-    if not n_hot:
+    if not n_hot:  # the usual case writes nothing
         return Series(df, keys, order, Window.partitionBy(*keys).orderBy(*ordering))
+    hot = materialize(hot, "hot")
 
     # A struct of the keys compares NULL with NULL as equal, so the series
     # without a station is split as any other.

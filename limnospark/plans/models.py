@@ -121,13 +121,13 @@ def m10_stacking(spark, sf_dir):
     parts = []
     for i in range(K):
         tr, te = d.where(F.col("fold") != i), d.where(F.col("fold") == i)
-        w, b = M.ridge_fit(sum(M.gram_by_fold(tr, FEATS, Y).values()), 1.0)
+        w, b = M.fit_linear(tr, FEATS, Y, lambda g: M.ridge_fit(g, 1.0))
         tr, te = (x.withColumn("b_ridge", M.linear_expression(FEATS, w, b)) for x in (tr, te))
         for name, est in bases.items():
             m, te = M.fit_predict(tr, te, FEATS, Y, est, name, [])
             tr = m.transform(tr).drop(M.FEATURES)
         meta = ["b_ridge", *bases]
-        w, b = M.elastic_net_fit(sum(M.gram_by_fold(tr, meta, Y).values()), 0.001, 0.5)
+        w, b = M.fit_linear(tr, meta, Y, lambda g: M.elastic_net_fit(g, 0.001, 0.5))
         parts.append(te.withColumn("pred", M.linear_expression(meta, w, b)).select(*KEY, "fold", Y, "pred"))
     return _scores(reduce(lambda a, b: a.unionByName(b), parts), model="stack_in_sample")
 
@@ -241,7 +241,7 @@ def m18_importances(spark, sf_dir):
 def m19_coefficients(spark, sf_dir):
     """Ridge coefficients sorted by absolute value."""
     d = dataset(spark, sf_dir)
-    w, _ = M.ridge_fit(sum(M.gram_by_fold(d, FEATS, Y).values()), 1.0)
+    w, _ = M.fit_linear(d, FEATS, Y, lambda g: M.ridge_fit(g, 1.0))
     return M.coefficients(w, FEATS, spark)
 
 

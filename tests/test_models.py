@@ -1,6 +1,7 @@
 """Model operators on small frames: known answers, leakage, guards."""
 
 import random
+import uuid
 
 import numpy as np
 import pytest
@@ -130,7 +131,7 @@ def test_replayed_batch_is_written_once(spark, tmp_path):
     spark.range(10).write.parquet(src)
     for name in ("one", "two"):  # a second checkpoint runs batch 0 again
         s = spark.readStream.schema("id long").parquet(src)
-        append_each_batch(s, lambda b: b.where("id > 3"), out, f"{tmp_path.name}-{name}").awaitTermination(120)
+        append_each_batch(s, lambda b: b.where("id > 3"), out, f"{uuid.uuid4().hex}-{name}").awaitTermination(120)
     assert spark.read.parquet(out).count() == 6
 
 
@@ -142,3 +143,16 @@ def test_random_configurations_follow_the_seed():
     assert len({(c["a"], c["b"]) for c in first}) > 2
     grid = M.grid_configs(space)
     assert len(grid) == 6 and len({(c["a"], c["b"]) for c in grid}) == 6
+
+
+def test_large_offsets_keep_their_digits(spark, rows):
+    """Values near 1e9 that differ by about 1: the fit is that of the small
+    values."""
+    far = spark.createDataFrame([(r[0], r[1], *[v + 1e9 for v in r[3:6]], r[6] - 1e9) for r in rows], "id long, fold int, a double, b double, c double, y double")
+    x, y = np.array([r[3:6] for r in rows]), np.array([r[6] for r in rows])
+    xc = x - x.mean(0)
+    want = np.linalg.solve(xc.T @ xc + np.eye(3), xc.T @ (y - y.mean()))
+    w, b = M.fit_linear(far, FEATS, "y", lambda g: M.ridge_fit(g, 1.0))
+    assert np.allclose(w, want, atol=1e-5)
+    p = M.linear_cv_predictions(far, FEATS, "y", "fold", ["id"], {"pred": M.ridge(1.0)}).collect()
+    assert max(abs(r["pred"] - r["y"]) for r in p) < 1.0
