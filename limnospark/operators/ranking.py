@@ -136,7 +136,7 @@ def band_labels(df: DataFrame, col: str, out: str = "band", q: int = 4, by: list
     """T8 with names: the quantile band of a value as ``(low, high]``, the
     first one closed below; edges that are equal count once, and where no two
     different edges are left (one value, or none) every row is in the one band
-    ``all``. Edges are printed with three decimals. NULL values get NULL where
+    ``all``. Edges are printed with four decimals. NULL values get NULL where
     there are bands."""
     by = by or []
     probs = [i / q for i in range(q + 1)]
@@ -149,7 +149,7 @@ def band_labels(df: DataFrame, col: str, out: str = "band", q: int = 4, by: list
     j = df.join(F.broadcast(edges), same, "left") if by else df.crossJoin(F.broadcast(edges))
     e = F.col("_edges")
     at = F.least(F.greatest(F.size(F.filter(e, lambda x: x < F.col(col))), F.lit(1)), F.size(e) - 1)
-    text = lambda v: F.format_string("%.3f", v)
+    text = lambda v: F.format_string("%.4f", v)
     name = F.concat(F.when(at == 1, "[").otherwise("("), text(F.get(e, at - 1)), F.lit(", "), text(F.get(e, at)), F.lit("]"))
     return j.withColumn(out, F.when(e.isNull(), "all").when(F.col(col).isNotNull(), name)).drop("_edges", *[f"_by_{b}" for b in by])
 

@@ -94,7 +94,7 @@ def _t8_names_sql() -> str:
     qs = ", ".join(f"quantile_cont(v, {p})" for p in (0, 0.25, 0.5, 0.75, 1))
     return f"""WITH s AS (SELECT * FROM {_T8_SRC}), e AS (SELECT o_orderstatus, list_sort(list_distinct([{qs}])) AS e FROM s GROUP BY o_orderstatus),
 j AS (SELECT s.*, e.e, least(greatest(len(list_filter(e.e, lambda x: x < v)), 1), len(e.e) - 1) AS pos FROM s JOIN e USING (o_orderstatus))
-SELECT o_orderkey, CASE WHEN len(e) < 2 THEN 'all' ELSE (CASE WHEN pos = 1 THEN '[' ELSE '(' END) || printf('%.3f', e[pos]) || ', ' || printf('%.3f', e[pos + 1]) || ']' END AS band FROM j"""
+SELECT o_orderkey, CASE WHEN len(e) < 2 THEN 'all' ELSE (CASE WHEN pos = 1 THEN '[' ELSE '(' END) || printf('%.4f', e[pos]) || ', ' || printf('%.4f', e[pos + 1]) || ']' END AS band FROM j"""
 
 
 @query("T8_names", _t8_names_sql())
