@@ -1,12 +1,11 @@
-"""Models as MLlib jobs.
-
-Every fit is distributed (MLlib); the driver only loops over small grids
-(folds x targets x configurations). Predictions stay DataFrames and are
-scored with the E1 aggregate. Differences to the reference's libraries are
-stated where they exist: extremely-randomised trees become random forests
-without bootstrap (thresholds are not randomised in MLlib); histogram / cat
-boosting becomes ``GBTRegressor``; KMeans' ``n_init`` becomes the best cost
-over several seeds.
+"""Models as Spark jobs.
+
+Every fit is distributed; the driver only loops over small grids (folds x
+targets x configurations). Predictions stay DataFrames and are scored with the
+E1 aggregate. Linear models come from sums of products; forests are MLlib's;
+boosting and extremely randomised trees are in :mod:`.trees`, k-means in
+:mod:`.kmeans`, kriging in :mod:`.kriging`. Where MLlib stands in for one of
+them (:func:`extra_trees`, :func:`gbt`: the bases of M10) it says so.
 """
 
 from __future__ import annotations
@@ -18,11 +17,10 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,11 +52,6 @@ def gbt(iters: int = 30, depth: int = 4, step: float = 0.1, seed: int = 42) -> G
     return GBTRegressor(maxIter=iters, maxDepth=depth, stepSize=step, seed=seed, featuresCol=FEATURES)
 
 
-def poisson() -> GeneralizedLinearRegression:
-    """M6: Poisson loss with log link (label must be >= 0, T5)."""
-    return GeneralizedLinearRegression(family="poisson", link="log", maxIter=50, featuresCol=FEATURES)
-
-
 def elastic_net(reg: float, l1_ratio: float) -> LinearRegression:
     """M7: lasso / elastic net."""
     return LinearRegression(regParam=reg, elasticNetParam=l1_ratio, featuresCol=FEATURES)
@@ -269,29 +262,6 @@ def coefficients(weights, feats: list[str], spark) -> DataFrame:
     return spark.createDataFrame([(f, float(c)) for f, c in rows], "feature string, coef double")
 
 
-def kmeans(df: DataFrame, cols: list[str], k: int, seeds=(1, 2, 3), out: str = "cluster"):
-    """M1 / M2 / M3: KMeans with the lowest training cost over several seeds
-    (stands in for n_init); cluster ids re-numbered by the order of the
-    centres (first coordinate, then the next) so labels are stable."""
-    best = None
-    for s in seeds:
-        m = Pipeline(stages=[assembler(cols), KMeans(k=k, seed=s, featuresCol=FEATURES, predictionCol="_raw")]).fit(df)
-        cost = m.stages[-1].summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, m)
-    model = best[1]
-    centres = [c.tolist() for c in model.stages[-1].clusterCenters()]
-    order = sorted(range(k), key=lambda i: centres[i])
-    remap = {old: new for new, old in enumerate(order)}
-    spark = df.sparkSession
-    mp = spark.createDataFrame(list(remap.items()), "_raw int, _new int")
-
-    def apply(frame: DataFrame) -> DataFrame:
-        return model.transform(frame).join(F.broadcast(mp), "_raw").drop("_raw", FEATURES).withColumnRenamed("_new", out)
-
-    return model, apply, best[0]
-
-
 def two_stage(train: DataFrame, test: DataFrame, feats: list[str], label: str, q_value_col: str, classifier=None,
               winsor: tuple[float, float] = (0.01, 0.99)):
     """P(high) classifier (label >= train quantile, given as a column)
@@ -381,7 +351,7 @@ def random_configs(space: dict[str, list], n: int, seed: int) -> list[dict]:
 
 
 __all__ = [
-    "assembler", "extra_trees", "random_forest", "gbt", "poisson", "elastic_net", "fit_predict", "cv_predictions", "cv_scores",
-    "gram_by_fold", "ridge_fit", "elastic_net_fit", "linear_cv_predictions", "ridge", "ridge_cv", "lasso_cv", "scaled_elastic_net", "mean_ensemble", "importances", "coefficients", "kmeans", "two_stage",
+    "assembler", "extra_trees", "random_forest", "gbt", "elastic_net", "fit_predict", "cv_predictions", "cv_scores",
+    "gram_by_fold", "ridge_fit", "elastic_net_fit", "linear_cv_predictions", "ridge", "ridge_cv", "lasso_cv", "scaled_elastic_net", "mean_ensemble", "importances", "coefficients", "two_stage",
     "gated_experts", "branch_support", "grid_configs", "random_configs", "LogisticRegression",
 ]

@@ -1,6 +1,5 @@
-"""Model queries (M1-M14, M16-M22, M24-M26) as MLlib jobs. No SQL oracle:
-the driver's rows-only check applies; tests assert invariants (row counts,
-finite scores, R2 above the mean predictor)."""
+"""Model queries (M1-M26). Most have no SQL oracle: the driver's rows-only
+check applies, and the operators are tested against slow versions."""
 
 from __future__ import annotations
 
