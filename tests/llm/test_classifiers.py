@@ -80,3 +80,30 @@ def test_grams_are_distinct():
     assert len(found) == len(set(found.tolist())) and len(g("")) == 0
     plain = " abcabcabc abc "
     assert len(found) == len({plain[i:i + n] for n in (4, 5, 6) for i in range(len(plain) - n + 1)})
+
+
+def test_quality_learns_from_every_row(spark):
+    """More rows than the old draw took: each one's vector reaches the model."""
+    rng = np.random.default_rng(0)
+    n = 24_000
+    f = rng.normal(size=(n, quality.N_FEATURES)).astype(np.float32)
+    y = (f[:, 0] + 0.5 * f[:, 1] + rng.normal(size=n) > 0).astype(int)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(f)], "doc_id long, f array<float>")
+    told = lambda y: spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int")
+    m = quality.train(table, told(y))
+    assert m.mean == pytest.approx(f.astype(float).mean(0), abs=1e-9) and m.scale == pytest.approx(f.astype(float).std(0), rel=1e-6)
+    raw = np.sort(m.raw(f.astype(float)))
+    assert m.cut == pytest.approx((raw[(y == 0).sum() - 1] + raw[(y == 0).sum()]) / 2, abs=1e-9)
+    assert m.w[0] / m.w[1] == pytest.approx(2, rel=0.15) and np.abs(m.w[2:]).max() < 0.1
+    # Partitioning does not matter.
+    again = quality.train(table.repartition(3), told(y))
+    assert again.w == pytest.approx(m.w, abs=1e-6)
+
+
+@pytest.mark.parametrize("n, m", [(1, 5), (5, 1), (7, 20), (20, 7), (3, 3)])
+def test_every_row_of_a_group_meets_another(n, m):
+    good, bad = np.arange(1.0, n + 1)[:, None] * 1000, -np.arange(1.0, m + 1)[:, None]
+    d, c = quality.pairs(good, bad, np.ones(n), np.ones(m))
+    met = set(d[:, 0].astype(int).tolist())
+    assert {x // 1000 for x in met} == set(range(1, n + 1)) and {x % 1000 for x in met} == set(range(1, m + 1))
+    assert len(met) == len(d) == len(c) == max(n, m) * min(n, m, quality.MEETS)
