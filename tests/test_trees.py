@@ -212,3 +212,37 @@ def test_two_stage(spark):
     y, p, q = (np.array([r[c] for r in rows]) for c in ("pos", "pred", "low"))
     assert np.corrcoef(y, p)[0, 1] > 0.9 and np.corrcoef(y, q)[0, 1] > 0.9 and (p != q).any()
     assert TR.two_stage_oof(df.where("false"), FEATS, "pos", "fold", [0, 1], ["id"], {"pred": 0.75}, boosting=dict(rounds=1), forest=dict(trees=1)).count() == 0
+
+
+def test_passes_read_blocks(spark):
+    """The passes read a row per block; missing values, negative zero and
+    values at a cut go the way that single rows go."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(500, 3)), 1)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:4, 0] = [0.0, -0.0, np.inf, -np.inf]
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r], float(i % 7), i % 2) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, y double, fold int").coalesce(2)
+    table = TR.prepare(df, ["a", "b", "c"], ["y"], "fold", ["id"])
+    blocks = TR.packed(table, 3, 1)
+    assert blocks.count() <= 2
+    forest = TR.Forest()
+    root = int(forest.add(1)[0])
+    kids = forest.split(np.array([root]), np.array([0]), np.array([0.0]), np.ones(1))
+    forest.split(np.array([kids[0], kids[0] + 1]), np.array([1, 2]), np.array([-0.3, 0.7]), np.ones(2))
+    for blk in TR.opened(iter(blocks.toArrow().to_batches()), 3, 1):
+        plain = np.stack([np.where(c == TR.ABSENT, np.nan, np.append(v, 0)[np.minimum(c, len(v))]) for c, v in zip(blk.x, blk.values)], axis=1)
+        grown = TR._Grown(forest, root, np.arange(3, 7), np.arange(4))
+        assert grown.walk(blk.x, blk.values, np.arange(len(plain))).tolist() == (forest.walk(plain, root, False) - 3).tolist()
+
+
+def test_leaves_of_bins_as_row_by_row():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 256, (400, 2)).astype(np.uint8)
+    forest = TR.Forest()
+    root = int(forest.add(1)[0])
+    kids = forest.split(np.array([root]), np.array([1]), np.array([100]), np.ones(1), np.array([True]))
+    forest.split(kids + 1, np.array([0]), np.array([31]), np.ones(1))
+    at, leaves = forest.leaves(np.ascontiguousarray(x.T), root)
+    assert leaves[at].tolist() == forest.walk(x, root, True).tolist()
+    assert forest.leaves(np.ascontiguousarray(x.T), int(kids[0]))[0].tolist() == [0] * 400
