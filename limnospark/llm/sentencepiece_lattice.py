@@ -19,7 +19,7 @@ and each different word once.
    touch are edges of the same lattice, so for them the fold holds the set of
    boundaries as bits, and each step takes the best edge that covers exactly
    two symbols. The outcome equals the library's.
-4. The words, parted into pieces, go back to the blocks that hold them, and
+4. The words and their boundaries go back to the blocks that hold them, and
    each block is encoded by lookup. Characters that are no piece become byte
    pieces.
 
@@ -54,7 +54,6 @@ BLOCK = 14 << 20
 LONGEST = 60
 MOST_PIECES = 2_000_000
 SPACE = "▁"
-PART = "\x1f"
 _WORD = re.compile(r" +[^ ]*|[^ ]+")
 
 
@@ -206,27 +205,21 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     return found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
-#: The word with a mark between its pieces, from the boundaries ``cuts``. It
-#: ends the folds, where ``cuts`` is a value and not an expression to repeat.
-_PARTED = """array_join(transform(sequence(1, char_length({word})), i -> if(i > 1 AND (cuts & shiftleft(1L, i - 1)) != 0L,
-    concat('\\u001f', substring({word}, i, 1)), substring({word}, i, 1))), '')"""
-
-
 def fold_merges(edges: str = "edges", word: str = "word") -> Column:
-    """A bpe word parted into its pieces, by merging. The accumulator is the
+    """Boundaries of a bpe word's pieces, by merging. The accumulator is the
     set of boundaries; bit i stands before character i."""
     return F.expr(f"""
         aggregate(
           sequence(1, least(char_length({word}) - 1, size({edges}))),
           shiftleft(1L, char_length({word}) + 1) - 1L,
           (cuts, _) -> cuts & ~coalesce(
-            get(filter({edges}, e -> (cuts & e.ends) = e.ends AND bit_count(cuts & e.inner) = 1), 0).inner, 0L),
-          cuts -> {_PARTED.format(word=word)})""")
+            get(filter({edges}, e -> (cuts & e.ends) = e.ends AND bit_count(cuts & e.inner) = 1), 0).inner, 0L))""")
 
 
 def fold_viterbi(singles: Column, edges: str = "edges", word: str = "word") -> Column:
-    """A unigram word parted along its path of least cost. ``singles``: cost
-    of each character by itself, as an array. The accumulator holds for every
+    """Boundaries (bits) of a unigram word's pieces along its path of least
+    cost. ``singles``: cost of each character by itself, as an array. The
+    accumulator holds for every
     place the cost so far and the edge (at, k) that ends there."""
     step = F.col(edges)
 
@@ -249,14 +242,21 @@ def fold_viterbi(singles: Column, edges: str = "edges", word: str = "word") -> C
     every = F.expr(f"shiftleft(1L, char_length({word}) + 1) - 1L")
     one = F.lit(1).cast("long")
     inner = lambda e: F.call_function("shiftleft", F.call_function("shiftleft", one, e["k"] - 1) - one, e["at"])
-    places_ = F.sequence(F.lit(1), F.char_length(word))
-
-    def finish(cuts: Column) -> Column:
-        mark = lambda i: (i > 1) & (cuts.bitwiseAND(F.call_function("shiftleft", one, i - 1)) != 0)
-        char = lambda i: F.substring(word, i, 1)
-        return F.array_join(F.transform(places_, lambda i: F.when(mark(i), F.concat(F.lit(PART), char(i))).otherwise(char(i))), "")
-
-    return F.aggregate(back, every, lambda cuts, e: cuts.bitwiseAND(F.bitwise_not(inner(e))), finish)
+    return F.aggregate(back, every, lambda cuts, e: cuts.bitwiseAND(F.bitwise_not(inner(e))))
+
+
+def parted(word: str, cuts: int) -> list[str]:
+    """The word's pieces, from the boundaries of :func:`fold_merges`."""
+    cuts = cuts >> 1 & (1 << len(word) - 1) - 1  # those inside the word
+    if not cuts:
+        return [word]
+    out, at = [], 0
+    while cuts:
+        end = (cuts & -cuts).bit_length()
+        out.append(word[at:end])
+        at, cuts = end, cuts & cuts - 1
+    out.append(word[at:])
+    return out
 
 
 def merge_word(word: str, pieces: dict[str, tuple[int, float]]) -> list[str]:
@@ -307,7 +307,7 @@ def viterbi_word(word: str, pieces: dict[str, tuple[int, float]], longest: int,
 
 
 def encoded_blocks(packed: DataFrame, table: DataFrame, model: Model) -> DataFrame:
-    """packed (block, blob), table (block, parts) -> the documents."""
+    """packed (block, blob), table (block, word, cuts) -> the documents."""
 
     kept: list[Cutter] = []  # one per task, for all its blocks
 
@@ -316,16 +316,26 @@ def encoded_blocks(packed: DataFrame, table: DataFrame, model: Model) -> DataFra
             kept.append(Cutter(model))
         cutter, pieces = kept[0], model.pieces
         code = {p: i.to_bytes(4, "little") for p, (i, _) in pieces.items()}
+        spell = model.bytes_of
+        # Pieces that do not decode to themselves.
+        strange = {p for p, (i, _) in pieces.items() if spell[i] != p.replace(SPACE, " ").encode("utf-8", "surrogatepass")}
 
         def other(c: str) -> bytes:
             """A character that is no piece."""
-            ids = [model.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")] if model.byte_ids else [model.unknown]
+            raw = c.encode("utf-8", "surrogatepass")
+            ids = [model.byte_ids[b] for b in raw] if model.byte_ids else [model.unknown]
+            if b"".join([spell[i] for i in ids]) != c.replace(SPACE, " ").encode("utf-8", "surrogatepass"):
+                strange.add(c)
             return code.setdefault(c, b"".join(i.to_bytes(4, "little") for i in ids))
 
         def spell_out(parts) -> bytes:
             return b"".join([code.get(p) or other(p) for p in parts])
 
-        known = {p.replace(PART, ""): spell_out(p.split(PART)) for p in right.column("parts").to_pylist()}
+        known = {}
+        for words in right.select(["word", "cuts"]).to_batches(1 << 16):
+            for w, cuts in zip(words.column(0).to_pylist(), words.column(1).to_pylist()):
+                known[w] = spell_out(parted(w, cuts))
+        del right
 
         def sub(w: str) -> bytes:
             if len(w) > LONGEST:
@@ -346,9 +356,9 @@ def encoded_blocks(packed: DataFrame, table: DataFrame, model: Model) -> DataFra
                 spelt[order[at]] = codes[first] if end - first == 1 else b"".join(codes[first:end])
                 at, first = at + 1, end + 1  # past the mark
         known.clear()
-        # Decoding is word by word, so a text comes back whole if its words do.
-        spell = model.bytes_of
-        broken = {k for k, ids in spelt.items() if b"".join([spell[i] for i in memoryview(ids).cast("i")]) != (" " + k).encode("utf-8", "surrogatepass")}
+        # Decoding is word by word, so a text comes back whole if its words do,
+        # and a word does if each of its pieces does.
+        broken = strange and {k for k, ids in spelt.items() if b"".join([spell[i] for i in memoryview(ids).cast("i")]) != (" " + k).encode("utf-8", "surrogatepass")}
         del order
         out: list[list] = [[], [], [], []]
         buffers, total = [], [0]
@@ -385,14 +395,14 @@ def encode(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     each = listed.groupBy("word").agg(F.min("block").alias("in"))  # both columns, so that the exchange is the same
     words = lattice(each.where("in >= 0"), model.edges(spark), model.longest)
     if model.kind == "bpe":
-        parts = fold_merges()
+        cuts = fold_merges()
     else:
         costs = {c: -s for c, (_, s) in model.pieces.items() if len(c) == 1}
         prices = F.create_map(*[F.lit(x) for kv in costs.items() for x in kv]) if costs else F.create_map().cast("map<string,double>")
         single = F.transform(F.split("word", ""), lambda c: F.coalesce(F.element_at(prices, c), F.lit(model.worst)))
-        words, parts = words.withColumn("_costs", single), fold_viterbi(F.col("_costs"))
-    table = words.select("word", parts.alias("parts"))
-    return encoded_blocks(packed, listed.join(table, "word").select("block", "parts"), model)
+        words, cuts = words.withColumn("_costs", single), fold_viterbi(F.col("_costs"))
+    table = words.select("word", cuts.alias("cuts"))
+    return encoded_blocks(packed, listed.join(table, "word").select("block", "word", "cuts"), model)
 
 
 def decode(df: DataFrame, model: Model, ids: str = "token_ids", name: str = "decoded") -> DataFrame:

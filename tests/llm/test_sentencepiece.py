@@ -112,3 +112,10 @@ def test_unigram_viterbi(spark):
     for row in S.encode(docs, model).collect():
         t = S.SPACE + texts[row["doc_id"]].replace(" ", S.SPACE)
         assert sum(map(cost, row["token_ids"])) == pytest.approx(best_path(t, model.pieces, worst)[0])
+
+
+def test_parted_by_boundaries():
+    every = (1 << 5) - 1
+    assert S.parted("abcd", every & ~0b00110) == ["abc", "d"]
+    assert S.parted("abcd", every & ~0b01110) == ["abcd"]
+    assert S.parted("abcd", (1 << 6) - 1) == list("abcd")
