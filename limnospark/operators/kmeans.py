@@ -10,7 +10,8 @@ slowest fit only, not on their number:
   per centre, for all fits;
 * Lloyd rounds: a task adds up rows and coordinates per (fit, centre), Spark
   sums them, the driver holds fits x k centres. A centre without rows stays.
-  Rounds end when no centre of any fit moves, or after ``rounds``;
+  A fit whose centres stay takes no further round. Rounds end when no centre
+  of any fit moves, or after ``rounds``;
 * the restart of least cost is kept, its centres in the order of their
   coordinates, so labels are stable.
 
@@ -31,7 +32,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import drop_table, materialize
 from .ranking import cumulative_counts, quantiles
 from .trees import matrix, uniform
 
@@ -80,11 +81,24 @@ def scaling(train: DataFrame, cols: list[str], scaled: bool = True) -> Scale:
     return Scale(cols, fill, middle, unit)
 
 
+def _packed(rows: DataFrame, d: int) -> DataFrame:
+    """Rows (_id, _x) as blocks of up to 8192, written once: the passes read
+    arrays, a coordinate after the other."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), 8192):
+                part = b.slice(at, 8192)
+                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                x = np.ascontiguousarray(matrix(part.column(1), d).T)
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids, x)], names=["ids", "x"])
+
+    return materialize(rows.mapInArrow(task, "ids binary, x binary"), "kmeans")
+
+
 def _rows(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for b in batches:
-        for at in range(0, len(b), 8192):
-            part = b.slice(at, 8192)
-            yield part.column(0).to_numpy(zero_copy_only=False), matrix(part.column(1), d)
+        for ids, x in zip(b.column(0), b.column(1)):
+            yield np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(x.as_buffer()).reshape(d, -1).T
 
 
 def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -100,27 +114,34 @@ def fit(train: DataFrame, key: str, cols: list[Column], ks: list[int], restarts:
     rows (unique ``key``). Fewer different rows than k give fewer centres."""
     d = len(cols)
     rows = train.select(F.col(key).cast("long").alias("_id"), F.array(*cols).alias("_x"))
-    rows = materialize(rows.where(F.col("_id").isNotNull()), "kmeans")
-    ends = rows.agg(*[f(F.col("_x")[i]).alias(f"{n}{i}") for i in range(d) for n, f in (("a", F.min), ("z", F.max))]).first()
+    plain = materialize(rows.where(F.col("_id").isNotNull()), "kmeans")
+    ends = plain.agg(*[f(F.col("_x")[i]).alias(f"{n}{i}") for i in range(d) for n, f in (("a", F.min), ("z", F.max))]).first()
     if ends["a0"] is None:
         return {k: Fit(k, np.zeros((0, d)), 0.0, 0) for k in ks}
     low = np.array([ends[f"a{i}"] for i in range(d)])
     step = np.array([max(ends[f"z{i}"] - ends[f"a{i}"], 1e-300) for i in range(d)]) / UNIT
     fits = [(k, r) for k in ks for r in range(restarts)]
+    rows = _packed(plain, d)
+    drop_table(plain)
     centres = _plus_plus(rows, fits, d, low, step, seed)
-    took = 0
+    took, open_ = 0, list(range(len(fits)))
     for took in range(1, rounds + 1):
-        sums = _sums(rows, centres, d, low, step)
-        moved = False
-        for i, own in enumerate(centres):
+        # A fit whose centres stay takes no further round.
+        sums = _sums(rows, {i: centres[i] for i in open_}, d, low, step)
+        moved = []
+        for i in open_:
+            own = centres[i]
             new = own.copy()
             for e, n, s in sums.get(i, []):
                 new[e] = low + np.array([int(v) / n for v in s]) * step
-            moved |= bool((new != own).any())
+            if (new != own).any():
+                moved.append(i)
             centres[i] = new
-        if not moved:
+        open_ = moved
+        if not open_:
             break
     cost = _costs(rows, centres, d)
+    drop_table(rows)
     out = {}
     for k in ks:
         best = min((cost[i], r, i) for i, (kk, r) in enumerate(fits) if kk == k)[2]
@@ -163,18 +184,18 @@ def _plus_plus(rows: DataFrame, fits: list[tuple[int, int]], d: int, low, step,
     return centres
 
 
-def _sums(rows: DataFrame, centres: list[np.ndarray], d: int, low, step) -> dict[int, list]:
+def _sums(rows: DataFrame, centres: dict[int, np.ndarray], d: int, low, step) -> dict[int, list]:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = [np.zeros(len(c), np.int64) for c in centres]
-        s = [np.zeros((len(c), d), np.int64) for c in centres]
+        n = {i: np.zeros(len(c), np.int64) for i, c in centres.items()}
+        s = {i: np.zeros((len(c), d), np.int64) for i, c in centres.items()}
         for _, x in _rows(batches, d):
             w = np.rint((x - low) / step)
-            for i, c in enumerate(centres):
+            for i, c in centres.items():
                 own = distances(x, c).argmin(1)
                 n[i] += np.bincount(own, minlength=len(c))
                 for k in range(d):
                     s[i][:, k] += np.bincount(own, w[:, k], minlength=len(c)).astype(np.int64)
-        out = [(i, int(e), int(n[i][e]), s[i][e].tolist()) for i in range(len(centres)) for e in np.flatnonzero(n[i])]
+        out = [(i, int(e), int(n[i][e]), s[i][e].tolist()) for i in centres for e in np.flatnonzero(n[i])]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["fit", "e", "n", "s"])
 

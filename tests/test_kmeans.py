@@ -72,3 +72,20 @@ def test_scaling_fills_with_training_medians(spark):
     assert np.allclose(out, np.column_stack([(a - a.mean()) / a.std(), (b - b.mean()) / b.std()]))
     raw = KM.scaling(df, ["a", "b"], scaled=False)
     assert [tuple(r) for r in df.orderBy("id").select(*raw.columns()).collect()] == list(zip(a, b))
+
+
+def test_settled_fits_take_no_further_round(spark, monkeypatch):
+    """The passes read blocks, and only of fits whose centres still move."""
+    rows = [(i, float(i % 7) + i / 1000, float(i % 5)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, a double, b double").coalesce(1)
+    seen, plain = [], KM._sums
+
+    def sums(table, centres, *rest):
+        assert table.count() == 1
+        seen.append(set(centres))
+        return plain(table, centres, *rest)
+
+    monkeypatch.setattr(KM, "_sums", sums)
+    KM.fit(df, "id", [F.col("a"), F.col("b")], [1, 6], restarts=3)
+    assert len(seen[0]) == 6 and len(seen[-1]) < 6
+    assert all(b <= a for a, b in zip(seen, seen[1:]))
