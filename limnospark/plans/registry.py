@@ -18,6 +18,7 @@ from ..operators import aggregates as AG
 from ..operators import joins as J
 from ..sources import artifacts as AR
 from ..sources import files as FS
+from ..session import materialize
 from ..sources.tables import TABLES
 from .catalog import query
 from .common import r, t
@@ -317,8 +318,10 @@ def r8_change_audit(spark, sf_dir):
 
     # Context proxies snapped to 9 decimals (same in the oracle) so band and
     # bin edges compare equal values on both engines.
-    p = pair(spark, sf_dir).withColumn("delta", F.col("b") - F.col("a")).withColumns(
-        {"avg_disc": r("avg_disc", 9), "avg_qty": r("avg_qty", 9)})
+    # Read by every part: joined and grouped once.
+    p = materialize(pair(spark, sf_dir).withColumn("delta", F.col("b") - F.col("a")).withColumns(
+        {"avg_disc": r("avg_disc", 9), "avg_qty": r("avg_qty", 9)}).select(
+        "o_orderkey", "a", "b", "delta", "n_lines", "avg_disc", "avg_tax", "avg_qty"), "audit")
     parts = [
         AG.vector_profile(p, "a").select(F.concat(F.lit("profile_"), "stat").alias("metric"), F.lit("old").alias("series"), "value"),
         AG.vector_profile(p, "b").select(F.concat(F.lit("profile_"), "stat").alias("metric"), F.lit("new").alias("series"), "value"),
