@@ -200,8 +200,10 @@ def simplex_weights(spark, step_tenths: int = 1):
 
 def weighted_ensemble(preds: DataFrame, weights: DataFrame, key: str, model: str = "model", pred: str = "pred",
                       weight: str = "weight", out: str = "pred") -> DataFrame:
-    """sum(w * p) / sum(w) per key over the models that have a weight."""
-    j = preds.join(weights, model)
+    """sum(w * p) / sum(w) per key over the models that have a weight.
+    ``weights`` (a row per model) goes to the rows: a shuffle by model would
+    put all rows of a model into one task."""
+    j = preds.join(F.broadcast(weights), model)
     return j.groupBy(key).agg((F.sum(F.col(weight) * F.col(pred)) / F.sum(weight)).alias(out))
 
 
