@@ -9,7 +9,10 @@ wide as the reach, and a step of the solver is
 
 * an equi-join of every block with the blocks of the nine cells around it,
 * the kernel products of the two blocks in a task (``BLOCK`` squared numbers),
-* the sum of a block's parts, which come to it one after another.
+* the sum of a block's parts, which come to its row one after another, and its
+  share of the sums that the next step needs,
+
+written as one table; the next step takes its vectors on as it reads them.
 
 All systems (folds, or a choice of kernels) are columns of the same vectors
 and are solved in the same steps; the driver sees four sums per system and
@@ -34,6 +37,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..session import drop_table, materialize
 from .spatial import real
@@ -42,6 +46,7 @@ from .spatial import real
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK = 256
+BLOCKS = 4
 SAMPLE = 1200
 REACH = 4.0
 LENGTHS = (0.05, 0.1, 0.2, 0.4)
@@ -108,10 +113,10 @@ def blocks_of(places: DataFrame, cell: float, vectors: dict[str, object]) -> Dat
     return got.select("blk", "cx", "cy", F.col("_p._x").alias("x"), F.col("_p._y").alias("y"), *[flat(i, c).alias(n) for i, (n, c) in enumerate(vectors.items())])
 
 
-def product(target: DataFrame, source: DataFrame, v: str, kernels: list[Kernel], reach: float, out: str) -> DataFrame:
+def parts(target: DataFrame, source: DataFrame, v: str, kernels: list[Kernel], reach: float, out: str) -> DataFrame:
     """(blk, ``out``): for the places of ``target``'s blocks the kernel
-    products with ``source``'s vector ``v``, all systems end to end; blocks
-    that nothing reaches are absent."""
+    products with the vector ``v`` of each of ``source``'s blocks around, all
+    systems end to end; a row per pair of blocks."""
     s = len(kernels)
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     near = source.select("cx", "cy", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col(v).alias("sv"), F.explode(around).alias("d"))
@@ -131,24 +136,49 @@ def product(target: DataFrame, source: DataFrame, v: str, kernels: list[Kernel],
                 got.append(y_.ravel())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(got, pa.list_(pa.float64()))], names=["blk", out])
 
+    return pairs.mapInArrow(multiply, f"blk string, {out} array<double>")
+
+
+def with_product(rows: DataFrame, of: DataFrame, out: str, tasks: int, then=None, shape: str = "") -> DataFrame:
+    """``rows`` (one per block) with the sum ``out`` of their parts ``of``, an
+    empty array where nothing reaches a block. A block's parts come to its row
+    one after another, in one shuffle. ``then``: what to make of a batch."""
+    names, kind = rows.columns, of.schema[out].dataType
+    both = rows.withColumns({out: F.lit(None).cast(kind), "_part": F.lit(0)}).unionByName(of.withColumn("_part", F.lit(1)), allowMissingColumns=True)
+    fields = [*names, out]
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, total = None, None
+        row, total = None, None
         for b in batches:
-            done: list[tuple[str, np.ndarray]] = []
-            for k, part in zip(b.column(0).to_pylist(), _vectors(b, out)):
-                if k == name:
-                    total = total + part
-                else:
-                    if name is not None:
-                        done.append((name, total))
-                    name, total = k, part
+            done, sums = [], []
+            sent, values = b.column(b.schema.names.index("_part")).to_numpy(), _vectors(b, out)
+            for i in range(len(b)):
+                if sent[i]:
+                    total = values[i] if total is None else total + values[i]
+                    continue
+                if row is not None:
+                    done.append(row)
+                    sums.append(total)
+                row, total = b.slice(i, 1).select(names), None
             if done:
-                yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done]), pa.array([d[1] for d in done], pa.list_(pa.float64()))], names=["blk", out])
-        if name is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([total], pa.list_(pa.float64()))], names=["blk", out])
+                yield whole(done, sums)
+        if row is not None:
+            yield whole([row], [total])
+
+    def whole(done: list[pa.RecordBatch], sums: list) -> pa.RecordBatch:
+        got = pa.Table.from_batches(done).combine_chunks().to_batches()[0]
+        empty = np.zeros(0)
+        got = pa.RecordBatch.from_arrays([*got.columns, pa.array([empty if v is None else v for v in sums], pa.list_(pa.float64()))], names=fields)
+        return then(got) if then else got
 
-    shape = f"blk string, {out} array<double>"
-    return pairs.mapInArrow(multiply, shape).repartition("blk").sortWithinPartitions("blk").mapInArrow(add, shape)
+    shape = shape or StructType([*rows.schema.fields, StructField(out, kind)])
+    return both.repartition(tasks, "blk").sortWithinPartitions("blk", "_part").mapInArrow(add, shape)
+
+
+def task_count(blocks: DataFrame) -> int:
+    """Tasks to add up a product over these blocks."""
+    most = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(most, math.ceil(blocks.count() / BLOCKS)))
 
 
 def solve(places: DataFrame, kernels: list[Kernel], reach: float = REACH, tolerance: float = 1e-9, steps: int = 500) -> tuple[DataFrame, int]:
@@ -182,52 +212,43 @@ def solve(places: DataFrame, kernels: list[Kernel], reach: float = REACH, tolera
 
         return task
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """q = K p + noise / m p, on the rows of each system only."""
-        for b in batches:
-            q = []
-            for kp, p, m in zip(*(_vectors(b, c) for c in ("kp", "p", "m"))):
-                p, m = p.reshape(-1, s), m.reshape(-1, s)
-                kp = kp.reshape(-1, s) if len(kp) else np.zeros_like(p)
-                q.append(np.where(m > 0, kp + noise / np.maximum(m, 1) * p, 0.0).ravel())
-            keep = b.select([c for c in b.schema.names if c != "kp"])
-            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(q, pa.list_(pa.float64()))], names=[*keep.schema.names, "q"])
-
-    def dots(df: DataFrame) -> dict[str, np.ndarray]:
-        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            got = np.zeros((4, s))
-            for b in batches:
-                for r, p, q in zip(*([v.reshape(-1, s) for v in _vectors(b, c)] for c in ("r", "p", "q"))):
-                    got += [(r * r).sum(0), (p * q).sum(0), (r * q).sum(0), (q * q).sum(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(s)), *[pa.array(g) for g in got]], names=["i", "rr", "pq", "rq", "qq"])
-
-        row = df.select("r", "p", "q").mapInArrow(task, "i long, rr double, pq double, rq double, qq double").groupBy("i").agg(
-            *[F.sum(c).alias(c) for c in ("rr", "pq", "rq", "qq")]).collect()  # a row per system
-        out = {c: np.zeros(s) for c in ("rr", "pq", "rq", "qq")}
-        for r in row:
-            for c in out:
-                out[c][r["i"]] = r[c]
-        return out
+    def finish(b: pa.RecordBatch) -> pa.RecordBatch:
+        """q = K p + noise / m p, on the rows of each system only, and the
+        block's share of the four sums."""
+        qs, dots = [], []
+        for kp, r, p, m in zip(*(_vectors(b, c) for c in ("kp", "r", "p", "m"))):
+            r, p, m = (v.reshape(-1, s) for v in (r, p, m))
+            kp = kp.reshape(-1, s) if len(kp) else np.zeros_like(p)
+            q = np.where(m > 0, kp + noise / np.maximum(m, 1) * p, 0.0)
+            qs.append(q.ravel())
+            dots.append(np.concatenate([(r * r).sum(0), (p * q).sum(0), (r * q).sum(0), (q * q).sum(0)]))
+        keep = b.select([c for c in b.schema.names if c != "kp"])
+        return pa.RecordBatch.from_arrays([*keep.columns, *[pa.array(v, pa.list_(pa.float64())) for v in (qs, dots)]], names=[*keep.schema.names, "q", "dots"])
 
     arrays = "x array<double>, y array<double>, m array<double>, r array<double>, w array<double>, p array<double>"
     shape = f"blk string, cx long, cy long, {arrays}"
-    now = materialize(state.mapInArrow(advance(None, None), shape), "krige")
+    last = materialize(state, "krige")
+    tasks = task_count(last)
+    now = last.mapInArrow(advance(None, None), shape)
     first, took = None, 0
     for took in range(1, steps + 1):
-        kp = product(now, now, "p", kernels, reach, "kp")
-        full = materialize(now.join(kp, "blk", "left").withColumn("kp", F.coalesce("kp", F.array().cast("array<double>"))).select(
-            *now.columns, "kp").mapInArrow(finish, f"{shape}, q array<double>"), "krige")
-        drop_table(now)
-        d = dots(full)
-        first = d["rr"] if first is None else first
-        going = (d["rr"] > tolerance ** 2 * first) & (d["pq"] > 0)
-        step = np.where(going, d["rr"] / np.where(d["pq"] > 0, d["pq"], 1.0), 0.0)
-        left = np.maximum(d["rr"] - 2 * step * d["rq"] + step ** 2 * d["qq"], 0.0)
-        turn = np.where(going, left / np.where(d["rr"] > 0, d["rr"], 1.0), 0.0)
-        now = materialize(full.mapInArrow(advance(step, turn), shape), "krige")
-        drop_table(full)
+        # A step is one pass: the last step's numbers are taken on while it reads them.
+        full = materialize(with_product(now, parts(last, now, "p", kernels, reach, "kp"), "kp", tasks, finish,
+                                        f"{shape}, q array<double>, dots array<double>"), "krige")
+        drop_table(last)
+        last = full
+        sums = full.agg(*[F.sum(F.get("dots", F.lit(i))).alias(f"d{i}") for i in range(4 * s)]).first()  # four sums per system
+        rr, pq, rq, qq = np.array([v or 0.0 for v in sums], float).reshape(4, s)
+        first = rr if first is None else first
+        going = (rr > tolerance ** 2 * first) & (pq > 0)
+        step = np.where(going, rr / np.where(pq > 0, pq, 1.0), 0.0)
+        left = np.maximum(rr - 2 * step * rq + step ** 2 * qq, 0.0)
+        turn = np.where(going, left / np.where(rr > 0, rr, 1.0), 0.0)
+        now = full.mapInArrow(advance(step, turn), shape)
         if not (left > tolerance ** 2 * first).any() or not going.any():
             break
+    now = materialize(now, "krige")
+    drop_table(last)
     return now.select("blk", "cx", "cy", "x", "y", "w"), took
 
 
@@ -262,8 +283,8 @@ def krige(df: DataFrame, idc: str, x: str, y: str, resids: list[str], outs: list
             kernels.append(choose(*own.T, reach=reach))
     weights, took = solve(places, kernels, reach, tolerance)
     cell = reach * max(k.length for k in kernels) * (1 + 1e-12)
-    asked = blocks_of(places, cell, {"m": "_m"})
-    pred = asked.select("blk", "x", "y").join(product(asked, weights, "w", kernels, reach, "v"), "blk", "left")
+    asked = materialize(blocks_of(places, cell, {"m": "_m"}), "places")
+    pred = with_product(asked.select("blk", "x", "y"), parts(asked, weights, "w", kernels, reach, "v"), "v", task_count(asked))
     s = len(kernels)
     each = pred.select(F.posexplode("x").alias("_i", "_x"), "y", "v")
     each = each.select("_x", F.get("y", F.col("_i")).alias("_y"), *[(F.coalesce(F.get("v", F.col("_i") * s + i), F.lit(0.0)) * unit[i] + mean[i]).alias(c) for i, c in enumerate(outs)])

@@ -66,3 +66,18 @@ def test_repeated_places_are_one_with_their_number(spark):
     assert got[1] == got[2] == pytest.approx(want[0]) and got[4] == pytest.approx(want[1]) and got[5] == 0.0
     assert KR.krige(df.where("false"), "id", "x", "y", ["r"], ["k"])[0].count() == 0
     assert [r["k"] for r in KR.krige(df.withColumn("r", F.lit(None).cast("double")), "id", "x", "y", ["r"], ["k"])[0].collect()] == [0.0] * 5
+
+
+def test_a_step_writes_one_table(spark, monkeypatch):
+    """A solver step is one pass over the blocks; blocks that nothing reaches
+    keep their rows."""
+    written, real = [], KR.materialize
+    monkeypatch.setattr(KR, "materialize", lambda df, label: written.append(label) or real(df, label))
+    df, _ = places(spark, 300, seed=3)
+    df = df.unionByName(spark.createDataFrame([(9000, 40.0, 40.0, None, 0)], df.schema))
+    out, _, took = KR.krige(df, "id", "x", "y", ["r"], ["k"], [KR.Kernel(0.01, 0.5)], reach=2.0, tolerance=1e-6)
+    assert took > 2
+    assert written.count("krige") <= took + 2
+    got = {r["id"]: r["k"] for r in out.collect()}
+    mean = df.agg(F.avg("r")).first()[0]
+    assert len(got) == 303 and abs(got[9000] - mean) < 1e-12
