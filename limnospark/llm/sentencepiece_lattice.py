@@ -17,8 +17,10 @@ and each different word once.
    are ``bpe`` models, whose encoding is *not* the best-scoring path but the
    outcome of merging the best-ranked neighbours first. All that merging can
    touch are edges of the same lattice, so for them the fold holds the set of
-   boundaries as bits, and each step takes the best edge that covers exactly
-   two symbols. The outcome equals the library's.
+   boundaries as bits and takes the edges best first; one that covers exactly
+   two symbols merges them. Where an edge covers more at its turn, it may have
+   to merge later: such words are folded again, each step taking the best edge
+   that covers two symbols. The outcome equals the library's.
 4. The words and their boundaries go back to the blocks that hold them, and
    each block is encoded by lookup. Characters that are no piece become byte
    pieces.
@@ -88,9 +90,11 @@ class Model:
         return Model(pieces, [sp.get_score(i) for i in range(n)], byte_ids, sp.unk_id(), kind)
 
     def edges(self, spark: SparkSession) -> DataFrame:
-        """The pieces of two characters or more: (piece, cost)."""
-        rows = [(p, -float(s)) for p, (_, s) in self.pieces.items() if len(p) > 1]
-        return spark.createDataFrame(rows, "piece string, cost double")
+        """The pieces of two characters or more: (piece, cost, rank); equal
+        costs have equal ranks."""
+        costs = {p: -float(s) for p, (_, s) in self.pieces.items() if len(p) > 1}
+        rank = {c: i for i, c in enumerate(sorted(set(costs.values())))}
+        return spark.createDataFrame([(p, c, rank[c]) for p, c in costs.items()], "piece string, cost double, rank long")
 
 
 class Cutter:
@@ -109,8 +113,8 @@ class Cutter:
         """For some keys at a time: their lattice words end to end, and where
         each key's words end. A key is a space-led word without its first
         space."""
-        for at in range(0, len(keys), 1 << 16):
-            part = keys[at:at + (1 << 16)]
+        for at in range(0, len(keys), 1 << 14):
+            part = keys[at:at + (1 << 14)]
             line = (" " + f"{self.mark} ".join(part)).replace(" ", SPACE) + self.mark
             k = self.klass[np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)]
             bounds = np.concatenate([[0], np.flatnonzero(~self.joined[k[:-1], k[1:]]) + 1, [len(line)]])
@@ -188,32 +192,44 @@ def block_words(packed: DataFrame, model: Model) -> DataFrame:
     return packed.sortWithinPartitions("block").mapInArrow(run, "block int, word string")
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """words (word, distinct) -> (word, edges): an edge is a piece of two
-    characters or more that lies in the word, the cheapest first, the leftmost
-    of equals. ``ends`` and ``inner`` are its ends and its inner boundaries as
-    bits. Words without edges are left out."""
+#: An edge as it is held for merging: rank, place and length in one number, so
+#: that edges sort best first, the leftmost of equals; and for least cost.
+BY_RANK = "shiftleft(rank, 12) | shiftleft(cast(at as long), 6) | cast(k as long)"
+BY_COST = "struct(cost, at, k)"
+
+
+def lattice(words: DataFrame, pieces: DataFrame, longest: int, edge: str) -> DataFrame:
+    """words (word, distinct) -> (word, edges): an ``edge`` is a piece of two
+    characters or more that lies in the word; they are sorted. Words without
+    edges are left out."""
     n = F.char_length("word")
     at = words.select("word", F.explode(F.sequence(F.lit(1), n - 1)).alias("at"), n.alias("n"))
     subs = at.select("word", "at", F.explode(F.sequence(F.lit(2), F.least(F.lit(max(2, longest)), F.col("n") - F.col("at") + 1))).alias("k"))
     subs = subs.withColumn("piece", F.expr("substring(word, at, k)"))
     found = subs.join(F.broadcast(pieces), "piece")
-    edge = F.struct(
-        "cost", "at", "k",
-        F.expr("shiftleft(1L, at - 1) | shiftleft(1L, at - 1 + k)").alias("ends"),
-        F.expr("shiftleft(shiftleft(1L, k - 1) - 1L, at)").alias("inner"))
-    return found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return found.groupBy("word").agg(F.sort_array(F.collect_list(F.expr(edge))).alias("edges"))
 
 
 def fold_merges(edges: str = "edges", word: str = "word") -> Column:
-    """Boundaries of a bpe word's pieces, by merging. The accumulator is the
-    set of boundaries; bit i stands before character i."""
+    """Boundaries of a bpe word's pieces, by merging the edges ``BY_RANK``.
+    The accumulator is the set of boundaries; bit i stands before character i.
+
+    An edge whose ends are no boundaries cannot merge any more, since
+    boundaries only go. So edges are taken once, best first, unless one finds
+    more than two symbols within its ends at its turn (bit 62): then every
+    step looks for the best edge anew."""
+    at, k = "cast(shiftright(e, 6) & 63L as int)", "cast(e & 63L as int)"
+    ends = f"shiftleft(shiftleft(1L, {k}) | 1L, {at} - 1)"
+    inner = f"shiftleft(shiftleft(1L, {k} - 1) - 1L, {at})"
+    every = f"shiftleft(1L, char_length({word}) + 1) - 1L"
     return F.expr(f"""
-        aggregate(
-          sequence(1, least(char_length({word}) - 1, size({edges}))),
-          shiftleft(1L, char_length({word}) + 1) - 1L,
-          (cuts, _) -> cuts & ~coalesce(
-            get(filter({edges}, e -> (cuts & e.ends) = e.ends AND bit_count(cuts & e.inner) = 1), 0).inner, 0L))""")
+        aggregate({edges}, {every},
+          (cuts, e) -> if((cuts & {ends}) = {ends},
+            if(bit_count(cuts & {inner}) = 1, cuts & ~{inner}, cuts | shiftleft(1L, 62)), cuts),
+          once -> if((once & shiftleft(1L, 62)) = 0, once, aggregate(
+            sequence(1, least(char_length({word}) - 1, size({edges}))), {every},
+            (cuts, _) -> cuts & ~coalesce(get(transform(
+              filter({edges}, e -> (cuts & {ends}) = {ends} AND bit_count(cuts & {inner}) = 1), e -> {inner}), 0), 0L))))""")
 
 
 def fold_viterbi(singles: Column, edges: str = "edges", word: str = "word") -> Column:
@@ -306,8 +322,30 @@ def viterbi_word(word: str, pieces: dict[str, tuple[int, float]], longest: int,
     return out[::-1]
 
 
+class Numbered(dict):
+    """Numbers keys in the order of their first sight."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+class Spelt(dict):
+    """Word -> ids as bytes; ``spell`` gives those of a word not seen yet."""
+
+    def __init__(self, spell):
+        self.spell = spell
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = self.spell(word)
+        return ids
+
+
 def encoded_blocks(packed: DataFrame, table: DataFrame, model: Model) -> DataFrame:
-    """packed (block, blob), table (block, word, cuts) -> the documents."""
+    """packed (block, blob), table (block, word, cuts) -> the documents.
+
+    A text is read once, into the numbers of its keys; a key is spelt once,
+    into a stretch of one array of ids; a text's ids are its keys' stretches."""
 
     kept: list[Cutter] = []  # one per task, for all its blocks
 
@@ -317,67 +355,81 @@ def encoded_blocks(packed: DataFrame, table: DataFrame, model: Model) -> DataFra
         cutter, pieces = kept[0], model.pieces
         code = {p: i.to_bytes(4, "little") for p, (i, _) in pieces.items()}
         spell = model.bytes_of
-        # Pieces that do not decode to themselves.
-        strange = {p for p, (i, _) in pieces.items() if spell[i] != p.replace(SPACE, " ").encode("utf-8", "surrogatepass")}
+        # Ids in pieces that do not decode to themselves.
+        strange = {i for p, (i, _) in pieces.items() if spell[i] != p.replace(SPACE, " ").encode("utf-8", "surrogatepass")}
 
         def other(c: str) -> bytes:
             """A character that is no piece."""
             raw = c.encode("utf-8", "surrogatepass")
             ids = [model.byte_ids[b] for b in raw] if model.byte_ids else [model.unknown]
             if b"".join([spell[i] for i in ids]) != c.replace(SPACE, " ").encode("utf-8", "surrogatepass"):
-                strange.add(c)
+                strange.update(ids)
             return code.setdefault(c, b"".join(i.to_bytes(4, "little") for i in ids))
 
         def spell_out(parts) -> bytes:
             return b"".join([code.get(p) or other(p) for p in parts])
 
-        known = {}
-        for words in right.select(["word", "cuts"]).to_batches(1 << 16):
-            for w, cuts in zip(words.column(0).to_pylist(), words.column(1).to_pylist()):
-                known[w] = spell_out(parted(w, cuts))
-        del right
-
         def sub(w: str) -> bytes:
             if len(w) > LONGEST:
                 parts = merge_word(w, pieces) if model.kind == "bpe" else viterbi_word(w, pieces, model.longest, model.worst)
             else:  # no piece of two characters lies in it
                 parts = w
-            return known.setdefault(w, spell_out(parts))
+            return spell_out(parts)
 
-        blobs, keys = left.column("blob"), set()
-        for blob in blobs:  # unpacked twice rather than held
-            for t in unpack(blob.as_buffer().to_pybytes()).column("t"):
-                keys.update(keys_of(t.as_py()))
-        order, spelt, at = list(keys), {}, 0
-        del keys
-        for subs, ends in cutter(order):
-            codes, first = [known.get(w) or sub(w) for w in subs], 0
-            for end in ends:
-                spelt[order[at]] = codes[first] if end - first == 1 else b"".join(codes[first:end])
-                at, first = at + 1, end + 1  # past the mark
-        known.clear()
-        # Decoding is word by word, so a text comes back whole if its words do,
-        # and a word does if each of its pieces does.
-        broken = strange and {k for k, ids in spelt.items() if b"".join([spell[i] for i in memoryview(ids).cast("i")]) != (" " + k).encode("utf-8", "surrogatepass")}
-        del order
-        out: list[list] = [[], [], [], []]
-        buffers, total = [], [0]
-        get = spelt.__getitem__
-        for blob in blobs:
+        numbers, seen, out = Numbered(), [], [[], [], []]
+        sight = numbers.__getitem__
+        for blob in left.column("blob"):
             part = unpack(blob.as_buffer().to_pybytes())
             out[0] += part.column("doc_id").to_pylist()
             for t in part.column("t"):
                 t = t.as_py()
                 words = keys_of(t)
-                ids = b"".join(map(get, words))
                 out[1].append(len(t))
-                out[2].append(len(ids) // 4)
-                out[3].append(not broken or broken.isdisjoint(words))
-                buffers.append(ids)
-                total.append(total[-1] + len(ids) // 4)
-        values = pa.array(np.frombuffer(b"".join(buffers), np.int32))
-        lists = pa.ListArray.from_arrays(pa.array(total, pa.int32()), values)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), lists, pa.array(out[3], pa.bool_())],
+                out[2].append(len(words))
+                seen.append(np.fromiter(map(sight, words), np.int32, len(words)))
+        keys = list(numbers)
+        numbers.clear()
+        seen = np.concatenate([*seen, np.zeros(0, np.int32)])
+        known = Spelt(sub)
+        for words in right.select(["word", "cuts"]).to_batches(1 << 16):
+            for w, cuts in zip(words.column(0).to_pylist(), words.column(1).to_pylist()):
+                known[w] = spell_out(parted(w, cuts))
+        del right
+        flat, sizes = [], []
+        for subs, ends in cutter(keys):
+            codes = list(map(known.__getitem__, subs))
+            for end in ends:
+                codes[end] = b""  # a key's mark
+            upto = np.cumsum(np.fromiter(map(len, codes), np.int64, len(codes)))
+            sizes.append((np.diff(upto[ends], prepend=0) // 4).astype(np.int32))
+            flat.append(np.frombuffer(b"".join(codes), np.int32))
+        known.clear()
+        flat, sizes = np.concatenate([*flat, np.zeros(0, np.int32)]), np.concatenate([*sizes, np.zeros(0, np.int32)])
+        first = np.cumsum(sizes, dtype=np.int32) - sizes
+        # Decoding is word by word, so a text comes back whole if its words do,
+        # and a word does if each of its pieces does.
+        broken = np.zeros(len(keys), bool)
+        for k in np.unique(np.searchsorted(first, np.flatnonzero(np.isin(flat, list(strange))), "right") - 1) if strange else ():
+            ids = flat[first[k]:first[k] + sizes[k]].tolist()
+            broken[k] = b"".join([spell[i] for i in ids]) != (" " + keys[k]).encode("utf-8", "surrogatepass")
+        del keys
+        stop = np.cumsum([0, *out[2]])  # keys before each document's end
+
+        def sums(of_key: np.ndarray) -> np.ndarray:
+            """Sums over the keys before each document's end."""
+            return np.concatenate([[0], np.cumsum(of_key[seen], dtype=np.int32)])[stop]
+
+        total = sums(sizes)
+        values, at = np.empty(total[-1], np.int32), 0
+        for i in range(0, len(seen), 1 << 16):
+            own = seen[i:i + (1 << 16)]
+            n = sizes[own]
+            ends = np.cumsum(n)
+            values[at:at + ends[-1]] = flat[np.repeat(first[own] - ends + n, n) + np.arange(ends[-1])]
+            at += ends[-1]
+        whole = np.diff(sums(broken)) == 0
+        lists = pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(values))
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(np.diff(total), pa.int64()), lists, pa.array(whole)],
                         names=["doc_id", "n_chars", "n_tokens", "token_ids", "round_trip"])
 
     return packed.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(
@@ -393,7 +445,7 @@ def encode(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     # Dealt by word once: the different words and the join below share that.
     listed = block_words(packed, model).repartition(tasks(spark), "word")
     each = listed.groupBy("word").agg(F.min("block").alias("in"))  # both columns, so that the exchange is the same
-    words = lattice(each.where("in >= 0"), model.edges(spark), model.longest)
+    words = lattice(each.where("in >= 0"), model.edges(spark), model.longest, BY_RANK if model.kind == "bpe" else BY_COST)
     if model.kind == "bpe":
         cuts = fold_merges()
     else:

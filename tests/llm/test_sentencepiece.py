@@ -119,3 +119,66 @@ def test_parted_by_boundaries():
     assert S.parted("abcd", every & ~0b00110) == ["abc", "d"]
     assert S.parted("abcd", every & ~0b01110) == ["abcd"]
     assert S.parted("abcd", (1 << 6) - 1) == list("abcd")
+
+
+def test_edges_that_have_to_wait(spark):
+    """Longer pieces of better rank than their parts: at its turn an edge
+    covers more than two symbols and merges later."""
+    r = random.Random(5)
+    names = ["a", "b", "c", "d", S.SPACE, "abcd", "abc", "bcd", "cd", "ab", "bc", "da", S.SPACE + "ab", "dd"]
+    for _ in range(3):
+        scores = [0.0] * 5 + [-float(r.randint(1, 6)) for _ in names[5:]]
+        scores[names.index("abc")] = -0.5  # before ab and bc
+        model = S.Model([None, *names], [0.0, *scores], {}, 0, "bpe")
+        texts = ["".join(r.choice("abcd ") for _ in range(r.randint(1, 30))) for _ in range(40)] + ["abc", "abcd abcdabc"]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        for row in S.encode(docs, model).collect():
+            whole = S.SPACE + texts[row["doc_id"]].replace(" ", S.SPACE)
+            assert row["token_ids"] == [model.pieces[p][0] for p in S.merge_word(whole, model.pieces)]
+            assert row["round_trip"]
+
+
+def test_text_with_the_mark(spark, model, library):
+    mark = S.Cutter(model).mark
+    texts = [mark, f"the{mark}end {mark}", f"{mark} {mark}{mark} on"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in S.encode(docs, model).collect():
+        assert row["token_ids"] == library.encode(texts[row["doc_id"]]) and row["round_trip"]
+
+
+def test_a_text_is_read_once_for_its_ids(model, library, monkeypatch):
+    import pyarrow as pa
+    import zstandard
+
+    class Grouped:
+        def groupBy(self, _):
+            return self
+
+        def cogroup(self, _):
+            return self
+
+        def applyInArrow(self, run, _):
+            self.run = run
+            return self
+
+    texts = ["the end of the end", "", "one  more\n"]
+    rows = pa.table([pa.array([3, 4, 5], pa.int64()), pa.array(texts)], names=["doc_id", "t"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as w:
+        w.write_table(rows)
+    left = pa.table([pa.array([0], pa.int32()), pa.array([zstandard.compress(sink.getvalue())], pa.binary())], names=["block", "blob"])
+    words = sorted({w for t in texts if t for subs, _ in S.Cutter(model)(S.keys_of(t)) for w in subs if len(w) > 1})
+
+    def cuts(word):
+        at = [0]
+        for p in S.merge_word(word, model.pieces):
+            at.append(at[-1] + len(p))
+        return sum(1 << i for i in at)
+
+    right = pa.table([pa.array([0] * len(words), pa.int32()), pa.array(words), pa.array(list(map(cuts, words)), pa.int64())],
+                     names=["block", "word", "cuts"])
+    read, keys_of = [], S.keys_of
+    monkeypatch.setattr(S, "keys_of", lambda t: read.append(t) or keys_of(t))
+    got = S.encoded_blocks(Grouped(), Grouped(), model).run(left, right)
+    assert got.column("token_ids").to_pylist() == [library.encode(t) for t in texts]
+    assert sorted(read) == sorted(texts)
