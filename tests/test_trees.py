@@ -246,3 +246,40 @@ def test_leaves_of_bins_as_row_by_row():
     at, leaves = forest.leaves(np.ascontiguousarray(x.T), root)
     assert leaves[at].tolist() == forest.walk(x, root, True).tolist()
     assert forest.leaves(np.ascontiguousarray(x.T), int(kids[0]))[0].tolist() == [0] * 400
+
+
+def test_one_pass_a_level(spark):
+    """A level's sides and the next level's ends come from one pass."""
+    raw = TR.prepare(frame(spark, 300, missing=0.0), FEATS, ["y"], "fold", ["id"])
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(depth):
+        name = f"depth-{depth}"
+        spark.sparkContext.setJobGroup(name, name)
+        TR.extra_trees(raw, [TR.Model(0, f, (0, 1, 2)) for f in (0, 1)], 3, 1, trees=3, depth=depth, min_leaf=2)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(name))
+
+    one, three = jobs(1), jobs(3)
+    assert three - one <= 2 * 2  # a pass is two jobs: its parts, and their sums
+
+
+def test_ends_of_parts_without_values(spark):
+    """Missing values go right and are no ends; a part may hold none."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 3))
+    x[:300, 0] = np.nan
+    x[:, 2] = np.where(x[:, 1] > 0, np.nan, x[:, 2])
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r], float(r[1] > 0) + 0.1 * i % 3, i % 2) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, y double, fold int").coalesce(2)
+    table = TR.prepare(df, ["a", "b", "c"], ["y"], "fold", ["id"])
+    m = [TR.Model(0, None, (2, 0, 1))]
+    grown = TR.extra_trees(table, m, 3, 1, trees=4, depth=7, min_leaf=2, max_features=3)
+    y = np.array([r[4] for r in rows])
+    for root in grown.roots[0]:
+        at = grown.forest.walk(x, root, False)
+        for leaf in np.unique(at):
+            assert grown.forest.value[leaf] == pytest.approx(y[at == leaf].mean(), abs=1e-6)
+        one = TR._Grown(grown.forest, root, np.zeros(0, int), np.zeros(0, int))
+        assert one.value[one.leaf(np.ascontiguousarray(x.T), np.arange(400))].tolist() == grown.forest.value[at].tolist()
+        assert one.steps > TR.TOP
