@@ -131,3 +131,18 @@ def test_odd_rows(spark):
     assert len(p) == 90 and all((r["pred"] is None) == (r["fold"] is None) for r in p)
     m, out = M.fit_predict(df.where("fold = 0"), df, FEATS, "y", M.gbt(2, 2))
     assert all(np.isfinite(r["pred"]) for r in out.collect())
+
+
+def test_a_label_per_fold(spark):
+    """The residual of the model that does not see the fold is fitted."""
+    rows = rows_of(300, 2)
+    df = frame(spark, rows).withColumns({f"r{i}": F.col("y") * (i + 1) for i in range(4)})
+    got, cols, fits = M.fold_fits(df, FEATS, "fold", [0, 1, 2, 3], {"p": (M.extra_trees(2, 4), {i: f"r{i}" for i in range(4)})})
+    x = np.ascontiguousarray(np.array([r[1:4] for r in rows]).T)
+    y, fold = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
+    for i in range(4):
+        p = fits["p"].predict(x, i, {})
+        assert np.corrcoef(p[fold != i], y[fold != i])[0, 1] > 0.8
+        assert p[fold != i].mean() == pytest.approx((i + 1) * y[fold != i].mean(), abs=1e-5)
+    own = {r["id"]: r["p"] for r in M.own_folds(df, FEATS, "fold", [0, 1, 2, 3], {"p": (M.extra_trees(2, 4), {i: f"r{i}" for i in range(4)})}).collect()}
+    assert [own[r[0]] for r in rows] == pytest.approx([fits["p"].predict(x, r[5], {})[k] for k, r in enumerate(rows)], abs=1e-9)
