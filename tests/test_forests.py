@@ -125,12 +125,38 @@ def test_gaps_take_the_folds_own_medians(spark):
 
 
 def test_odd_rows(spark):
-    rows = [(i, float(i % 3), 0.0, None, None if i % 7 == 0 else float(i % 5), None if i % 11 == 0 else i % 2) for i in range(90)]
+    rows = [(i, float(i % 3), 0.0, None, float(i % 5), None if i % 11 == 0 else i % 2) for i in range(90)]
     df = frame(spark, rows).withColumn("c", F.lit(1.0))
     p = M.cv_predictions(df, FEATS, "y", "fold", [0, 1], M.random_forest(2, 2), ["id"]).collect()
     assert len(p) == 90 and all((r["pred"] is None) == (r["fold"] is None) for r in p)
     m, out = M.fit_predict(df.where("fold = 0"), df, FEATS, "y", M.gbt(2, 2))
     assert all(np.isfinite(r["pred"]) for r in out.collect())
+    gone = df.withColumn("y", F.when(F.col("id") % 7 != 0, F.col("y")))
+    with pytest.raises(Exception, match="labels of training rows"):
+        M.fit_predict(gone, df, FEATS, "y", M.random_forest(2, 2))
+    assert M.fit_predict(gone.where("y is not null"), gone, FEATS, "y", M.random_forest(2, 2))[1].count() == 90
+
+
+def test_scratch_tables_go(spark):
+    """What is made inside goes at the end, also after an error; kept ones stay."""
+    import os
+
+    from limnospark.session import cut_lineage, kept, scratch
+
+    at = lambda t: os.path.exists(t._limno_table.removeprefix("file://"))
+    before = cut_lineage(spark.range(3))
+    with scratch(spark):
+        with scratch(spark):
+            inner = cut_lineage(spark.range(4))
+            stays = kept(cut_lineage(spark.range(5)))
+        outer = cut_lineage(spark.range(6))
+        assert not at(inner) and at(outer) and at(stays)
+    assert at(before) and at(stays) and not at(outer) and stays.count() == 5
+    with pytest.raises(ValueError):
+        with scratch(spark):
+            lost = cut_lineage(spark.range(7))
+            raise ValueError
+    assert not at(lost)
 
 
 def test_a_label_per_fold(spark):
